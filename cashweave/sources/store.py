@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..schemas import conform
 from ..session import shared_dir
 
 LOAD = "load_id"
@@ -104,7 +105,7 @@ def replace_by_file(batch: DataFrame, path: str, schema: T.StructType) -> None:
         moved = (batch.join(home, "source_file", "left")
                  .withColumn(LOAD, F.coalesce(LOAD, new_load)))
         rows = moved.unionByName(kept, allowMissingColumns=True)
-    (rows.select(*schema.fieldNames(), LOAD).hint("rebalance", LOAD)
+    (conform(rows, schema, [LOAD]).hint("rebalance", LOAD)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(LOAD).parquet(path))
 

@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,21 +89,34 @@ def sheet_rows(content: bytes) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in rows]
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+ROWS_PER_BATCH = 10_000
+ARROW = pa.schema([("source_file", pa.string()), ("row_no", pa.int32()),
+                   ("cells", pa.list_(pa.string()))])
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, numbers, grids = [], [], []
     for batch in batches:
-        for name, content in zip(batch["source_file"], batch["content"]):
+        for name, content in zip(batch.column("source_file"), batch.column("content")):
             try:
-                rows = sheet_rows(content)
+                rows = sheet_rows(content.as_py())
             except Exception as err:
                 raise ValueError(f"{name} is not a readable workbook: {err}") from err
-            if rows:
-                yield pd.DataFrame({"source_file": name, "row_no": range(len(rows)),
-                                    "cells": rows})
+            names.extend([name.as_py()] * len(rows))
+            numbers.extend(range(len(rows)))
+            grids.extend(rows)
+            if len(names) >= ROWS_PER_BATCH:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip((names, numbers, grids), ARROW)], schema=ARROW)
+                names, numbers, grids = [], [], []
+    if names:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip((names, numbers, grids), ARROW)], schema=ARROW)
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
     """``(source_file, content)`` to cell grids, each file inside one task."""
-    return files.select("source_file", "content").mapInPandas(_decode, PAYSLIP_CELLS)
+    return files.select("source_file", "content").mapInArrow(_decode, PAYSLIP_CELLS)
 
 
 def read_payslip_cells(spark: SparkSession, path: str) -> DataFrame:
