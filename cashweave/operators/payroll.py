@@ -59,14 +59,20 @@ def paycheck_totals(payroll_lines: DataFrame) -> DataFrame:
 
 
 def dedupe_checks(payroll_lines: DataFrame) -> DataFrame:
-    """Keep each check's lines from the newest file only, where one check came in two files."""
+    """Keep each check's lines from the newest file only, where one check came in two files.
+
+    Only checks found in several files take part in the join, normally very few.
+    """
     check = ["employee_id", "check_date", "check_number"]
-    files = payroll_lines.groupBy(*check, "source_file").agg(F.max("ingest_ts").alias("ingest_ts"))
-    newest = (files.groupBy(*check)
-              .agg(F.max(F.struct("ingest_ts", "source_file")).alias("newest"))
-              .select(*check, F.col("newest.source_file").alias("source_file")))
-    same = [payroll_lines[c].eqNullSafe(newest[c]) for c in [*check, "source_file"]]
-    return payroll_lines.join(newest, same, "left_semi")
+    repeated = (payroll_lines.groupBy(*check, "source_file")
+                .agg(F.max("ingest_ts").alias("ingest_ts"))
+                .groupBy(*check)
+                .agg(F.max(F.struct("ingest_ts", "source_file"))["source_file"].alias("newest"),
+                     F.count("*").alias("files"))
+                .where("files > 1"))
+    same_check = [payroll_lines[c].eqNullSafe(repeated[c]) for c in check]
+    older = ~payroll_lines["source_file"].eqNullSafe(repeated["newest"])
+    return payroll_lines.join(repeated, [*same_check, older], "left_anti")
 
 
 def paycheck_breakdown(totals: DataFrame, payroll_lines: DataFrame,

@@ -1,4 +1,7 @@
-"""Reports over ``spending_by_category``."""
+"""Reports over the stored ``spending_by_category``.
+
+All but :func:`spending_detail` also accept ``category_totals``, which is cheaper to derive.
+"""
 
 from __future__ import annotations
 
@@ -29,10 +32,13 @@ def _by(categories: DataFrame, months: Iterable[str] | None, *cols: str) -> Data
 
 
 def spending_mix(categories: DataFrame, months: Iterable[str] | None = None) -> DataFrame:
-    """Total per group and its share of everything chosen; the grand total is a scalar subquery."""
-    overall = _chosen(categories, months).agg(F.sum("total_spent").alias("overall")).scalar()
-    return (_by(categories, months, "category_group")
-            .withColumn("pct", F.col("total_spent") * 100 / F.nullif(overall, F.lit(0)))
+    """Total per group and its share of everything chosen.
+
+    The grand total is a scalar subquery over the group totals, so it reuses their exchange.
+    """
+    groups = _by(categories, months, "category_group")
+    overall = groups.agg(F.sum("total_spent")).scalar()
+    return (groups.withColumn("pct", F.col("total_spent") * 100 / F.nullif(overall, F.lit(0)))
             .orderBy(F.desc("total_spent"), "category_group"))
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import (date_parts, direction, flow_category, in_months, is_paycheck_deposit,
                          is_transfer, merchant_clean, transaction_key)
 from ..schemas import MERCHANT_CITY_SUFFIXES
-from ._keys import per_entity
 
 FLOW_MODES = ("All", "Expenses only", "Income only", "Exclude transfers")
 
@@ -58,24 +59,36 @@ def monthly_cashflow(transactions: DataFrame, keys: Sequence[str] = ()) -> DataF
                  F.countDistinct("category_item").alias("unique_categories")))
 
 
-def spending_by_category(transactions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per month, group and item, with the share of the month's expenses.
-
-    The window runs over aggregated rows, one per category of a month, never over transactions;
-    a join against month totals instead would scan the transactions twice.
-    """
-    month = per_entity([*keys, "year_month"])
+def category_totals(transactions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Expenses per month, group and item: what every spending report adds up."""
     return (transactions.where(is_expense())
             .groupBy(*keys, "year_month", "year", "month", "category_group", "category_item")
             .agg(F.count("*").alias("transaction_count"),
-                 F.sum("amount_abs").alias("spent"),
-                 F.round(F.avg("amount_abs"), 2).alias("avg_transaction"))
-            .select(*keys, "year_month", "year", "month", "category_group", "category_item",
-                    "transaction_count",
-                    F.round("spent", 2).alias("total_spent"),
-                    "avg_transaction",
-                    F.round(F.col("spent") * 100 / F.nullif(F.sum("spent").over(month), F.lit(0)), 2)
-                    .alias("pct_of_month")))
+                 F.round(F.sum("amount_abs"), 2).alias("total_spent"),
+                 F.round(F.avg("amount_abs"), 2).alias("avg_transaction")))
+
+
+def spending_by_category(transactions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """:func:`category_totals` with each one's share of the month's expenses.
+
+    The month's total is added up from the category rows and joined back, rather than summed in
+    a window, so that no task ever holds a whole month. Both sides of the join start from the
+    same aggregate, down to the same columns, and Spark runs it once (a reused exchange).
+    """
+    of_month = [*keys, "year_month"]
+    per_category = category_totals(transactions, keys)
+    # Counts and means are carried along to keep the two aggregates alike.
+    per_month = (per_category.groupBy(*[F.col(c).alias(f"_{c}") for c in of_month])
+                 .agg(F.sum("total_spent").alias("all_spent"),
+                      F.sum("transaction_count").alias("all_count"),
+                      F.max("avg_transaction").alias("largest_mean")))
+    if not keys:
+        per_month = F.broadcast(per_month)  # one row per calendar month
+    same_month = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in of_month])
+    has_total = (F.col("all_spent") > 0) & (F.col("all_count") > 0) & (F.col("largest_mean") >= 0)
+    share = F.round(F.col("total_spent") * 100 / F.col("all_spent"), 2)
+    return (per_category.join(per_month, same_month, "left")
+            .select(*per_category.columns, F.when(has_total, share).alias("pct_of_month")))
 
 
 def flow_summary(transactions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

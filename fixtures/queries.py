@@ -73,6 +73,10 @@ class Inputs:
     def categories(self) -> DataFrame:
         return tx.spending_by_category(self.txns)
 
+    @property
+    def category_totals(self) -> DataFrame:
+        return tx.category_totals(self.txns)
+
     @property
     def savings(self) -> DataFrame:
         return pay.savings_rate(self.totals, self.lines)
@@ -455,27 +459,27 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("r10_spending_kpis")
 def _(q):
-    return _rounded(sp.spending_kpis(q.categories), "avg_category", "monthly_average")
+    return _rounded(sp.spending_kpis(q.category_totals), "avg_category", "monthly_average")
 
 
 @query("r11_spending_mix")
 def _(q):
-    return _rounded(sp.spending_mix(q.categories), "pct")
+    return _rounded(sp.spending_mix(q.category_totals), "pct")
 
 
 @query("r12_top_categories")
 def _(q):
-    return sp.top_categories(q.categories)
+    return sp.top_categories(q.category_totals)
 
 
 @query("r12_top_categories_months")
 def _(q):
-    return sp.top_categories(q.categories, MONTHS, 25)
+    return sp.top_categories(q.category_totals, MONTHS, 25)
 
 
 @query("r13_spending_trend")
 def _(q):
-    return sp.spending_trend(q.categories)
+    return sp.spending_trend(q.category_totals)
 
 
 @query("r14_spending_detail")
