@@ -22,16 +22,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character that counts as white space; the last one is the ideographic space.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column | str) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
 def parse_money(c: Column | str, dtype: T.DecimalType = MONEY) -> Column:
     """``$1,234.56`` and ``(12.00)`` to a decimal; blank or unreadable text to NULL."""
-    bare = F.regexp_replace(strip(c), "[$,]", "")
-    signed = F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
-    return signed.try_cast(dtype)
+    bare = F.translate(strip(c), "$,", "")
+    in_brackets = bare.startswith("(") & bare.endswith(")")
+    inner = F.substring(bare, F.lit(2), F.length(bare) - 2)
+    return F.when(in_brackets, F.concat(F.lit("-"), inner)).otherwise(bare).try_cast(dtype)
 
 
 def account_bucket(account_type: Column | str) -> Column:

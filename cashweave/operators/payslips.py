@@ -1,19 +1,20 @@
-"""Payslip cell grids to typed payroll lines, in Spark expressions.
+"""Payslip grids to typed payroll lines, in Spark expressions.
 
-A grid is ``(source_file, row_no, cells)`` with one row per sheet row, blank rows included.
-Order inside a file comes from ``row_no`` alone. All windows are partitioned by file; a file is
-one workbook, read by one task, so no partition can outgrow what a task has already held.
+A grid is ``(source_file, grid)``: all rows of a sheet in order, blank rows included, every row an
+array of text cells. A workbook is unpacked inside one task anyway, so its grid arrives as one row
+and is taken apart with array functions: from file to typed lines nothing is shuffled or sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parse_money, strip
 from ..schemas import (BALANCE, HOURS, MONEY, PAYLOAD, PAYROLL_LINES, PAYSLIP_INFORMATION, RATE,
                        SECTION_OF_MARKER, conform)
 
 DATE_PATTERN = "MM/dd/yyyy"
+# The headers of the information block and of the data rows.
 META = {
     "employee_id": "Employee ID",
     "pay_period_begin": "Pay Period Begin",
@@ -21,143 +22,152 @@ META = {
     "check_date": "Check Date",
     "check_number": "Check Number",
 }
+FIELDS = ("Description", "Bank", "Balance Period", "Amount", "Amount in Pay Group Currency", "YTD",
+          "Hours", "Hours Worked", "Rate", "Dates", "Account Name", "Account Number")
 
 
-def row_map(headers: Column, values: Column) -> Column:
-    """Header -> value; of a repeated header the last value counts, headerless cells drop out.
+def _last_at(backwards: Column, name: Column) -> Column:
+    """Index of the last header of that name, given the headers in reverse; NULL if there is none."""
+    from_end = F.nullif(F.array_position(backwards, name), F.lit(0))
+    return (F.size(backwards) - from_end).cast("int")
 
-    Written without a map constructor's duplicate-key rule, so it needs no session setting.
-    """
-    pairs = F.filter(F.arrays_zip(headers.alias("h"), values.alias("v")),
-                     lambda p: (p["h"] != "") & p["v"].isNotNull())
-    names = F.array_distinct(F.transform(pairs, lambda p: p["h"]))
-    last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["h"] == n), -1)["v"])
-    return F.map_from_arrays(names, last)
-
-
-def _clean(cells: Column | str) -> Column:
-    return F.transform(cells, lambda c: strip(F.coalesce(c, F.lit(""))))
-
-
-def _label() -> Column:
-    """The stripped first cell; NULL on an empty row."""
-    return strip(F.get("cells", 0))
 
+def _blocks(grids: DataFrame) -> DataFrame:
+    """Strip all cells and find the blocks: label, first row and the row after the last.
 
-def _meta_columns(kv: Column) -> list[Column]:
-    def read(name: str, text: Column) -> Column:
+    A marker in the first cell opens a block, which ends where the next one opens. An information
+    block is one of them, so that it closes the section before it.
+    """
+    tidy = F.transform("grid", lambda row: F.transform(
+        row, lambda c: strip(F.coalesce(c, F.lit("")))))
+    marks = F.filter(
+        F.transform("grid", lambda row, i: F.struct(F.get(row, F.lit(0)).alias("label"), i.alias("at"))),
+        lambda m: m["label"].isin(*SECTION_OF_MARKER, PAYSLIP_INFORMATION))
+    blocks = F.transform("marks", lambda m, i: F.struct(
+        m["label"].alias("label"), m["at"].alias("start"),
+        F.coalesce(F.get("marks", i + 1)["at"], F.size("grid")).alias("end")))
+    return (grids.select("source_file", tidy.alias("grid")).withColumn("marks", marks)
+            .withColumn("blocks", blocks))
+
+
+def _check() -> Column:
+    """The check, from the header and value rows of the first information block."""
+    info = F.get(F.filter("blocks", lambda b: b["label"] == PAYSLIP_INFORMATION), F.lit(0))
+    headers, values = (F.get("grid", info["start"] + n) for n in (1, 2))
+    backwards = F.reverse(headers)
+
+    def read(name: str, header: str) -> Column:
+        text = F.get(values, _last_at(backwards, F.lit(header)))
         if name in ("pay_period_begin", "pay_period_end", "check_date"):
             text = F.try_to_timestamp(text, F.lit(DATE_PATTERN)).cast("date")
         return text.alias(name)
-    return [read(n, kv[h]) for n, h in META.items()]
-
-
-def _by_row():
-    return Window.partitionBy("source_file").orderBy("row_no")
-
 
-def _so_far():
-    return _by_row().rowsBetween(Window.unboundedPreceding, 0)
+    return F.struct(*[read(n, h) for n, h in META.items()])
 
 
-def _info_block() -> Column:
-    """On an information row, the two rows after it: headers and values."""
-    return F.when(_label() == PAYSLIP_INFORMATION,
-                  F.struct(F.lead("cells", 1).over(_by_row()).alias("headers"),
-                           F.lead("cells", 2).over(_by_row()).alias("values")))
-
-
-def _info_map(info: str) -> Column:
-    return row_map(_clean(F.col(f"{info}.headers")), _clean(F.col(f"{info}.values")))
-
-
-def payslip_meta(cells: DataFrame) -> DataFrame:
+def payslip_meta(grids: DataFrame) -> DataFrame:
     """Who was paid, for what period and when: one row per file, NULL for what is not there."""
-    return (cells.withColumn("info", _info_block()).groupBy("source_file")
-            .agg(F.min_by("info", F.when(F.col("info").isNotNull(), F.col("row_no"))).alias("info"))
-            .withColumn("kv", _info_map("info"))
-            .select("source_file", *_meta_columns(F.col("kv"))))
-
+    return _blocks(grids).select("source_file", _check().alias("check")).select("source_file", "check.*")
 
-def payslip_sections(cells: DataFrame) -> DataFrame:
-    """Data rows with their section, headers and the file's check, in row order.
 
-    A marker in the first cell opens a section and the row after it holds the headers. An
-    information block closes the section before it. Blank rows belong to nothing.
+def payslip_sections(grids: DataFrame) -> DataFrame:
+    """One row per section of a file: its check, headers, and data rows with their row numbers.
 
-    One shuffle and one sort by file serve every window here and in the line operators below.
+    The row after a marker holds the headers. Blank rows belong to nothing.
     """
-    label = _label()
-    opening = F.when(label.isin(*SECTION_OF_MARKER, PAYSLIP_INFORMATION),
-                     F.struct(F.col("row_no").alias("start"), label.alias("marker"),
-                              F.lead("cells", 1).over(_by_row()).alias("headers"),
-                              F.lead("row_no", 1).over(_by_row()).alias("header_row")))
     section_of = F.create_map(*[F.lit(x) for pair in SECTION_OF_MARKER.items() for x in pair])
-    blank = F.forall("cells", lambda c: strip(F.coalesce(c, F.lit(""))) == "")
-    whole = _by_row().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (cells.withColumns({"_opening": opening, "_info": _info_block()})
-            .withColumns({"_in": F.last("_opening", ignorenulls=True).over(_so_far()),
-                          "info": F.first("_info", ignorenulls=True).over(whole)})
-            .where((F.col("row_no") > F.col("_in.header_row")) & ~blank)
-            .select("source_file", "row_no", F.col("_in.start").alias("start"),
-                    section_of[F.col("_in.marker")].alias("section"),
-                    _clean(F.col("_in.headers")).alias("headers"),
-                    _clean("cells").alias("values"), "info")
-            .where("section IS NOT NULL"))
-
-
-def _line_item(kv: Column) -> Column:
-    def text(*names: str) -> Column:
-        """The first of these headers with a value that is not blank."""
-        return F.coalesce(*[F.nullif(kv[n], F.lit("")) for n in names])
-
-    first_value = F.get(F.map_values(kv), F.lit(0))
-    return F.struct(
-        F.col("row_no").alias("row_no"),
-        F.coalesce(text("Description", "Bank", "Balance Period"), first_value).alias("description"),
-        parse_money(text("Amount", "Amount in Pay Group Currency"), MONEY).alias("amount"),
-        parse_money(kv["YTD"], BALANCE).alias("ytd"),
-        parse_money(text("Hours", "Hours Worked"), HOURS).alias("hours"),
-        parse_money(kv["Rate"], RATE).alias("rate"),
-        kv["Dates"].alias("dates"), kv["Account Name"].alias("account_name"),
-        kv["Account Number"].alias("account_number"), kv.alias("raw_payload"))
-
-
-def _totals_items(current: Column, ytd: Column) -> Column:
-    """One item per metric; its place in the header row serves as ``row_no``."""
-    metrics = F.filter(F.array_distinct("headers"), lambda h: ~h.isin("", "Balance Period"))
-    none = F.lit(None)
-    return F.transform(metrics, lambda h, i: F.struct(
-        i.cast("int").alias("row_no"), h.alias("description"),
-        parse_money(current[h], MONEY).alias("amount"), parse_money(ytd[h], BALANCE).alias("ytd"),
-        none.cast(HOURS).alias("hours"), none.cast(RATE).alias("rate"),
-        none.cast("string").alias("dates"), none.cast("string").alias("account_name"),
-        none.cast("string").alias("account_number"), none.cast(PAYLOAD).alias("raw_payload")))
+
+    def section(b: Column) -> Column:
+        body = F.slice("grid", b["start"] + 3, F.greatest(b["end"] - b["start"] - 2, F.lit(0)))
+        numbered = F.transform(body, lambda row, i: F.struct(
+            (b["start"] + 2 + i).alias("row_no"), row.alias("values")))
+        return F.struct(section_of[b["label"]].alias("section"), b["start"].alias("start"),
+                        F.get("grid", b["start"] + 1).alias("headers"),
+                        F.filter(numbered, lambda r: F.array_join(r["values"], "") != "").alias("rows"))
+
+    found = F.transform(F.filter("blocks", lambda b: b["label"] != PAYSLIP_INFORMATION), section)
+    return (_blocks(grids).withColumn("check", _check())
+            .select("source_file", "check.*", F.explode(found).alias("s"))
+            .select("source_file", *META, "s.*"))
+
+
+def _field(name: str) -> Column:
+    """The position worked out for one of ``FIELDS``."""
+    return F.get("at_field", F.lit(FIELDS.index(name)))
+
+
+def _line_items() -> Column:
+    """Each data row of an ordinary section as one line, amounts still as text."""
+    def line(r: Column) -> Column:
+        def cell(name: str) -> Column:
+            return F.get(r["values"], _field(name))
+
+        def text(*options: str) -> Column:
+            """The first of these cells that is not blank; blank if all of them are."""
+            out = cell(options[-1])
+            for name in reversed(options[:-1]):
+                out = F.when(cell(name) != "", cell(name)).otherwise(out)
+            return out
+
+        first_value = F.get(r["values"], F.get("at", F.lit(0)))
+        description = text("Description", "Bank", "Balance Period")
+        payload = F.map_from_arrays("names", F.transform("at", lambda i: F.get(r["values"], i)))
+        return F.struct(
+            r["row_no"].alias("row_no"),
+            F.when(description != "", description).otherwise(first_value).alias("description"),
+            text("Amount", "Amount in Pay Group Currency").alias("amount"), cell("YTD").alias("ytd"),
+            text("Hours", "Hours Worked").alias("hours"), cell("Rate").alias("rate"),
+            cell("Dates").alias("dates"), cell("Account Name").alias("account_name"),
+            cell("Account Number").alias("account_number"), payload.alias("raw_payload"))
+
+    return F.when(F.size("names") > 0, F.transform("rows", line))
+
+
+def _totals_items() -> Column:
+    """The totals block turned round: one line per metric, with the same fields.
+
+    The last ``Current`` row gives the amounts and the last ``YTD`` row the year-to-date values.
+    A metric's place among the headers serves as its row number.
+    """
+    none = F.lit(None).cast("string")
+    metrics = F.filter(F.arrays_zip("names", "at"), lambda m: m["names"] != "Balance Period")
+    return F.transform(metrics, lambda m, i: F.struct(
+        i.alias("row_no"), m["names"].alias("description"),
+        F.get("current", m["at"]).alias("amount"), F.get("to_date", m["at"]).alias("ytd"),
+        none.alias("hours"), none.alias("rate"), none.alias("dates"), none.alias("account_name"),
+        none.alias("account_number"), F.lit(None).cast(PAYLOAD).alias("raw_payload")))
 
 
 def _expand(sections: DataFrame) -> DataFrame:
-    """Every data row to its payroll lines.
+    """Every section to its payroll lines.
 
-    The totals block is turned round: its last ``Current`` row gives the amounts and its last
-    ``YTD`` row the year-to-date values, and both are known on the block's last row.
+    Where each field stands is worked out once per section, from its headers; a repeated header
+    counts by its last column and a column without one drops out.
     """
-    is_totals, kv = F.col("section") == "totals", F.col("kv")
-
-    def latest(period: str) -> Column:
-        row = F.when(is_totals & (kv["Balance Period"] == period), F.struct("start", "kv"))
-        found = F.last(row, ignorenulls=True).over(_so_far())
-        return F.when(found["start"] == F.col("start"), found["kv"])
-
-    is_last = ~F.lead("start").over(_by_row()).eqNullSafe(F.col("start"))
-    items = (F.when(~is_totals & (F.size(kv) > 0), F.array(_line_item(kv)))
-             .when(is_totals & F.col("is_last"),
-                   _totals_items(F.col("current"), F.col("year_to_date"))))
-    return (sections.withColumn("kv", row_map(F.col("headers"), F.col("values")))
-            .withColumns({"current": latest("Current"), "year_to_date": latest("YTD"),
-                          "is_last": is_last, "check": _info_map("info")})
-            .select("source_file", "section", *_meta_columns(F.col("check")),
-                    F.explode(items).alias("item"))
-            .select("source_file", "section", *META, "item.*"))
+    backwards, is_totals = F.col("backwards"), F.col("section") == "totals"
+
+    def last_row(label: str) -> Column:
+        hits = F.filter("rows", lambda r: F.get(r["values"], _field("Balance Period")) == label)
+        return F.when(is_totals, F.try_element_at(hits, F.lit(-1))["values"])
+
+    def money(name: str, dtype) -> Column:
+        return parse_money(F.col(f"item.{name}"), dtype).alias(name)
+
+    return (sections
+            .withColumns({"names": F.array_distinct(F.filter("headers", lambda h: h != "")),
+                          "backwards": F.reverse("headers")})
+            .withColumn("at", F.transform("names", lambda n: _last_at(backwards, n)))
+            # An array made by transform() is kept as a column; a struct would be taken apart by
+            # the optimizer and every position worked out again for each data row.
+            .withColumn("at_field", F.transform(F.array(*map(F.lit, FIELDS)),
+                                                lambda f: _last_at(backwards, f)))
+            .withColumns({"current": last_row("Current"), "to_date": last_row("YTD")})
+            .select("source_file", "section", *META,
+                    F.explode(F.when(is_totals, _totals_items()).otherwise(_line_items())).alias("item"))
+            .select("source_file", "section", *META, "item.row_no", "item.description",
+                    money("amount", MONEY), money("ytd", BALANCE), money("hours", HOURS),
+                    money("rate", RATE), "item.dates", "item.account_name", "item.account_number",
+                    "item.raw_payload"))
 
 
 def payslip_totals(sections: DataFrame) -> DataFrame:
@@ -170,7 +180,7 @@ def payslip_lines(sections: DataFrame) -> DataFrame:
     return _expand(sections.where(F.col("section") != "totals"))
 
 
-def payroll_lines(cells: DataFrame) -> DataFrame:
-    """The complete bronze frame of a batch of grids, each grid decoded and sorted once."""
-    return conform(_expand(payslip_sections(cells)).withColumn("ingest_ts", F.current_timestamp()),
+def payroll_lines(grids: DataFrame) -> DataFrame:
+    """The complete bronze frame of a batch of grids, each read once."""
+    return conform(_expand(payslip_sections(grids)).withColumn("ingest_ts", F.current_timestamp()),
                    PAYROLL_LINES)

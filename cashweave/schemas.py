@@ -67,7 +67,7 @@ TRANSACTIONS_RAW = _struct(
     ("transaction_date", DATE), ("merchant", STR), ("account", STR),
     ("amount", MONEY), ("note", STR), ("source_file", STR), ("ingest_ts", TS))
 
-PAYSLIP_CELLS = _struct(("source_file", STR), ("row_no", INT), ("cells", T.ArrayType(STR)))
+PAYSLIP_GRIDS = _struct(("source_file", STR), ("grid", T.ArrayType(T.ArrayType(STR))))
 
 PAYROLL_LINES = _struct(
     ("employee_id", STR), ("pay_period_begin", DATE), ("pay_period_end", DATE),

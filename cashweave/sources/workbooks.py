@@ -1,4 +1,4 @@
-"""Payslip workbooks to cell grids: the one place where Python touches the rows.
+"""Payslip workbooks to grids of text cells: the one place where Python touches the rows.
 
 An .xlsx is a zip of XML parts and Spark has no reader for it, so each file is unpacked inside a
 task; the result is nothing but text cells, and everything after that is Spark expressions.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..schemas import PAYSLIP_CELLS
+from ..schemas import PAYSLIP_GRIDS
 from .provenance import base_name
 
 # Ship these helpers with the task, so that workers need not have the package installed.
@@ -89,37 +89,38 @@ def sheet_rows(content: bytes) -> list[list[str]]:
     return [r + [""] * (width - len(r)) for r in rows]
 
 
-ROWS_PER_BATCH = 10_000
-ARROW = pa.schema([("source_file", pa.string()), ("row_no", pa.int32()),
-                   ("cells", pa.list_(pa.string()))])
+ROWS_PER_BATCH = 10_000  # sheet rows, so that a batch stays small however long the sheets are
+ARROW = pa.schema([("source_file", pa.string()), ("grid", pa.list_(pa.list_(pa.string())))])
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, numbers, grids = [], [], []
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip((names, grids), ARROW)], schema=ARROW)
+
+    names, grids, rows = [], [], 0
     for batch in batches:
         for name, content in zip(batch.column("source_file"), batch.column("content")):
             try:
-                rows = sheet_rows(content.as_py())
+                grid = sheet_rows(content.as_py())
             except Exception as err:
                 raise ValueError(f"{name} is not a readable workbook: {err}") from err
-            names.extend([name.as_py()] * len(rows))
-            numbers.extend(range(len(rows)))
-            grids.extend(rows)
-            if len(names) >= ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip((names, numbers, grids), ARROW)], schema=ARROW)
-                names, numbers, grids = [], [], []
+            names.append(name.as_py())
+            grids.append(grid)
+            rows += len(grid)
+            if rows >= ROWS_PER_BATCH:
+                yield pack()
+                names, grids, rows = [], [], 0
     if names:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip((names, numbers, grids), ARROW)], schema=ARROW)
+        yield pack()
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
-    """``(source_file, content)`` to cell grids, each file inside one task."""
-    return files.select("source_file", "content").mapInArrow(_decode, PAYSLIP_CELLS)
+    """``(source_file, content)`` to grids, each file inside one task."""
+    return files.select("source_file", "content").mapInArrow(_decode, PAYSLIP_GRIDS)
 
 
-def read_payslip_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_payslip_grids(spark: SparkSession, path: str) -> DataFrame:
     """The grids of all workbooks below ``path``; the extension may be in any case."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]")
              .load(path))

@@ -474,7 +474,7 @@ BODIES: dict[str, str] = {
         select transaction_type "Type", case when note is null then 'unreadable date'
           else 'unreadable amount' end reason, count(*) "rows"
         from fx_raw where transaction_type = 'adjustment' group by 1, 2""",
-    "a7_payslip_cells": "select source_file, row_no, cells from fx_grid",
+    "a7_payslip_grids": "select source_file, row_no, cells from fx_grid",
     "a8_payslip_meta": f"""
         select {_FILE}, employee_id, check_date - 14 pay_period_begin, check_date - 1 pay_period_end,
           check_date, check_number from fx_checks""",

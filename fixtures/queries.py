@@ -86,8 +86,8 @@ class Inputs:
         return nw.net_worth_history(self.accounts, self.snapshots)
 
     @property
-    def cells(self) -> DataFrame:
-        return derive.payslip_cells(self.spark, self.sf_dir)
+    def grids(self) -> DataFrame:
+        return derive.payslip_grids(self.spark, self.sf_dir)
 
     def scratch(self, name: str) -> str:
         return scratch_path(self.spark, name)
@@ -167,33 +167,35 @@ def _(q):
             .agg(F.count("*").alias("rows")))
 
 
-@query("a7_payslip_cells")
+@query("a7_payslip_grids")
 def _(q):
     return (wb.decode_workbooks(derive.workbooks(q.spark, q.sf_dir))
+            .select("source_file", F.posexplode("grid").alias("row_no", "cells"))
             .withColumn("cells", F.array_join("cells", "|")))
 
 
 @query("a8_payslip_meta")
 def _(q):
-    return ps.payslip_meta(q.cells)
+    return ps.payslip_meta(q.grids)
 
 
 @query("a9_payslip_sections")
 def _(q):
-    return ps.payslip_sections(q.cells).select(
-        "source_file", "row_no", "section", "start", F.array_join("headers", "|").alias("headers"),
-        F.array_join("values", "|").alias("values"))
+    return (ps.payslip_sections(q.grids)
+            .select("source_file", "section", "start",
+                    F.array_join("headers", "|").alias("headers"), F.inline("rows"))
+            .withColumn("values", F.array_join("values", "|")))
 
 
 @query("a10_payslip_totals")
 def _(q):
-    return (ps.payslip_totals(ps.payslip_sections(q.cells))
+    return (ps.payslip_totals(ps.payslip_sections(q.grids))
             .select("source_file", "check_number", "description", "amount", "ytd"))
 
 
 @query("a11_payslip_lines")
 def _(q):
-    return (ps.payslip_lines(ps.payslip_sections(q.cells))
+    return (ps.payslip_lines(ps.payslip_sections(q.grids))
             .select("source_file", "section", "description", "amount", "ytd", "hours", "rate",
                     "dates", "account_name", "account_number",
                     F.size("raw_payload").alias("payload_fields")))
@@ -207,7 +209,7 @@ def _(q):
 
 @query("a13_payroll_bronze")
 def _(q):
-    return ps.payroll_lines(q.cells).drop("ingest_ts", "raw_payload", "row_no")
+    return ps.payroll_lines(q.grids).drop("ingest_ts", "raw_payload", "row_no")
 
 
 def _per_file(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cashweave.operators import payroll as pay, payslips as ps
-from cashweave.schemas import PAYROLL_LINES, PAYSLIP_CELLS
+from cashweave.schemas import PAYROLL_LINES, PAYSLIP_GRIDS
 from cashweave.sources import workbooks as wb
 from fixtures.derive import workbook_bytes
 from .conftest import day, dec, rows
@@ -24,14 +24,13 @@ GRID = [
 ]
 
 
-def cells(spark, *grids, names=None):
-    data = [(names[i] if names else f"f{i}.xlsx", n, row + [""] * (5 - len(row)))
-            for i, grid in enumerate(grids) for n, row in enumerate(grid)]
-    return spark.createDataFrame(data, PAYSLIP_CELLS)
+def grids(spark, *data):
+    padded = [(f"f{i}.xlsx", [row + [""] * (5 - len(row)) for row in grid]) for i, grid in enumerate(data)]
+    return spark.createDataFrame(padded, PAYSLIP_GRIDS)
 
 
 def lines(spark, grid):
-    df = ps.payroll_lines(cells(spark, grid))
+    df = ps.payroll_lines(grids(spark, grid))
     return {(r.section, r.description): r for r in df.collect()}
 
 
@@ -48,22 +47,29 @@ def test_documented_grid(spark):
 
 
 def test_result_has_the_declared_schema(spark):
-    got = ps.payroll_lines(cells(spark, GRID)).schema
+    got = ps.payroll_lines(grids(spark, GRID)).schema
     assert [(f.name, f.dataType) for f in got] == [(f.name, f.dataType) for f in PAYROLL_LINES]
 
 
-def test_row_order_of_the_input_does_not_matter(spark):
-    a = ps.payroll_lines(cells(spark, GRID, GRID).orderBy(F.desc("row_no"))).drop("ingest_ts")
-    b = ps.payroll_lines(cells(spark, GRID, GRID)).drop("ingest_ts")
-    key = ["source_file", "section", "description"]
-    assert a.orderBy(key).collect() == b.orderBy(key).collect()
+def test_ragged_rows_and_null_cells(spark):
+    grid = [["Payslip Information"], ["Employee ID", "Check Number"], ["7"], [None], [],
+            ["Withholding", None], ["Description", "", None, "Amount"], ["Federal", "x", None, "3", "4"], ["State"]]
+    df = ps.payroll_lines(spark.createDataFrame([("f", grid)], PAYSLIP_GRIDS))
+    got = rows(df.select("description", "amount", "employee_id", "check_number", "row_no"))
+    assert got == [("Federal", dec(3), "7", None, 7), ("State", None, "7", None, 8)]
+
+
+def test_empty_sections_and_sheets(spark):
+    assert lines(spark, [["Earnings"], ["Withholding"], ["Description", "Amount"], ["F", "1"]]).keys() == {
+        ("withholding", "F")}
+    assert lines(spark, []) == {} and lines(spark, [["nothing"], ["here"]]) == {}
 
 
 def test_no_information_block_gives_null_meta(spark):
-    df = ps.payroll_lines(cells(spark, GRID[4:]))
+    df = ps.payroll_lines(grids(spark, GRID[4:]))
     assert df.count() == 4
     assert df.where("employee_id IS NULL AND check_date IS NULL AND check_number IS NULL").count() == 4
-    assert rows(ps.payslip_meta(cells(spark, GRID[4:]))) == [("f0.xlsx", None, None, None, None, None)]
+    assert rows(ps.payslip_meta(grids(spark, GRID[4:]))) == [("f0.xlsx", None, None, None, None, None)]
 
 
 def test_information_block_after_a_section_ends_it(spark):
@@ -90,7 +96,7 @@ def test_description_and_amount_fall_back(spark):
             ["Bank A", "O'Hara IRA", "****1", "10.00"],
             ["Earnings"], ["Code", "Hours Worked", "Rate", "Amount", "Dates"],
             ["", "80", "12.3456", "", "x"], ["E1", "abc", "", "1", ""]]
-    df = ps.payroll_lines(cells(spark, grid))
+    df = ps.payroll_lines(grids(spark, grid))
     got = {(r.section, r.description): r for r in df.collect()}
     a = got["payment_information", "Bank A"]
     assert (a.amount, a.account_name, a.account_number) == (dec(10), "O'Hara IRA", "****1")
@@ -101,7 +107,7 @@ def test_description_and_amount_fall_back(spark):
 
 def test_two_totals_blocks_do_not_mix(spark):
     block = [["Current and YTD Totals"], ["Balance Period", "Net Pay"]]
-    df = ps.payroll_lines(cells(spark, block + [["Current", "1"]] + block + [["YTD", "2"]]))
+    df = ps.payroll_lines(grids(spark, block + [["Current", "1"]] + block + [["YTD", "2"]]))
     assert sorted((r.amount, r.ytd) for r in df.collect() if r.amount) == [(dec(1), None)]
     assert [(r.amount, r.ytd) for r in df.collect() if r.ytd] == [(None, dec(2))]
 
@@ -110,8 +116,8 @@ def test_workbooks_round_trip(spark, tmp_path):
     (tmp_path / "a b.xlsx").write_bytes(workbook_bytes(GRID))
     (tmp_path / "c+d.XLSX").write_bytes(workbook_bytes(GRID))
     (tmp_path / "note.txt").write_text("not a workbook")
-    read = wb.read_payslip_cells(spark, str(tmp_path))
-    assert read.count() == 2 * len(GRID)
+    read = wb.read_payslip_grids(spark, str(tmp_path))
+    assert sum(len(r.grid) for r in read.collect()) == 2 * len(GRID)
     got = ps.payroll_lines(read)
     assert {r.source_file for r in got.collect()} == {"a b.xlsx", "c+d.XLSX"}
     totals = pay.paycheck_totals(got)
@@ -148,14 +154,14 @@ def test_workbook_cell_types():
 def test_broken_workbook_names_the_file(spark, tmp_path):
     (tmp_path / "broken.xlsx").write_bytes(b"no zip")
     with pytest.raises(Exception, match="broken.xlsx is not a readable workbook"):
-        wb.read_payslip_cells(spark, str(tmp_path)).collect()
+        wb.read_payslip_grids(spark, str(tmp_path)).collect()
 
 
 def test_payments_equal_the_fields_of_the_payload(spark):
     """The stored columns say the same as looking the fields up in the raw payload."""
     grid = [["Payment Information"], ["Bank", "Account Name", "Account Number", "Amount"],
             ["Bank A", "Checking", "****1", "10.00"]]
-    df = ps.payroll_lines(cells(spark, grid))
+    df = ps.payroll_lines(grids(spark, grid))
     direct = rows(pay.payments(df).select("bank", "account_name", "account_number_masked"))
     assert direct == rows(df.select("description", F.col("raw_payload")["Account Name"],
                                     F.col("raw_payload")["Account Number"]))
