@@ -23,8 +23,9 @@ def load_report(loaded: DataFrame) -> DataFrame:
 
 
 def newest_transactions(loaded: DataFrame, n: int = 20) -> DataFrame:
-    return loaded.orderBy(F.desc("transaction_date"), "source_file").limit(n)
+    return loaded.orderBy(F.desc("transaction_date"), "source_file", "category_group",
+                          "category_item", "merchant", "amount").limit(n)
 
 
 def newest_payroll_lines(loaded: DataFrame, n: int = 40) -> DataFrame:
-    return loaded.orderBy(F.desc("check_date"), "section", "description").limit(n)
+    return loaded.orderBy(F.desc("check_date"), "section", "description", "check_number").limit(n)

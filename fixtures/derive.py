@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cashweave.schemas import BALANCE, HOURS, MONEY, RATE
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # One payslip line per entry: section, description, amount, and the checks that have it
 # (order key modulo ``m`` equals ``r``).
 LINES = [

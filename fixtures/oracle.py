@@ -132,22 +132,24 @@ CTES = {
           cast(ts as date) snapshot_date, cast(round(value * 100) as decimal(14,2)) balance,
           cast(null as varchar) note, case when event_id % 7 = 0 then null else ts end entered_at
         from events where event_type in ('purchase', 'signup')""",
+    "fx_kinds": """
+        values ('checking', 'Liquid', 1), ('savings', 'Liquid', 1), ('cash', 'Liquid', 1),
+          ('retirement', 'Retirement/Tax-Advantaged', 1), ('hsa', 'Retirement/Tax-Advantaged', 1),
+          ('investment', 'Investment', 1), ('liability', 'Liability', -1)""",
     "fx_buckets": """
-        select a.*, case when account_type in ('checking', 'savings', 'cash') then 'Liquid'
-          when account_type in ('retirement', 'hsa') then 'Retirement/Tax-Advantaged'
-          when account_type = 'investment' then 'Investment'
-          when account_type = 'liability' then 'Liability' else 'Other' end bucket
-        from fx_accounts a where is_active""",
+        select a.*, coalesce(k.bucket, 'Other') bucket, coalesce(k.sign, 1) sign
+        from fx_accounts a left join fx_kinds k(account_type, bucket, sign)
+          on k.account_type = a.account_type where is_active""",
     "fx_current": """
         select a.household_id, a.account_id, name, account_type, institution, display_order,
-          snapshot_date as_of_date, balance, bucket
+          snapshot_date as_of_date, balance, bucket, sign
         from fx_buckets a left join (
           select *, row_number() over (partition by account_id order by snapshot_date desc,
             entered_at desc nulls last, snapshot_id desc) n from fx_snapshots) s
         on s.account_id = a.account_id and n = 1""",
     # One row per date and active account: the balance known then.
     "fx_carried": """
-        select d.household_id, d.snapshot_date as_of_date, a.account_id, a.account_type, a.bucket,
+        select d.household_id, d.snapshot_date as_of_date, a.account_id, a.bucket, a.sign,
           (select s.balance from fx_snapshots s where s.account_id = a.account_id
              and s.snapshot_date <= d.snapshot_date
            order by s.snapshot_date desc, s.entered_at desc nulls last, s.snapshot_id desc
@@ -155,23 +157,23 @@ CTES = {
         from (select distinct household_id, snapshot_date from fx_snapshots) d
         join fx_buckets a on a.household_id = d.household_id""",
     "fx_carried_all": """
-        select d.snapshot_date as_of_date, a.account_id, a.account_type, a.bucket,
+        select d.snapshot_date as_of_date, a.account_id, a.bucket, a.sign,
           (select s.balance from fx_snapshots s where s.account_id = a.account_id
              and s.snapshot_date <= d.snapshot_date
            order by s.snapshot_date desc, s.entered_at desc nulls last, s.snapshot_id desc
            limit 1) balance
         from (select distinct snapshot_date from fx_snapshots) d cross join fx_buckets a""",
     "fx_history": """
-        select as_of_date, cast(sum(case when account_type = 'liability' then -balance else balance end) as double) net_worth,
-          cast(sum(case when bucket = 'Liquid' then balance else 0 end) as double) liquid,
-          cast(sum(case when bucket like 'Retirement%' then balance else 0 end) as double) retirement,
-          cast(sum(case when bucket = 'Investment' then balance else 0 end) as double) investments
+        select as_of_date, cast(sum(sign * balance) as double) net_worth,
+          cast(sum(case bucket when 'Liquid' then balance else 0 end) as double) liquid,
+          cast(sum(if(bucket like 'Retirement%', balance, 0)) as double) retirement,
+          cast(sum(case bucket when 'Investment' then balance else 0 end) as double) investments
         from fx_carried_all where balance is not null group by 1""",
     "fx_history_keyed": """
-        select household_id, as_of_date, cast(sum(case when account_type = 'liability' then -balance else balance end) as double) net_worth,
-          cast(sum(case when bucket = 'Liquid' then balance else 0 end) as double) liquid,
-          cast(sum(case when bucket like 'Retirement%' then balance else 0 end) as double) retirement,
-          cast(sum(case when bucket = 'Investment' then balance else 0 end) as double) investments
+        select household_id, as_of_date, cast(sum(sign * balance) as double) net_worth,
+          cast(sum(case bucket when 'Liquid' then balance else 0 end) as double) liquid,
+          cast(sum(if(bucket like 'Retirement%', balance, 0)) as double) retirement,
+          cast(sum(case bucket when 'Investment' then balance else 0 end) as double) investments
         from fx_carried where balance is not null group by 1, 2""",
 }
 
@@ -447,9 +449,9 @@ def _breakdown_sql(key: str = "") -> str:
 
 def _summary_sql(key: str = "") -> str:
     def part(bucket: str, name: str) -> str:
-        return f"cast(sum(case when bucket = '{bucket}' then balance else 0 end) as double) {name}"
+        return f"cast(sum(case bucket when '{bucket}' then balance else 0 end) as double) {name}"
     return f"""select {key + ',' if key else ''}
-        cast(sum(case when account_type = 'liability' then -balance else balance end) as double) net_worth,
+        cast(sum(sign * balance) as double) net_worth,
         {part('Liquid', 'liquid_cash')}, {part('Retirement/Tax-Advantaged', 'retirement_total')},
         {part('Investment', 'investments')}, {part('Liability', 'liabilities')},
         max(as_of_date) latest_snapshot_date from fx_current {'group by ' + key if key else ''}"""
@@ -552,8 +554,7 @@ BODIES: dict[str, str] = {
         select {CHECK}, description bank, account_name, account_number account_number_masked,
           cast(amount as double) deposit_amount from fx_lines where section = 'payment_information'""",
     "b12_b13_account_bucket": """
-        select account_id, bucket, cast(case when account_type = 'liability' then -balance else balance end
-          as double) signed_balance from fx_current""",
+        select account_id, bucket, cast(sign * balance as double) signed_balance from fx_current""",
     "e1_monthly_cashflow": _cashflow_sql(),
     "e1_monthly_cashflow_keyed": _cashflow_sql("entity_id,"),
     "e2_spending_by_category": "select * from fx_categories",
@@ -603,8 +604,15 @@ BODIES: dict[str, str] = {
         select category_group, category_item, count(*) txn_count, cast(sum(amount_abs) as double) total_spent
         from fx_txns where flow_category = 'expense' group by 1, 2 order by 4 desc, 1, 2 limit 15""",
     "e13_load_report": "select source_file, account, count(*) \"rows\" from fx_raw group by 1, 2",
+    "g3_newest_transactions": f"""
+        select {RAW_COLUMNS}, source_file from fx_raw
+        order by transaction_date desc, source_file, category_group, category_item, merchant, fx_raw.amount
+        limit 20""",
+    "g3_newest_payroll_lines": """
+        select check_date, section, description, check_number, cast(amount as double) amount from fx_lines
+        order by check_date desc, section, description, check_number limit 40""",
     "j5_latest_balances": """
-        select * exclude (household_id, balance), cast(balance as double) balance from fx_current""",
+        select * exclude (household_id, balance, sign), cast(balance as double) balance from fx_current""",
     "j6_as_of_balances": """
         with d as (select s.account_id, account_type, snapshot_date, balance, row_number() over (
             partition by s.account_id, snapshot_date order by entered_at desc nulls last, snapshot_id desc) n

@@ -407,6 +407,17 @@ def _(q):
     return health.load_report(q.raw)
 
 
+@query("g3_newest_transactions")
+def _(q):
+    return health.newest_transactions(q.raw).drop("entity_id")
+
+
+@query("g3_newest_payroll_lines")
+def _(q):
+    return (health.newest_payroll_lines(q.lines)
+            .select("check_date", "section", "description", "check_number", "amount"))
+
+
 @query("r7_spending_by_group")
 def _(q):
     return tx.spending_by_group(q.txns)
