@@ -11,7 +11,7 @@ def table_counts(cashflow: DataFrame, categories: DataFrame, savings: DataFrame,
                  edges: DataFrame) -> DataFrame:
     # The four metric names.
     named = {"Cashflow records": cashflow, "Spending categories tracked": categories,
-             "Paychecks loaded": savings, "Flow edges": edges}
+             "Paychecks loaded": savings, "Sankey flow edges": edges}
     return reduce(DataFrame.union, [
         df.agg(F.count("*").alias("value")).select(F.lit(n).alias("metric"), "value")
         for n, df in named.items()])

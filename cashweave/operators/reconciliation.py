@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import money as M, recon_status
 from ..schemas import ROTH_ACCOUNT_TEXT
-from ._keys import left_join_per_day
+from ._keys import left_join_per_day, per_entity
 from .payroll import is_roth
 
 
@@ -32,26 +32,39 @@ def daily_paycheck_income(transactions: DataFrame, keys: Sequence[str] = ()) ->
             .agg(F.sum("amount").alias("income")))
 
 
-def seen_within(daily: DataFrame, day: str, days: int, keys: Sequence[str], out_day: str,
-                value: str) -> DataFrame:
-    """Repeat each row of ``daily``, one per key and day, for every day it can be seen from.
+def add_within_days(per_day: DataFrame, day: str, value: str, out: str, days: int,
+                    keys: Sequence[str]) -> DataFrame:
+    """Add the total of ``value`` from ``days`` before to ``days`` after each row's day.
 
-    A caller can then join on equality of the day: neither a range join nor a repetition of the
-    caller's rows is needed.
+    ``per_day`` holds one row per key and day, so an entity's window cannot outgrow the calendar.
     """
+    near = per_entity(keys).orderBy(F.unix_date(day)).rangeBetween(-days, days)
+    return per_day.withColumn(out, F.sum(value).over(near))
+
+
+def seen_within(daily: DataFrame, day: str, days: int, out_day: str, value: str) -> DataFrame:
+    """The same for a single entity, days not in ``daily`` included: repeat each day's row for
+    every day it can be seen from, to be added up by ``out_day``. Needs no window over it all."""
     seen_from = F.sequence(F.date_sub(day, days), F.date_add(day, days))
-    return daily.select(*keys, F.explode(seen_from).alias(out_day), value)
+    return daily.select(F.explode(seen_from).alias(out_day), value)
 
 
 def sum_within_days(left: DataFrame, right: DataFrame, left_day: str, right_day: str, value: str,
                     days: int = 5, keys: Sequence[str] = (), out: str = "income_near") -> DataFrame:
     """``left`` with the total of ``right.value`` dated within ``days`` of ``left_day``.
 
-    A right row near two left rows counts for both. NULL where nothing is near, or no date.
+    A right row near two left rows counts for both. NULL where nothing is near, or no date. Left
+    rows are joined on equality of the day, without a range join and without repeating them.
     """
-    daily = right.groupBy(*keys, right_day).agg(F.sum(value).alias("_daily"))
-    near = (seen_within(daily, right_day, days, keys, left_day, "_daily")
-            .groupBy(*keys, left_day).agg(F.sum("_daily").alias(out)))
+    if keys:
+        dated = right.select(*keys, F.col(right_day).alias(left_day), F.col(value).alias("_value"))
+        per_day = (dated.unionByName(left.select(*keys, left_day), allowMissingColumns=True)
+                   .groupBy(*keys, left_day).agg(F.sum("_value").alias("_value")))
+        near = add_within_days(per_day, left_day, "_value", out, days, keys).drop("_value")
+    else:
+        daily = right.groupBy(right_day).agg(F.sum(value).alias("_value"))
+        near = (seen_within(daily, right_day, days, left_day, "_value")
+                .groupBy(left_day).agg(F.sum("_value").alias(out)))
     return left_join_per_day(left, near, keys, left_day).select(*left.columns, out)
 
 
@@ -69,15 +82,27 @@ def reconcile(totals: DataFrame, payments: DataFrame, transactions: DataFrame, d
     renamed = transactions
     for k, t in zip(keys, transaction_keys or keys):
         renamed = renamed.withColumn(k, F.col(t))
-    near = seen_within(daily_paycheck_income(renamed, keys), "transaction_date", days, keys,
-                       "check_date", "income")
-    per_date = (split_deposits(payments, roth, keys).unionByName(near, allowMissingColumns=True)
-                .groupBy(*keys, "check_date")
-                .agg(F.sum("budgeted_total").alias("budgeted_total"),
-                     F.sum("roth_ira_amount").alias("roth_ira_amount"),
-                     F.sum("income").alias("income_near_check")))
+
+    def per_date(parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*keys, "check_date").agg(
+            *[F.sum(c).alias(c) for c in ("budgeted_total", "roth_ira_amount", "income")])
+
+    deposits = split_deposits(payments, roth, keys)
+    if keys:
+        income = (renamed.where("is_paycheck_deposit")
+                  .select(*keys, F.col("transaction_date").alias("check_date"),
+                          F.col("amount").alias("income")))
+        # The dates of the checks themselves, so that each finds a row with its window.
+        dates = totals.select(*keys, "check_date")
+        known = add_within_days(per_date(deposits.unionByName(income, True).unionByName(dates, True)),
+                                "check_date", "income", "income_near_check", days, keys)
+    else:
+        near = seen_within(daily_paycheck_income(renamed), "transaction_date", days, "check_date",
+                           "income")
+        known = (per_date(deposits.unionByName(near, allowMissingColumns=True))
+                 .withColumnRenamed("income", "income_near_check"))
     zero = F.lit(0)
-    return (left_join_per_day(totals, per_date, keys, "check_date")
+    return (left_join_per_day(totals, known, keys, "check_date")
             .withColumn("budgeted_deposits", F.coalesce("budgeted_total", zero))
             .select(*dict.fromkeys([*keys, *carry, "check_date"]), "gross_pay", "net_pay",
                     "budgeted_deposits",

@@ -43,9 +43,9 @@ def classify_csv_layout(spark: SparkSession, path: str) -> DataFrame:
     """One row per CSV file: its path, its header as an ordered list of known columns, its layout.
 
     ``layout`` is ``old`` (seven columns), ``new`` (eight, with Account) or ``unknown`` with a
-    NULL header. Only first lines matter; Spark has no scan that stops after them, so the text
-    is scanned once, each file's first block only, and reduced to one number per file before
-    the shuffle.
+    NULL header. Only first lines matter, but Spark has no scan that stops after them: the text
+    of the batch is scanned once, lines of later blocks are dropped unread, and the rest is
+    reduced to one number per file before the shuffle.
     """
     lines = (spark.read.option("pathGlobFilter", "*.csv").text(path)
              .select(F.col("_metadata.file_path").alias("file"),

@@ -580,6 +580,11 @@ BODIES: dict[str, str] = {
         select check_number, check_date, cast((select sum(amount) from fx_txns x where is_deposit
           and x.transaction_date between t.check_date - 5 and t.check_date + 5) as double) income_near
         from fx_totals t""",
+    "j3_sum_within_days_keyed": """
+        select employee_id, check_number, check_date, cast((select sum(amount) from fx_txns x where is_deposit
+          and x.entity_id = t.employee_id
+          and x.transaction_date between t.check_date - 30 and t.check_date + 30) as double) income_near
+        from fx_totals t""",
     "e7_paycheck_reconciliation": _recon_sql(False),
     "e7_paycheck_reconciliation_keyed": _recon_sql(True),
     "r19_reconciliation_kpis": """
@@ -624,7 +629,7 @@ BODIES: dict[str, str] = {
         select 'Cashflow records' metric, (select count(*) from ({_cashflow_sql()})) as "value"
         union all select 'Spending categories tracked', (select count(*) from fx_categories)
         union all select 'Paychecks loaded', (select count(*) from fx_totals)
-        union all select 'Flow edges', (select count(*) from fx_edges)""",
+        union all select 'Sankey flow edges', (select count(*) from fx_edges)""",
     "r3_available_months": """
         select year_month from fx_txns union select strftime(check_date, '%Y-%m') from fx_totals""",
     "r5_pay_totals": f"select {_PAY_SUM} from fx_totals",

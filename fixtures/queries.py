@@ -598,6 +598,14 @@ def _(q):
             .select("check_number", "check_date", "income_near"))
 
 
+@query("j3_sum_within_days_keyed")
+def _(q):
+    deposits = q.entity_txns.where("is_paycheck_deposit").withColumnRenamed("entity_id", "employee_id")
+    return (rec.sum_within_days(q.totals, deposits, "check_date", "transaction_date", "amount", 30,
+                                EMPLOYEE)
+            .select("employee_id", "check_number", "check_date", "income_near"))
+
+
 @query("e7_paycheck_reconciliation")
 def _(q):
     return rec.reconcile(q.totals, q.payments, q.txns, carry=["check_number"])

@@ -1,4 +1,5 @@
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cashweave.operators import payroll as pay, reconciliation as rec
@@ -103,6 +104,24 @@ def test_window_bounds_and_shared_income(spark, keys):
         day("2024-01-10"): dec(14), day("2024-01-14"): dec(28), None: None}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(1, 28)), min_size=1, max_size=12),
+       st.lists(st.tuples(st.sampled_from("ab"), st.integers(1, 28), st.one_of(st.none(), st.integers(-9, 9))), max_size=12),
+       st.integers(0, 9))
+def test_sum_within_days_equals_brute_force(spark, checks, incomes, days):
+    def date(n):
+        return day(f"2024-02-{n:02}")
+    left = spark.createDataFrame([(i, e, date(d)) for i, (e, d) in enumerate(checks)], "i int, e string, d date")
+    right = spark.createDataFrame([(e, date(d), dec(a)) for e, d, a in incomes], "e string, t date, a decimal(12,2)")
+    for keys in ((), ("e",)):
+        got = rec.sum_within_days(left, right, "d", "t", "a", days, keys)
+        want = {}
+        for i, (e, d) in enumerate(checks):
+            near = [a for o, t, a in incomes if abs(t - d) <= days and (o == e or not keys) and a is not None]
+            want[i] = dec(sum(near)) if near else None
+        assert {r.i: r.income_near for r in got.collect()} == want
+
+
 def test_income_of_another_entity_does_not_count(spark):
     totals = spark.createDataFrame([("1", day(D)), ("2", day(D))], "employee_id string, check_date date")
     income = spark.createDataFrame([("2", day(D), dec(3))], "employee_id string, d date, amount decimal(12,2)")
