@@ -78,11 +78,11 @@ def schedule(spark, plan: DataFrame) -> DataFrame:
     spans = laid.withColumn("__cell", F.explode(F.sequence(F.expr(f"__lo div {width}"),
                                                            F.expr(f"(__hi - 1) div {width}"))))
     drawn = (points.join(spans, "__cell").where("__at >= __lo AND __at < __hi")
-             .select("step", "source", "source_size", "blocks", "slots", "__take"))
+             .select("step", "source", "source_size", "blocks", "__full", "__take"))
     ranked = running(drawn, ["source"], F.expr(f"step div {CHUNK}"), [F.col("step")], before="__r", total="__n")
     start, end = _cut("__r % blocks"), _cut("__r % blocks + 1")
     taken = F.least(end, F.col("__take")) - start
-    whole = F.col("__r") < F.col("slots") - F.col("slots") % F.col("blocks")
+    whole = F.expr("__r div blocks < __full")
     return ranked.select("step", "source", F.expr("__r % blocks").alias("block"), F.expr("__r div blocks").alias("turn"),
                          F.when(whole, end - start).otherwise(taken).cast("long").alias("words"))
 
@@ -109,11 +109,11 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
     quota = F.floor("target").cast("long")
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
     plan = (plan.withColumn("blocks", n).withColumn("__quota", quota)
-            .withColumn("__take", F.expr("CASE WHEN source_size > 0 THEN __quota % source_size ELSE 0 END"))
+            .withColumn("__full", F.expr("__quota div greatest(source_size, 1)"))
+            .withColumn("__take", F.expr("__quota % greatest(source_size, 1)"))
             .withColumn("__last", F.expr("(cast(__take as decimal(18,0)) * cast(blocks as decimal(18,0)) + source_size - 1) "
                                           "div greatest(source_size, 1)"))
-            .withColumn("slots", F.expr("CASE WHEN source_size > 0 THEN __quota div source_size * blocks + __last "
-                                        "ELSE 0 END").cast("long")))
+            .withColumn("slots", F.expr("__full * blocks + __last")))
     plan = _stored(plan, "mix-plan")
     slots = _stored(schedule(spark, plan), "mix-slots")
 

@@ -6,11 +6,23 @@ from .quality import RULES, STOP_WORDS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_SHARDS = """
-WITH d AS (
-  SELECT doc_id, source, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, text,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+# The table of CRC-32 comes from its polynomial; it is then applied byte by byte.
+_SHARDS = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i] || CAST(range(8) AS BIGINT[]),
+                              lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))),
+b AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         [4294967295] || list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1 ', 'g'),
+                                                     ' ')[:-2], lambda h: CAST('0x' || h AS BIGINT)) AS bytes
   FROM documents),
+d AS (
+  SELECT doc_id, source, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS size,
+         xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32,
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+  FROM b, tab),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size) - 1 AS rank,
          count(*) OVER (PARTITION BY source) AS n
@@ -100,6 +112,7 @@ FROM p
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_interleaved_shards": _SHARDS,
         "op2_quality_rules": _quality(),
         "op8_source_mix": _MIX,
     }
