@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import scratch_path
+from .components import stored
 from .ranks import running, shuffle_key
 
 HEX_DIGITS = 3
@@ -14,14 +14,6 @@ GRID = 1024        # cells in which schedule points meet the sources' intervals
 CHUNK = 1 << 14    # schedule steps whose slots one window ranks
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: computed once, and there if an executor is lost."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def targets(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0,
             source_col: str = "source", size_col: str = "size") -> DataFrame:
     """One row per source: ``source``, ``source_size`` and ``target``, in the unit of the sizes.
@@ -114,8 +106,8 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
             .withColumn("__last", F.expr("(cast(__take as decimal(18,0)) * cast(blocks as decimal(18,0)) + source_size - 1) "
                                           "div greatest(source_size, 1)"))
             .withColumn("slots", F.expr("__full * blocks + __last")))
-    plan = _stored(plan, "mix-plan")
-    slots = _stored(schedule(spark, plan), "mix-slots")
+    plan = stored(plan, "mix-plan")
+    slots = stored(schedule(spark, plan), "mix-slots")
 
     ident, size = F.col(id_col), F.col(size_col)
     keyed = sizes.withColumn("__key", shuffle_key(ident, seed))
@@ -123,7 +115,7 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
                       size, before="__start", total="__sum")
     known = plan.select(F.col("source").alias("__source"), "source_size", "target", "blocks")
     streams = streams.join(known, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source", "__sum")
-    streams = _stored(streams, "mix-streams")
+    streams = stored(streams, "mix-streams")
     # The block that holds word w is w * blocks div source_size or the next one, as cuts are rounded down.
     near = "cast({} as decimal(18,0)) * cast(blocks as decimal(18,0)) div source_size"
     first = F.expr(near.format("__start"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, sharding
+from . import bpe, mixing, quality, secrets, sharding, simhash
+from .components import stored
 from .text import word_count
 
 
@@ -31,14 +33,48 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.labelled_strings(docs))
+    found = docs.select("doc_id", secrets.spans_of(model, F.col("text")).alias("spans"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"),
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+                        number("markov"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+    """Counts and digests of the ids of every text and of the text they decode to."""
+    encode, decode = bpe.codec_functions(spark, path)
+    ids = docs.select("doc_id", encode(F.col("text")).alias("ids"))
+    both = ids.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
+    return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = mixing._stored(_table(spark, sf_dir, "documents").select(
+    sizes = stored(_table(spark, sf_dir, "documents").select(
         "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return mixing.mix(sizes)[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_interleaved_shards, op2_quality_rules, op8_source_mix,
+        op1_interleaved_shards, op2_quality_rules, op3_simhash_dedup, op5_secret_scan, op7_bpe_codec, op8_source_mix,
     )
 }

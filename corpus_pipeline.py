@@ -13,6 +13,10 @@ from cashweave.session import scratch_path
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("simhash_dedup", stages.simhash_dedup),
+    ("secret_scan", stages.secret_scan),
+    ("source_mix", stages.source_mix),
+    ("bpe_codec", stages.bpe_codec),
 ]
 
 # The secret scan's trained models and the byte-pair encoding have no SQL form.
