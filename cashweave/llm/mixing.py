@@ -120,7 +120,6 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
     near = "cast({} as decimal(18,0)) * cast(blocks as decimal(18,0)) div source_size"
     first = F.expr(near.format("__start"))
     last = F.expr(f"least(blocks - 1, {near.format(f'(__start + `{size_col}` - 1)')} + 1)")
-    own = [c for c in streams.columns if c != "blocks"]
     begin, end = _cut("block"), _cut("block + 1")
     pieces = (streams.where(size > 0).withColumn("block", F.explode(F.sequence(first, last)))
               .withColumn("__lo", F.greatest(F.col("__start"), begin) - begin)
@@ -135,4 +134,4 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
     with_words = streams.join(got, (size > 0) & F.col(source_col).eqNullSafe(F.col("__source"))
                               & (F.col("__start") == F.col("__from")), "left")
     out = with_words.withColumn("taken", F.coalesce("__taken", F.lit(0)).cast("long"))
-    return out.select(*[c for c in own if not c.startswith("__")], "taken"), slots
+    return out.select(*sizes.columns, "source_size", "target", "taken"), slots

@@ -107,5 +107,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text"
     stays empty. Further columns are carried through; the names of the measures are reserved.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # Always true, but not deterministic to the optimizer: it would else push a filter on the verdict below all
+    # projections, with every measure written out in it again and again.
+    here = F.monotonically_increasing_id() >= 0
     return (measures(docs, text_col).withColumn("base_failed", base).withColumn("failed", failed_rules(rules))
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)))
+            .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0) & here))
