@@ -110,9 +110,33 @@ FROM p
 """
 
 
+_CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS text
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
+h AS (
+  SELECT t.*, perspective,
+         '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+                                ELSE 'user name=' || speaker END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.c),
+r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM h),
+s AS (
+  SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, piece
+                                          ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "end"
+  FROM r)
+SELECT conv_id, perspective, turn, speaker, piece, CAST("end" - length(piece) AS BIGINT) AS start, "end",
+       CASE WHEN speaker = perspective THEN CAST("end" - length(piece) + length(head) AS BIGINT) END AS mask_start,
+       CASE WHEN speaker = perspective THEN CAST("end" - 1 AS BIGINT) END AS mask_end
+FROM s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_interleaved_shards": _SHARDS,
         "op2_quality_rules": _quality(),
         "op8_source_mix": _MIX,
+        "op10_chat_perspectives": _CHAT,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, secrets, sharding, simhash
+from . import bpe, chat, language, mixing, quality, secrets, sharding, simhash
 from .components import stored
 from .text import word_count
 
@@ -73,8 +73,21 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes)[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.identify(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.switches")
+
+
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_interleaved_shards, op2_quality_rules, op3_simhash_dedup, op5_secret_scan, op7_bpe_codec, op8_source_mix,
+        op9_language_spans, op10_chat_perspectives,
     )
 }
