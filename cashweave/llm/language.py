@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,9 @@ class _Seen(dict):
         return row
 
 
+_SEEN: dict[str, _Seen] = {}  # of the model at work, for as long as a Python worker lives
+
+
 @dataclass
 class Model:
     """Log-probabilities of trigram buckets per language, and which languages each script leaves."""
@@ -66,10 +70,10 @@ class Model:
     logs: np.ndarray     # buckets x languages
     allowed: np.ndarray  # scripts x languages
     penalty: float = 15.0
-    _seen: _Seen | None = field(default=None, repr=False)
+    key: str = ""
 
-    def __getstate__(self):  # what a worker remembers stays there
-        return {**self.__dict__, "_seen": None}
+    def __post_init__(self):
+        self.key = hashlib.sha256(repr(self.languages).encode() + self.logs.tobytes() + self.allowed.tobytes()).hexdigest()
 
     def score(self, word: str) -> np.ndarray:
         """The word's log-likelihood in every language; far below for those that do not use its script."""
@@ -78,10 +82,12 @@ class Model:
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores and numbers of letters, one row per word."""
-        if self._seen is None or len(self._seen) > CACHED_WORDS:
-            self._seen = _Seen(self)
-        rows = np.fromiter(map(self._seen.__getitem__, words), np.int64, len(words))
-        return self._seen.scores[rows], self._seen.letters[rows]
+        seen = _SEEN.get(self.key)
+        if seen is None or len(seen) > CACHED_WORDS:
+            _SEEN.clear()
+            seen = _SEEN[self.key] = _Seen(self)
+        rows = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        return seen.scores[rows], seen.letters[rows]
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
