@@ -20,8 +20,12 @@ LONGEST_CACHED = 64      # letters; longer pieces are worked out each time
 # Fixed value: how a byte-level tokenizer cuts text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# The same for ASCII texts, in classes that the standard library has; it takes half the time.
-ASCII_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+# The same for texts without a character outside these ranges, in classes that the standard library has; it takes
+# half the time. Of the characters from U+00C0 to U+024F all but two are letters.
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+WESTERN_PIECES = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\t-\r 0-9{LETTERS}]+"
+                  r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+NOT_WESTERN = re.compile(rf"[^\x00-\x7F{LETTERS}]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,18 +75,20 @@ class Codec:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+        self.pairs = {bytes([a, b]): (m[0], x, y) for a, x in enumerate(self.first) for b, y in enumerate(self.first)
+                      if (m := self.merges.get((x, y)))}
         self.strings = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for string, i in vocab.items():
             self.strings[i] = bytes(letters[c] for c in string)
         for string, i in self.special.items():
             self.strings[i] = string.encode()
-        self._any, self._ascii = regex.compile(PIECES).findall, re.compile(ASCII_PIECES).findall
+        self._any, self._western = regex.compile(PIECES).findall, re.compile(WESTERN_PIECES).findall
         longest = sorted(self.special, key=len, reverse=True)
         self._marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self._piece = _Pieces(self.merge).__getitem__
 
     def _cut(self, text: str) -> list[str]:
-        return self._ascii(text) if text.isascii() else self._any(text)
+        return self._any(text) if NOT_WESTERN.search(text) else self._western(text)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. Symbols form a doubly linked list; the queue holds (rank, place, left, right), and an
@@ -90,8 +96,8 @@ class Codec:
         ids = [self.first[b] for b in piece]
         n = len(ids)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        merges, pop, push = self.merges, heapq.heappop, heapq.heappush
-        queue = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        merges, pairs, pop, push = self.merges, self.pairs, heapq.heappop, heapq.heappush
+        queue = [(m[0], i, m[1], m[2]) for i in range(n - 1) if (m := pairs.get(piece[i:i + 2]))]
         heapq.heapify(queue)
         while queue:
             _, i, left, right = pop(queue)
@@ -128,8 +134,9 @@ class Codec:
 _CODECS: dict[str, Codec] = {}  # by digest, for as long as a Python worker lives
 
 
-def codec_functions(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """``encode`` (text to packed ids) and ``decode`` (packed ids to text) on columns, for the vocabulary at ``path``.
+def codec_functions(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], ...]:
+    """Three functions on columns, for the vocabulary at ``path``: ``encode`` (text to packed ids), ``decode`` (packed ids
+    to text) and ``both`` (text to a struct of ``ids`` and ``decoded``, the text that these ids decode to).
 
     Ids are packed as little-endian unsigned 32-bit integers, so a row's count is its octets divided by four.
     The file is read on the driver and broadcast; its size is fixed. A NULL or empty text has no ids, and no ids
@@ -155,4 +162,11 @@ def codec_functions(spark: SparkSession, path: str) -> tuple[Callable[[Column],
         c = codec()
         return pa.array([c.decode(b or b"") for b in ids.to_pylist()], pa.string())
 
-    return encode, decode
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        c = codec()
+        ids = [c.encode(t or "") for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())],
+                                          ["ids", "decoded"])
+
+    return encode, decode, both

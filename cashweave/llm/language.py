@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15          # hashed character trigrams
+CHARACTERS = 1 << 21       # of text labelled side by side, and the rest of its last text
 CACHED_WORDS = 3 << 18     # words whose scores a Python worker remembers from batch to batch
 
 # Unicode ranges of scripts; letters elsewhere count as one further script.
@@ -174,31 +175,41 @@ def identify(model: Model, text: Column, positions: bool = False) -> Column:
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         texts = [t or "" for t in texts.to_pylist()]
-        words = [WORD.findall(t) if names else [] for t in texts]
+        out = [None] * len(texts)
+        # Texts of like length side by side, and so many at a time that their words take little memory.
+        order, group, held = sorted(range(len(texts)), key=lambda i: -len(texts[i])), [], 0
+        for i in order:
+            group.append(i)
+            held += len(texts[i])
+            if held > CHARACTERS:
+                label_texts(texts, group, out)
+                group, held = [], 0
+        label_texts(texts, group, out)
+        return pa.array(out, pa.struct([("lang", pa.string()), ("score", pa.float64()), ("switches", pa.int32()),
+                                        ("spans", spans_type)]))
+
+    def label_texts(texts: list[str], group: list[int], out: list) -> None:
+        words = [WORD.findall(texts[i]) if names else [] for i in group]
         lengths = np.array([len(w) for w in words], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(words) else lengths
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)[:-1]
         scores, letters = model.scores([w for ws in words for w in ws])
         label = viterbi(scores, starts, lengths, model.penalty) if len(scores) else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(texts)), lengths)
+        doc = np.repeat(np.arange(len(group)), lengths)
         k = max(1, len(names))
-        by = np.bincount(doc * k + label, letters, len(texts) * k).reshape(-1, k)
-        change = np.zeros(len(texts), np.int64)
-        if len(label) > 1:
-            np.add.at(change, doc[1:], (doc[1:] == doc[:-1]) & (label[1:] != label[:-1]))
+        by = np.bincount(doc * k + label, letters, len(group) * k).reshape(-1, k)
+        changes = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (label[1:] != label[:-1])], minlength=len(group))
         total, best = by.sum(axis=1), by.argmax(axis=1)
-        some = total > 0
-        out_spans: list = [None] * len(texts)
-        if positions:
-            for i, t in enumerate(texts):
-                out_spans[i] = runs = []
-                for m, x in zip(WORD.finditer(t), label[starts[i]:starts[i] + lengths[i]]):
-                    if runs and runs[-1]["lang"] == names[x]:
-                        runs[-1]["end"] = m.end()
+        for g, i in enumerate(group):
+            spans = None
+            if positions:
+                spans = []
+                for m, x in zip(WORD.finditer(texts[i]), label[starts[g]:starts[g] + lengths[g]]):
+                    if spans and spans[-1]["lang"] == names[x]:
+                        spans[-1]["end"] = m.end()
                     else:
-                        runs.append({"lang": names[x], "start": m.start(), "end": m.end()})
-        return pa.StructArray.from_arrays([
-            pa.array([names[b] if s else "und" for b, s in zip(best, some)], pa.string()),
-            pa.array(np.where(some, by.max(axis=1) / np.maximum(total, 1), 0.0)),
-            pa.array(change.astype(np.int32)), pa.array(out_spans, spans_type)], ["lang", "score", "switches", "spans"])
+                        spans.append({"lang": names[x], "start": m.start(), "end": m.end()})
+            some = total[g] > 0
+            out[i] = {"lang": names[best[g]] if some else "und", "score": by[g, best[g]] / total[g] if some else 0.0,
+                      "switches": int(changes[g]), "spans": spans}
 
     return run(text)

@@ -56,9 +56,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """Counts and digests of the ids of every text and of the text they decode to."""
-    encode, decode = bpe.codec_functions(spark, path)
-    ids = docs.select("doc_id", encode(F.col("text")).alias("ids"))
-    both = ids.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
+    _, _, both = bpe.codec_functions(spark, path)
+    both = docs.select("doc_id", both(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
