@@ -133,10 +133,25 @@ FROM s
 """
 
 
+_NEAREST = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce([0.0::DOUBLE] || list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_interleaved_shards": _SHARDS,
         "op2_quality_rules": _quality(),
+        "op4_vantage_neighbours": _NEAREST,
         "op8_source_mix": _MIX,
         "op10_chat_perspectives": _CHAT,
     }

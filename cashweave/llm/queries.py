@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, mixing, quality, secrets, sharding, simhash
+from . import bpe, chat, language, mixing, neighbours, quality, repeats, secrets, sharding, simhash
 from .components import stored
 from .text import word_count
 
@@ -37,6 +37,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op4_vantage_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact: the pruning factor is one."""
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, factor=1.0)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.labelled_strings(docs))
@@ -54,6 +59,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         number("markov"))
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def encoded(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """Counts and digests of the ids of every text and of the text they decode to."""
     _, _, both = bpe.codec_functions(spark, path)
@@ -86,7 +95,8 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_interleaved_shards, op2_quality_rules, op3_simhash_dedup, op5_secret_scan, op7_bpe_codec, op8_source_mix,
+        op1_interleaved_shards, op2_quality_rules, op3_simhash_dedup, op4_vantage_neighbours,
+        op5_secret_scan, op6_repeated_strings, op7_bpe_codec, op8_source_mix,
         op9_language_spans, op10_chat_perspectives,
     )
 }
