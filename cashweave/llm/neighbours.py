@@ -119,8 +119,9 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, factor: float = 1.0, sha
     block = F.pmod(F.xxhash64("id", F.lit(seed)), "blocks").cast("int")
     held = rows.select("id", "v", "dim", "reach", shard.alias("shard"),
                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asked = rows.where(is_query).select("id", "v", "dim", block.alias("block"),
-                                        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    asked = rows.where(is_query).select(
+        F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("dim").alias("of_dim"), block.alias("of_block"),
+        F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("of_shard"))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
@@ -128,13 +129,12 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, factor: float = 1.0, sha
             return kind.empty_table()
         reach = left["reach"][0].as_py()
         tree = _Tree(left["id"].to_numpy(), _matrix(left["v"]), reach, seed)
-        s = _Search(tree, right["id"].to_numpy(), _matrix(right["v"]), k, factor)
+        s = _Search(tree, right["query_id"].to_numpy(), _matrix(right["q"]), k, factor)
         some = np.isfinite(s.score)
-        return pa.table([right["id"], pa.array([f[m] for f, m in zip(s.found, some)], kind.field(1).type),
+        return pa.table([right["query_id"], pa.array([f[m] for f, m in zip(s.found, some)], kind.field(1).type),
                          pa.array([f[m] for f, m in zip(s.score, some)], kind.field(2).type)], schema=kind)
 
-    cell = ["dim", "shard", "block"]
-    parts = held.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(
+    parts = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("of_dim", "of_shard", "of_block")).applyInArrow(
         search, "query_id long, found array<long>, scores array<double>")
     each = parts.select("query_id", F.explode(F.arrays_zip("found", "scores")).alias("r")).select(
         "query_id", F.col("r.found").alias(id_col), F.col("r.scores").alias("score"))

@@ -3,7 +3,7 @@
 Plain prefix doubling sorts every position of the corpus at every length. Here names of strings (hashes, equal for
 equal strings) take the place of ranks, and three sorts of shrinking sets take the place of rounds over all positions:
 
-1. Names of 16 bytes, built up by doubling, at sampled positions only: of any 85 successive positions that with the
+1. Names of 32 bytes, built up by doubling, at sampled positions only: of any 69 successive positions that with the
    smallest name (leftmost, if equal) is an anchor, so equal 100-byte strings have the same anchor at the same place.
    The strings that share an anchor form a segment; Spark sorts segments by anchor name, and unique ones are dropped.
 2. Within an anchor name segments are sorted by the name of the whole segment. All but the first of equal
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .components import stored
 
 LENGTH = 100
-CORE = 16                    # bytes of an anchor
+CORE = 32                    # bytes of an anchor; short ones repeat by chance
 SPAN = LENGTH - CORE + 1     # positions that one anchor must serve
 BLOCK = 1 << 20              # bytes handled by one round of array operations, and the rest of the last text
 LONGEST = 1 << 23            # bytes of one text handled at once; longer ones are cut with overlap
@@ -34,16 +34,16 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 def names(data: np.ndarray) -> np.ndarray:
-    """A name of the 16 bytes from every position, by doubling: a name of 2k bytes comes from two of k."""
+    """A name of the 32 bytes from every position, by doubling: a name of 2k bytes comes from two of k."""
     h = (data.astype(np.uint64) + np.uint64(1)) * _ODD[0]
-    for k in (1, 2, 4, 8):
+    for k in (1, 2, 4, 8, 16):
         h = h[:-k] * _ODD[1] + (h[k:] ^ (h[k:] >> np.uint64(31))) * _ODD[2]
         h ^= h >> np.uint64(29)
     return h * _ODD[0]
 
 
 def _anchors(h: np.ndarray) -> np.ndarray:
-    """The anchor of every position whose 100 bytes lie in the data: of its 85 names the smallest, the leftmost if equal."""
+    """The anchor of every position whose 100 bytes lie in the data: of its 69 names the smallest, the leftmost if equal."""
     low = np.uint64(24)
     m = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
     width = 1
