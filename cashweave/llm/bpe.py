@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession, functions as F
 
-CACHED_PIECES = 3 << 19  # pieces of text whose ids a Python worker remembers, about 150 bytes each
+CACHED_PIECES = 5 << 17  # pieces of text whose ids a Python worker remembers, about 150 bytes each
 LONGEST_CACHED = 64      # letters; longer pieces are worked out each time
 
 # Fixed value: how a byte-level tokenizer cuts text into pieces.

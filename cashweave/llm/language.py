@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15          # hashed character trigrams
 CHARACTERS = 1 << 21       # of text labelled side by side, and the rest of its last text
-CACHED_WORDS = 3 << 18     # words whose scores a Python worker remembers from batch to batch
+CACHED_WORDS = 1 << 19     # words whose scores a Python worker remembers from batch to batch
 
 # Unicode ranges of scripts; letters elsewhere count as one further script.
 SCRIPTS = (
