@@ -91,12 +91,12 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
 
     Rows without words (NULL or empty texts) take part with ``taken`` 0. Equal rows and equal ids are
     rows of their own. NULL is a source like any other. An empty table gives an empty one. Further columns are
-    carried through; ``source_size``, ``target`` and ``taken`` are reserved.
+    carried through, but for those called ``source_size``, ``target``, ``taken``, ``blocks`` or ``block``.
 
     No source is held by one task: streams are laid out in 4,096 buckets of the shuffle key, and blocks
     and slots are joined on (source, block).
     """
-    spark = sizes.sparkSession
+    sizes = sizes.drop("source_size", "target", "taken", "blocks", "block")
     plan = targets(sizes, weights, most, source_col, size_col)
     quota = F.floor("target").cast("long")
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
@@ -107,7 +107,7 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
                                           "div greatest(source_size, 1)"))
             .withColumn("slots", F.expr("__full * blocks + __last")))
     plan = stored(plan, "mix-plan")
-    slots = stored(schedule(spark, plan), "mix-slots")
+    slots = stored(schedule(sizes.sparkSession, plan), "mix-slots")
 
     ident, size = F.col(id_col), F.col(size_col)
     keyed = sizes.withColumn("__key", shuffle_key(ident, seed))

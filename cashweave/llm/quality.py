@@ -29,6 +29,10 @@ class Rule:
     high: float | None = None
 
 
+RESERVED = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words",
+            "mean_word_length", "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "repeat_word_ratio",
+            "base_failed", "failed", "kept")
+
 RULES = (
     Rule("words", "n_words", low=20),
     Rule("word_length", "mean_word_length", low=2, high=15),
@@ -52,6 +56,7 @@ def measures(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str]
     so work is n log n for a text of n words however often it repeats itself.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.drop(*RESERVED)
     cut = docs.select(
         *docs.columns, words(text).alias("__w"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("__lines"),
@@ -104,7 +109,8 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text"
     ``base_failed``: fewer than 20 words, or over 30 in 100 words lie in repeated windows. Such a text is not
     kept whatever the rules say; the others are kept if no rule fails. NULL, empty and wordless texts are
     base failures. Each row is judged alone, so repeated rows and ties get the same verdict, and an empty table
-    stays empty. Further columns are carried through; the names of the measures are reserved.
+    stays empty. Further columns are carried through, but for those whose names (``RESERVED``)
+    the results need: these are replaced.
     """
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     # Always true, but not deterministic to the optimizer: it would else push a filter on the verdict below all

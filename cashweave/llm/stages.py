@@ -17,7 +17,8 @@ from .text import word_count
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    packed = docs.select("text", F.struct(*docs.columns).alias("__doc"))  # whatever other columns are called
+    return quality.judge(packed).where("kept").select("__doc.*")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
