@@ -129,9 +129,15 @@ def active_accounts(accounts: DataFrame) -> DataFrame:
             .select("account_id", "name", "account_type", "institution"))
 
 
-def snapshot_log(snapshots: DataFrame, accounts: DataFrame, n: int = 200) -> DataFrame:
-    """The newest ``n`` snapshots of registered accounts, with the account's name."""
-    return (snapshots.join(accounts.select("account_id", F.col("name").alias("account")),
-                           "account_id")
-            .orderBy(F.desc("snapshot_date"), F.desc("entered_at"), "snapshot_id").limit(n)
-            .select("snapshot_date", "account", "balance", "note", "snapshot_id", "entered_at"))
+def snapshot_log(snapshots: DataFrame, accounts: DataFrame, n: int = 200, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest ``n`` snapshots of registered accounts, with the account's name; with ``keys``, of each entity."""
+    keys = list(keys)
+    named = snapshots.join(accounts.select(*keys, "account_id", F.col("name").alias("account")),
+                           [*keys, "account_id"])
+    newest = [F.desc("snapshot_date"), F.desc("entered_at"), F.col("snapshot_id")]
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
+        log = named.withColumn("place", place).where(F.col("place") <= n)
+    else:
+        log = named.orderBy(*newest).limit(n)
+    return log.select(*keys, "snapshot_date", "account", "balance", "note", "snapshot_id", "entered_at")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import strip
 from ..schemas import ACCOUNT_DEFINITIONS, ACCOUNT_TYPES, BALANCE_SNAPSHOTS, conform
@@ -25,20 +27,40 @@ def seed_accounts(registry: DataFrame, seeds: DataFrame) -> DataFrame:
                                             ACCOUNT_DEFINITIONS), ["account_id"])
 
 
-def new_accounts(registry: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requested accounts with a generated id; blank names and ids already taken are left out.
+def _refusal() -> Column:
+    """Why a request is refused; NULL if it is not."""
+    return (F.when(F.coalesce(strip("name"), F.lit("")) == "", "blank name")
+            .when(~F.coalesce(F.col("account_type").isin(*ACCOUNT_TYPES), F.lit(False)), "unknown account type"))
+
+
+def new_accounts(registry: DataFrame, requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """An account for every valid request, with an id of its own within its entity; ``keys`` come first.
 
-    Two requests that generate the same id are one account; the first by name is kept.
+    Requests that generate the same id are numbered by name and then by their other columns, after the
+    accounts already registered: ``acct_x``, ``acct_x-2``, ... A generated id has no hyphen, so a numbered
+    one is never another name's. What is left out is listed by :func:`refused_accounts`.
     """
-    rows = (requests.where(strip("name") != "")
-            .withColumn("account_id", account_id("name")).withColumn("is_active", F.lit(True)))
-    chosen = (rows.groupBy("account_id")
-              .agg(F.min(F.struct("name", *[c for c in rows.columns
-                                            if c not in ("account_id", "name")])).alias("r"))
-              .select("account_id", "r.*"))
-    known_type = F.col("account_type").isin(*ACCOUNT_TYPES)
-    checked = chosen.withColumn("account_type", F.when(known_type, F.col("account_type")))
-    return insert_missing(registry, conform(checked, ACCOUNT_DEFINITIONS), ["account_id"])
+    keys, number = list(keys), F.regexp_extract("account_id", r"-(\d+)$", 1)
+    taken = (registry.select(*keys, F.regexp_replace("account_id", r"-\d+$", "").alias("base"),
+                             F.when(number == "", 1).otherwise(number.cast("int")).alias("n"))
+             .groupBy(*keys, "base").agg(F.max("n").alias("taken")))
+    rows = (requests.where(_refusal().isNull()).withColumn("base", account_id("name"))
+            .withColumn("is_active", F.lit(True)))
+    others = sorted(c for c in requests.columns if c not in ("name", *keys))
+    order = Window.partitionBy(*keys, "base").orderBy("name", *others)
+    same = F.lit(True)
+    for c in [*keys, "base"]:
+        same = same & rows[c].eqNullSafe(taken[c])
+    n = F.col("at") + F.coalesce("taken", F.lit(0))
+    named = (rows.withColumn("at", F.row_number().over(order)).alias("r").join(taken, same, "left")
+             .select(*[F.col(f"r.{c}") for c in rows.columns if c != "base"],
+                     F.concat(F.col("r.base"), F.when(n > 1, F.concat(F.lit("-"), n)).otherwise("")).alias("account_id")))
+    return conform(named, ACCOUNT_DEFINITIONS, keys)
+
+
+def refused_accounts(requests: DataFrame) -> DataFrame:
+    """The requests without a name or with a type that does not exist, with the ``reason``."""
+    return requests.withColumn("reason", _refusal()).where("reason IS NOT NULL")
 
 
 def new_snapshots(balances: DataFrame, allow_zero: bool = False) -> DataFrame:

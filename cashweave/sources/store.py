@@ -72,9 +72,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    """Add rows to the newest version of a table."""
+    """Add rows to the newest complete version of a table; without one, to a folder no refresh has touched."""
     spark = rows.sparkSession
-    rows.write.mode("append").parquet(latest_version(spark, path) or f"{path}/v0")
+    begun = _subfolders(spark, path, "v")
+    rows.write.mode("append").parquet(
+        latest_version(spark, path) or f"{path}/v{begun[-1] + 1 if begun else 0}")
 
 
 def replace_by_file(batch: DataFrame, path: str, schema: T.StructType) -> None:

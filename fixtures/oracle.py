@@ -48,7 +48,7 @@ CTES = {
           concat('payslip_', cast(o_orderkey % 100 as varchar), '.xlsx') source_file,
           cast(o_totalprice as decimal(12,2)) gross_pay,
           cast(cast(o_totalprice as decimal(12,2)) - 350 as decimal(12,2)) net_pay
-        from orders where o_totalprice > 1000""",
+        from orders""",
     "fx_lines": f"""
         select employee_id, check_date - 14 pay_period_begin, check_date - 1 pay_period_end,
           check_date, check_number, section, description,
@@ -131,7 +131,7 @@ CTES = {
         select user_id % 10 household_id, event_id snapshot_id, user_id account_id,
           cast(ts as date) snapshot_date, cast(round(value * 100) as decimal(14,2)) balance,
           cast(null as varchar) note, case when event_id % 7 = 0 then null else ts end entered_at
-        from events where event_type in ('purchase', 'signup')""",
+        from events""",
     "fx_kinds": """
         values ('checking', 'Liquid', 1), ('savings', 'Liquid', 1), ('cash', 'Liquid', 1),
           ('retirement', 'Retirement/Tax-Advantaged', 1), ('hsa', 'Retirement/Tax-Advantaged', 1),
@@ -511,10 +511,18 @@ BODIES: dict[str, str] = {
         select snapshot_id, account_id, snapshot_date, cast(balance as double) balance
         from fx_snapshots where entered_at is not null""",
     "a21_new_accounts": """
-        with r as (select p_name || ' No. ' || cast(p_size as varchar) as name from part),
-          i as (select name, 'acct_' || regexp_replace(substr(replace(lower(name), ' ', '_'), 1, 20),
+        with r as (select p_name || ' No. ' || cast(p_size as varchar) as name, p_brand institution from part),
+          i as (select name, institution, 'acct_' || regexp_replace(substr(replace(lower(name), ' ', '_'), 1, 20),
             '[^a-z0-9_]', '', 'g') account_id from r)
-        select account_id, min(name) as name, 'cash' account_type, true is_active from i group by account_id""",
+        select account_id || case when n > 1 then '-' || n else '' end account_id, name, 'cash' account_type, institution,
+          true is_active
+        from (select *, row_number() over (partition by account_id order by name, institution) n from i)""",
+    "a21_refused_accounts": """
+        select name, account_type, institution,
+          case when p_size % 7 = 1 then 'blank name' else 'unknown account type' end reason
+        from (select case when p_size % 7 = 1 then '  ' else p_name end as name, p_size, p_brand institution,
+                case when p_size % 7 = 2 then 'boat' when p_size % 7 <> 3 then 'cash' end account_type from part)
+        where p_size % 7 in (1, 2, 3)""",
     "a22_scan": """
         select * from fx_categories where year = 1996
         order by total_spent desc, year_month, category_group, category_item limit 100""",
@@ -714,6 +722,13 @@ BODIES: dict[str, str] = {
           epoch_us(entered_at) entered_at
         from fx_snapshots s join fx_accounts a on a.account_id = s.account_id
         order by snapshot_date desc, s.entered_at desc nulls last, snapshot_id limit 200""",
+    "r23_snapshot_log_keyed": """
+        select household_id, snapshot_date, name account, cast(balance as double) balance, s.note, snapshot_id,
+          epoch_us(entered_at) entered_at
+        from (select *, account_id // 10 a from fx_snapshots) s
+        join (select household_id, account_id // 10 a, name from fx_accounts) using (household_id, a)
+        qualify row_number() over (partition by household_id
+          order by snapshot_date desc, s.entered_at desc nulls last, snapshot_id) <= 200""",
     "r24_paycheck_deposits": """
         select transaction_date, category_item, merchant_clean, cast(amount as double) amount
         from fx_txns where is_deposit""",

@@ -291,7 +291,17 @@ def _(q):
                 .select(F.concat("p_name", F.lit(" No. "), "p_size").alias("name"),
                         F.lit("cash").alias("account_type"), F.col("p_brand").alias("institution")))
     return (registry.new_accounts(_registry(q), requests)
-            .select("account_id", "name", "account_type", "is_active"))
+            .select("account_id", "name", "account_type", "institution", "is_active"))
+
+
+@query("a21_refused_accounts")
+def _(q):
+    odd = F.col("p_size") % 7
+    requests = (derive.table(q.spark, q.sf_dir, "part")
+                .select(F.when(odd == 1, "  ").otherwise(F.col("p_name")).alias("name"),
+                        F.when(odd == 2, "boat").when(odd != 3, "cash").alias("account_type"),
+                        F.col("p_brand").alias("institution")))
+    return registry.refused_accounts(requests).select("name", "account_type", "institution", "reason")
 
 
 @query("a22_scan")
@@ -715,6 +725,14 @@ def _(q):
             .withColumn("entered_at", F.unix_micros(F.col("entered_at").cast("timestamp"))))
 
 
+@query("r23_snapshot_log_keyed")
+def _(q):
+    short = (F.col("account_id") / 10).cast("long")  # ids that several households have
+    return (nw.snapshot_log(q.snapshots.withColumn("account_id", short), q.accounts.withColumn("account_id", short),
+                            keys=["household_id"])
+            .withColumn("entered_at", F.unix_micros(F.col("entered_at").cast("timestamp"))))
+
+
 def _nine(df: DataFrame, *cols: str) -> DataFrame:
     """Nine significant digits: the last ones depend on the order of summation."""
     return df.withColumns({c: F.format_string("%.8e", c).cast("double") for c in cols})

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as contract
 from fixtures.compare import differences, duck
+from fixtures.queries import QUERIES
 
 SQL = contract.oracle_sql()
 
@@ -14,10 +15,10 @@ def con(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(SQL)
+    assert set(QUERIES) <= set(SQL)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf_dir, name):
     ours = contract.queries()[name](spark, sf_dir).toArrow()
     assert ours.num_rows > 0

@@ -65,3 +65,14 @@ def test_files_to_views(spark, tmp_path):
     left = store.read_table(spark, snapshots_path, BALANCE_SNAPSHOTS)
     assert nw.net_worth_summary(accounts, left).first().net_worth == dec(50)
     assert left.where(F.col("entered_at").isNull()).count() == 0
+
+
+def test_empty_sources(spark, tmp_path):
+    """No files at all: every job runs and every view can be read."""
+    tables = refresh.Tables(f"{tmp_path}/lake")
+    refresh.refresh_silver(spark, tables)
+    refresh.refresh_gold(spark, tables)
+    refresh.register_views(spark, tables)
+    for name in (*refresh.silver_schemas(spark), *refresh.gold_schemas(spark), "net_worth_summary"):
+        assert spark.table(name).count() >= 0
+    assert spark.table("savings_rate").count() == 0

@@ -127,11 +127,35 @@ def test_new_accounts(spark):
     asked = spark.createDataFrame([("Old", "cash"), ("New", "hsa"), ("  ", "cash"), ("new", "cash")],
                                   "name string, account_type string")
     got = registry.new_accounts(known, asked)
-    assert rows(got.select("account_id", "name", "account_type", "is_active")) == [
-        ("acct_new", "New", "hsa", True)]
-    bad = spark.createDataFrame([("X", "boat")], "name string, account_type string")
-    with pytest.raises(Exception, match="account_type"):
-        registry.new_accounts(known, bad).collect()
+    assert sorted(rows(got.select("account_id", "name", "account_type", "is_active"))) == [
+        ("acct_new", "New", "hsa", True), ("acct_new-2", "new", "cash", True), ("acct_old-2", "Old", "cash", True)]
+    bad = spark.createDataFrame([("X", "boat"), ("  ", "cash"), ("Y", None)], "name string, account_type string")
+    assert registry.new_accounts(known, bad).count() == 0
+    assert sorted(rows(registry.refused_accounts(bad).select("name", "reason"))) == [
+        ("  ", "blank name"), ("X", "unknown account type"), ("Y", "unknown account type")]
+
+
+def test_new_accounts_keep_every_request(spark):
+    """Names that share their first twenty characters, and households that share a name."""
+    known = registry_of(spark).withColumn("household_id", F.lit("h1"))
+    asked = spark.createDataFrame(
+        [("h1", "Retirement savings account one", "hsa"), ("h1", "Retirement savings account two", "hsa"),
+         ("h1", "Checking", "cash"), ("h2", "Checking", "cash")],
+        "household_id string, name string, account_type string")
+    got = registry.new_accounts(known, asked, keys=["household_id"])
+    assert sorted(rows(got.select("household_id", "account_id", "name"))) == [
+        ("h1", "acct_checking", "Checking"), ("h1", "acct_retirement_savings_a", "Retirement savings account one"),
+        ("h1", "acct_retirement_savings_a-2", "Retirement savings account two"), ("h2", "acct_checking", "Checking")]
+
+
+def test_append_after_an_aborted_refresh(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(3).write.parquet(f"{path}/v0")
+    (tmp_path / "t" / "v0" / "_SUCCESS").unlink()
+    store.append_rows(spark.range(10, 12), path)
+    assert sorted(rows(store.read_table(spark, path))) == [(10,), (11,)]
+    store.append_rows(spark.range(12, 13), path)
+    assert sorted(rows(store.read_table(spark, path))) == [(10,), (11,), (12,)]
 
 
 def test_new_snapshots(spark):
