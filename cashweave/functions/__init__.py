@@ -1,4 +1,4 @@
-from .dates import in_months, month_of, month_ranges
+from .dates import in_months, month_of, month_ranges, rows_in_months
 from .money import (account_bucket, bucket_key, parse_money, recon_status, signed_balance,
                     strip)
 from .transactions import (date_parts, direction, flow_category, is_paycheck_deposit,
@@ -7,5 +7,5 @@ from .transactions import (date_parts, direction, flow_category, is_paycheck_dep
 __all__ = [
     "account_bucket", "bucket_key", "date_parts", "direction", "flow_category", "in_months",
     "is_paycheck_deposit", "is_transfer", "merchant_clean", "month_of", "month_ranges",
-    "parse_money", "recon_status", "signed_balance", "strip", "transaction_key",
+    "parse_money", "recon_status", "rows_in_months", "signed_balance", "strip", "transaction_key",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def month_of(date: Column | str) -> Column:
@@ -35,3 +35,10 @@ def in_months(date: Column | str, months: Iterable[str] | None) -> Column:
     date = F.col(date) if isinstance(date, str) else date
     ranges = [(date >= F.lit(a)) & (date < F.lit(b)) for a, b in month_ranges(months)]
     return reduce(or_, ranges, F.lit(False)) if ranges else F.lit(False)
+
+
+def rows_in_months(df: DataFrame, date: str, months: Iterable[str] | None) -> Column:
+    """:func:`in_months` for the rows of ``df``; if it has ``year_month``, by which stored transactions are partitioned,
+    that is restricted too, so that other months' files are not even listed."""
+    inside = in_months(date, months := None if months is None else list(months))
+    return inside & F.col("year_month").isin(months) if months and "year_month" in df.columns else inside

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import in_months, month_of
+from ..functions import in_months, month_of, rows_in_months
 from ._keys import per_entity
 from .payroll import pay_totals
 from .transactions import is_expense, spending_by_group
@@ -38,7 +38,7 @@ def _paycheck_edges(totals: DataFrame, payroll_lines: DataFrame, months, keys) -
 
 def _spending_edges(transactions: DataFrame, months, levels, keys) -> DataFrame:
     """Levels 2 and 3 from one scan: per item first, then rolled up from those few rows."""
-    items = (transactions.where(is_expense() & in_months("transaction_date", months))
+    items = (transactions.where(is_expense() & rows_in_months(transactions, "transaction_date", months))
              .groupBy(*keys, "category_group", "category_item")
              .agg(F.sum("amount_abs").alias("amount"),
                   F.min("transaction_date").alias("first_date"),

@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import (date_parts, direction, flow_category, in_months, is_paycheck_deposit,
+from ..functions import (date_parts, direction, flow_category, in_months, is_paycheck_deposit, rows_in_months,
                          is_transfer, merchant_clean, transaction_key)
 from ..schemas import MERCHANT_CITY_SUFFIXES
 
@@ -114,14 +114,14 @@ def paycheck_deposits(transactions: DataFrame) -> DataFrame:
 
 def spending_by_group(transactions: DataFrame, months: Iterable[str] | None = None,
                       keys: Sequence[str] = ()) -> DataFrame:
-    return (transactions.where(is_expense() & in_months("transaction_date", months))
+    return (transactions.where(is_expense() & rows_in_months(transactions, "transaction_date", months))
             .groupBy(*keys, "category_group").agg(F.sum("amount_abs").alias("amount"))
             .orderBy(F.desc("amount"), "category_group"))
 
 
 def spending_by_merchant(transactions: DataFrame,
                          months: Iterable[str] | None = None) -> DataFrame:
-    return (transactions.where(is_expense() & in_months("transaction_date", months))
+    return (transactions.where(is_expense() & rows_in_months(transactions, "transaction_date", months))
             .groupBy("merchant_clean")
             .agg(F.count("*").alias("transaction_count"),
                  F.sum("amount_abs").alias("total_spent"))
@@ -163,9 +163,14 @@ def search_filter(months: Iterable[str] | None = None, groups: Iterable[str] | N
     return hit
 
 
+def _hits(transactions: DataFrame, filters: dict) -> DataFrame:
+    months = list(filters.get("months") or ()) or None
+    return transactions.where(rows_in_months(transactions, "transaction_date", months) & search_filter(**filters))
+
+
 def search_transactions(transactions: DataFrame, **filters) -> DataFrame:
     """The listing of :func:`search_filter` hits, newest and largest first."""
-    return (transactions.where(search_filter(**filters))
+    return (_hits(transactions, filters)
             .select("transaction_date", "category_group", "category_item", "merchant_clean",
                     "amount", "amount_abs", "flow_category", "note")
             .orderBy(F.desc("transaction_date"), F.desc("amount_abs")))
@@ -175,7 +180,7 @@ def search_totals(transactions: DataFrame, **filters) -> DataFrame:
     def total(flow: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("flow_category") == flow, F.col("amount_abs"))),
                           F.lit(0))
-    return (transactions.where(search_filter(**filters))
+    return (_hits(transactions, filters)
             .agg(F.count("*").alias("transactions"),
                  total("income").alias("total_inflow"),
                  total("expense").alias("total_outflow")))

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from cashweave.operators import health, networth as nw
+from cashweave.operators import health, networth as nw, transactions
 from cashweave.plans import refresh
 from cashweave.schemas import ACCOUNT_DEFINITIONS, BALANCE_SNAPSHOTS, PAYROLL_LINES, TRANSACTIONS_RAW
 from cashweave.sources import registry, store
 from fixtures.derive import workbook_bytes
-from .conftest import day, dec, rows
+from .conftest import day, dec, plan, rows
 from .test_csv import NEW, OLD
 from .test_payslips import GRID
 
@@ -39,7 +39,7 @@ def test_files_to_views(spark, tmp_path):
     asked = spark.createDataFrame([("Bank A", "checking")], "name string, account_type string")
     store.append_rows(registry.new_accounts(empty, asked), registry_path)
     again = registry.new_accounts(store.read_table(spark, registry_path, ACCOUNT_DEFINITIONS), asked)
-    assert again.count() == 0
+    assert rows(again.select("account_id")) == [("acct_bank_a-2",)]  # a request is an account, whatever its name
     entered = spark.createDataFrame([("acct_bank_a", day("2024-01-31"), dec(50)), ("acct_bank_a", day("2024-02-29"), dec(70))],
                                     "account_id string, snapshot_date date, balance decimal(14,2)")
     store.append_rows(registry.new_snapshots(entered), snapshots_path)
@@ -76,3 +76,16 @@ def test_empty_sources(spark, tmp_path):
     for name in (*refresh.silver_schemas(spark), *refresh.gold_schemas(spark), "net_worth_summary"):
         assert spark.table(name).count() >= 0
     assert spark.table("savings_rate").count() == 0
+
+
+def test_month_reports_read_only_their_partitions(spark, tmp_path):
+    table = spark.createDataFrame(
+        [("2024-01", day("2024-01-05"), "Food", "M", "expense", dec(1)), ("2024-02", day("2024-02-05"), "Food", "M", "expense", dec(2))],
+        "year_month string, transaction_date date, category_group string, merchant_clean string, flow_category string, "
+        "amount_abs decimal(12,2)")
+    store.write_full(table, f"{tmp_path}/t", ["year_month"])
+    stored = store.read_table(spark, f"{tmp_path}/t", table.schema)
+    for report in (transactions.spending_by_group, transactions.spending_by_merchant):
+        out = report(stored, ["2024-02"])
+        assert out.count() == 1
+        assert "PartitionFilters: [isnotnull(year_month" in plan(out)
