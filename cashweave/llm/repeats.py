@@ -1,49 +1,55 @@
 """Repeated byte strings across documents, by ranking ever longer strings and dropping what is unique.
 
 Plain prefix doubling sorts every position of the corpus at every length. Here names of strings (hashes, equal for
-equal strings) take the place of ranks, and three sorts of shrinking sets take the place of rounds over all positions:
+equal strings) take the place of ranks, and four sorts of shrinking sets take the place of rounds over all positions:
 
-1. Names of 32 bytes, built up by doubling, at sampled positions only: of any 69 successive positions that with the
+1. Names of 24 bytes, built up by doubling, at sampled positions only: of any 77 successive positions that with the
    smallest name (leftmost, if equal) is an anchor, so equal 100-byte strings have the same anchor at the same place.
    The strings that share an anchor form a segment; Spark sorts segments by anchor name, and unique ones are dropped.
 2. Within an anchor name segments are sorted by the name of the whole segment. All but the first of equal
    segments are settled: each of their strings starts earlier. The first ones go on if the anchor has several.
-3. For these, all single 100-byte strings are named and sorted; all but the first of each name start earlier.
+3. These are cut into parts of up to eight positions at fixed distances from the anchor, and treated likewise: parts
+   are sorted by the name of the 93 bytes that all strings of a whole part would share, then by their own name.
+4. What is left are parts that share the 93 bytes and no more: their single 100-byte strings are named and
+   sorted, and all but the first of each name start earlier.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import stored
 
 LENGTH = 100
-CORE = 32                    # bytes of an anchor; short ones repeat by chance
+CORE = 24                    # bytes of an anchor; short ones repeat by chance
 SPAN = LENGTH - CORE + 1     # positions that one anchor must serve
 BLOCK = 1 << 20              # bytes handled by one round of array operations, and the rest of the last text
 LONGEST = 1 << 23            # bytes of one text handled at once; longer ones are cut with overlap
+PART = 8                     # positions of a part of a segment
 SEEN = 1 << 18               # segment names a task remembers, to settle copies before the shuffle
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def names(data: np.ndarray) -> np.ndarray:
-    """A name of the 32 bytes from every position, by doubling: a name of 2k bytes comes from two of k."""
+    """A name of the 24 bytes from every position, by doubling: a name of 2k bytes comes from two of k, and the last
+    from two of 16 that overlap."""
     h = (data.astype(np.uint64) + np.uint64(1)) * _ODD[0]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8, 8):
         h = h[:-k] * _ODD[1] + (h[k:] ^ (h[k:] >> np.uint64(31))) * _ODD[2]
         h ^= h >> np.uint64(29)
     return h * _ODD[0]
 
 
 def _anchors(h: np.ndarray) -> np.ndarray:
-    """The anchor of every position whose 100 bytes lie in the data: of its 69 names the smallest, the leftmost if equal."""
+    """The anchor of every position whose 100 bytes lie in the data: of its 77 names the smallest, the leftmost if equal."""
     low = np.uint64(24)
     m = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
     width = 1
@@ -77,12 +83,23 @@ def _segments(data: bytes, owner: np.ndarray, offset: np.ndarray, ends: np.ndarr
                         np.uint64, len(first))
     begin = np.concatenate([[0], ends[:-1]])
     t = text[new]
-    return owner[t], offset[t] + first - begin[t], count, h[anchor[new]].view(np.int64), whole.view(np.int64)
+    return (owner[t], offset[t] + first - begin[t], anchor[new] - first, count, h[anchor[new]].view(np.int64),
+            whole.view(np.int64))
 
 
-def _pack(tag: np.ndarray, start: np.ndarray, count, settled) -> np.ndarray:
-    """A text's tag (16 bits), a start (32), a number of positions (8) and whether they are settled in one long."""
-    return tag << 41 | start << 9 | np.asarray(count, np.int64) << 1 | np.asarray(settled, np.int64)
+def _pack(tag, start, ahead, count, settled) -> np.ndarray:
+    """A text's tag (15 bits), a start (32), how far ahead the anchor is (7), a number of positions (8) and whether they
+    are settled in one long."""
+    tag, start, ahead, count, settled = (np.asarray(x, np.int64) for x in (tag, start, ahead, count, settled))
+    return tag << 48 | start << 16 | ahead << 9 | count << 1 | settled
+
+
+def _start(packed: np.ndarray) -> np.ndarray:
+    return packed >> 16 & 0xFFFFFFFF
+
+
+def _count(packed: np.ndarray) -> np.ndarray:
+    return packed >> 1 & 0xFF
 
 
 SEGMENT = "anchor long, name long, doc long, packed long"
@@ -96,7 +113,7 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         got = _segments(b"".join(p[0] for p in parts), np.arange(len(parts)), np.array([p[3] for p in parts]), ends)
         if got is None:
             return
-        owner, start, count, anchor, name = got
+        owner, start, ahead, count, anchor, name = got
         doc = np.array([p[1] for p in parts], np.int64)[owner]
         tag = np.array([p[2] for p in parts], np.int64)[owner]
         settled = np.zeros(len(doc), bool)
@@ -110,7 +127,7 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         # Settled segments only pass through; they are spread by place.
         anchor = np.where(settled, doc * 31 + start * 0x5851F42D4C957F2D, anchor)
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(name), pa.array(doc),
-                                          pa.array(_pack(tag, start, count, settled))], ["anchor", "name", "doc", "packed"])
+                                          pa.array(_pack(tag, start, ahead, count, settled))], ["anchor", "name", "doc", "packed"])
 
     parts, held = [], 0
     for b in batches:
@@ -137,7 +154,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(doc[passed], packed[passed] >> 1 << 1, np.zeros(int(passed.sum()), np.int8))]
         anchor, name, doc, packed = (x[~passed] for x in (anchor, name, doc, packed))
         if len(anchor):
-            start = packed >> 9 & 0xFFFFFFFF
+            start = _start(packed)
             before = (last[0], last[1]) if last else (~anchor[0], 0)
             other = np.concatenate([[anchor[0] != before[0]], anchor[1:] != anchor[:-1]])
             fresh = other | np.concatenate([[name[0] != before[1]], name[1:] != name[:-1]])
@@ -160,18 +177,43 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packs), pa.array(kinds)], ["doc", "packed", "kind"])
 
 
-def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_intdigest
+def _texts(batches: Iterator[pa.RecordBatch], named: Callable) -> Iterator[pa.RecordBatch]:
+    """``named`` applied to every text and its packed places: rows of two names, a start and a number of positions."""
     for b in batches:
-        for doc, tag, data, packed in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "data", "apart"))):
-            packed = np.array(packed, np.int64)
-            at = np.concatenate([np.arange(s, s + n) for s, n in zip((packed >> 9 & 0xFFFFFFFF).tolist(),
-                                                                     (packed >> 1 & 0xFF).tolist())])
-            both = b"".join(digest(data[p:p + LENGTH]).to_bytes(16, "little") for p in at.tolist())
-            ab = np.frombuffer(both, "<i8").reshape(-1, 2)
+        for doc, tag, data, packed in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "data", "places"))):
+            rows = named(zstandard.decompress(data), np.array(packed, np.int64))
+            a, n, start, count = np.array(rows, np.uint64).reshape(-1, 4).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy()), pa.array(np.full(len(at), doc, np.int64)),
-                 pa.array(_pack(np.full(len(at), tag, np.int64), at, 1, 0))], ["anchor", "name", "doc", "packed"])
+                [pa.array(a.copy().view(np.int64)), pa.array(n.copy().view(np.int64)), pa.array(np.full(len(a), doc, np.int64)),
+                 pa.array(_pack(tag, start, 0, count, 0))], ["anchor", "name", "doc", "packed"])
+
+
+def _find_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh3_64_intdigest
+
+    def parts(data: bytes, packed: np.ndarray) -> list[tuple[int, int, int, int]]:
+        out = []
+        for start, ahead, count in zip(_start(packed).tolist(), (packed >> 9 & 0x7F).tolist(), _count(packed).tolist()):
+            anchor = start + ahead
+            far, near = ahead, ahead - count + 1  # distances from the anchor of the first and the last position
+            for part in range(near // PART, far // PART + 1):
+                lo, hi = part * PART, min(part * PART + PART, SPAN) - 1
+                first, last = anchor - min(hi, far), anchor - max(lo, near)
+                out.append((digest(data[anchor - lo:anchor - hi + LENGTH]), digest(data[first:last + LENGTH]),
+                            first, last - first + 1))
+        return out
+
+    return _texts(batches, parts)
+
+
+def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh3_128_intdigest
+
+    def strings(data: bytes, packed: np.ndarray) -> list[tuple[int, int, int, int]]:
+        return [((h := digest(data[p:p + LENGTH])) >> 64, h & 0xFFFFFFFFFFFFFFFF, p, 1)
+                for start, count in zip(_start(packed).tolist(), _count(packed).tolist()) for p in range(start, start + count)]
+
+    return _texts(batches, strings)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +223,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n, doc, packed = (b.column(c).to_numpy() for c in ("anchor", "name", "doc", "packed"))
         if not len(a):
             continue
-        start = packed >> 9 & 0xFFFFFFFF
+        start = _start(packed)
         before = last or (~a[0], 0, 0, 0)
         fresh = np.concatenate([[(a[0], n[0]) != before[:2]], (a[1:] != a[:-1]) | (n[1:] != n[:-1])])
         group, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
@@ -194,8 +236,8 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _without(data: bytes, packed: list[int]) -> tuple[int, int, bytes]:
     """Bytes and runs covered by the strings at the packed places, and the bytes left."""
     p = np.array(packed, np.int64)
-    start = p >> 9 & 0xFFFFFFFF
-    end = start + (p >> 1 & 0xFF) - 1 + LENGTH
+    start = _start(p)
+    end = start + _count(p) - 1 + LENGTH
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order])
     new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
@@ -209,12 +251,22 @@ def _cut_out(data: Column, packed: Column) -> Column:
 
     @F.arrow_udf("struct<n_removed:long,n_spans:long,kept:binary>")
     def run(data: pa.Array, packed: pa.Array) -> pa.Array:
+        texts = map(zstandard.decompress, data.to_pylist())
         return pa.array([dict(zip(("n_removed", "n_spans", "kept"), _without(d, p) if p else (0, 0, d)))
-                         for d, p in zip(data.to_pylist(), packed.to_pylist())], kind)
+                         for d, p in zip(texts, packed.to_pylist())], kind)
 
     return run(data, packed)
 
 
+def _compressed(data: Column) -> Column:
+    """A text is moved once more for each round that looks into it; compressed it takes half the disk."""
+    @F.arrow_udf("binary")
+    def run(data: pa.Array) -> pa.Array:
+        return pa.array(map(zstandard.ZstdCompressor(level=1).compress, data.to_pylist()), pa.binary())
+
+    return run(data)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary; NULL if all is kept).
 
@@ -224,34 +276,42 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give no rows; other columns are not read.
 
     Strings are compared by 128 bits of hash. Copies are settled before the first shuffle where one task reads both,
-    so a passage in a third of all documents is a few rows per task. Texts are moved once, joined to the places
-    found in them, and those of documents without any are not kept.
+    so a passage in a third of all documents is a few rows per task. All texts are moved once, joined to the places
+    found in them; later rounds move only those with any.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), data.alias("data"))
     keyed = rows.withColumn("doc", F.coalesce("id", F.lit(-(1 << 62)))).withColumn(
-        "tag", F.xxhash64("data").bitwiseAND(0xFFFF))
-    segments = keyed.select("doc", "tag", "data").mapInArrow(_find_segments, SEGMENT)
-    sort = ["anchor", "name", "doc", "packed"]
-    found = stored(segments.repartition("anchor").sortWithinPartitions(*sort).mapInArrow(
-        _settle, "doc long, packed long, kind byte"), "repeat-segments")
-    tag = F.shiftrightunsigned("packed", 41)
-    places = (found.withColumn("tag", tag).groupBy("doc", "tag").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("packed"))).alias("settled"),
-        F.collect_list(F.when(F.col("kind") == 1, F.col("packed"))).alias("apart")))
-    joined = keyed.join(places, ["doc", "tag"], "left").select(
-        "id", "doc", "tag", F.length("data").cast("long").alias("n_bytes"), "settled", "apart",
-        F.when(F.col("settled").isNotNull(), F.col("data")).alias("data"),
-        F.when(F.col("settled").isNull(), F.sha2("data", 256)).alias("sha256"))
-    marked = stored(joined, "repeat-texts")
-    strings = marked.where(F.size("apart") > 0).select("doc", "tag", "data", "apart").mapInArrow(_find_strings, SEGMENT)
-    more = (strings.repartition("anchor", "name").sortWithinPartitions(*sort).mapInArrow(_later, "doc long, packed long")
-            .withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list("packed").alias("single")))
+        "tag", F.xxhash64("data").bitwiseAND(0x7FFF))
+    tag = F.shiftrightunsigned("packed", 48)
+
+    def sorted_by_name(found: DataFrame, run: Callable, kind: str) -> DataFrame:
+        return (found.repartition("anchor").sortWithinPartitions("anchor", "name", "doc", "packed")
+                .mapInArrow(run, f"doc long, packed long{kind}").withColumn("tag", tag))
+
+    def places(found: DataFrame, *names: str) -> DataFrame:
+        return found.groupBy("doc", "tag").agg(*[
+            F.collect_list(F.when(F.col("kind") == i, F.col("packed"))).alias(n) for i, n in enumerate(names)])
+
+    found = sorted_by_name(keyed.select("doc", "tag", "data").mapInArrow(_find_segments, SEGMENT), _settle, ", kind byte")
+    moved = keyed.select("id", "doc", "tag", F.length("data").cast("long").alias("n_bytes"),
+                         F.sha2("data", 256).alias("sha256"), _compressed(F.col("data")).alias("data"))
+    marked = stored(moved.join(places(found, "settled", "apart"), ["doc", "tag"], "left").withColumn(
+        "data", F.when(F.col("settled").isNotNull(), F.col("data"))), "repeat-texts")
+    cut = marked.where("settled IS NOT NULL")
+    apart = cut.where(F.size("apart") > 0).select("doc", "tag", "data", F.col("apart").alias("places"))
+    parts = stored(places(sorted_by_name(apart.mapInArrow(_find_parts, SEGMENT), _settle, ", kind byte"),
+                          "settled_parts", "single"), "repeat-parts")
+    single = parts.where(F.size("single") > 0).select("doc", "tag", F.col("single").alias("places"))
+    strings = cut.select("doc", "tag", "data").join(single, ["doc", "tag"]).mapInArrow(_find_strings, SEGMENT)
+    more = sorted_by_name(strings, _later, "").groupBy("doc", "tag").agg(F.collect_list("packed").alias("later"))
     none = F.array().cast("array<bigint>")
-    cut = (marked.where("settled IS NOT NULL").join(more, ["doc", "tag"], "left")
-           .withColumn("r", _cut_out(F.col("data"), F.concat("settled", F.coalesce("single", none)))))
-    done = cut.select("id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept", F.sha2("r.kept", 256).alias("kept_sha256"))
-    rest = marked.where("settled IS NULL").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"),
-                                                  F.lit(0).cast("long").alias("n_spans"),
-                                                  F.lit(None).cast("binary").alias("kept"), F.col("sha256").alias("kept_sha256"))
+    done = (cut.join(parts.select("doc", "tag", "settled_parts"), ["doc", "tag"], "left").join(more, ["doc", "tag"], "left")
+            .withColumn("r", _cut_out(F.col("data"), F.concat("settled", F.coalesce("settled_parts", none),
+                                                              F.coalesce("later", none))))
+            .select("id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept", F.sha2("r.kept", 256).alias("kept_sha256")))
+    zero = F.lit(0).cast("long")
+    rest = marked.where("settled IS NULL").select(
+        "id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.lit(None).cast("binary").alias("kept"),
+        F.col("sha256").alias("kept_sha256"))
     return done.unionByName(rest).withColumnRenamed("id", id_col)
