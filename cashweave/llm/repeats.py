@@ -12,6 +12,10 @@ equal strings) take the place of ranks, and four sorts of shrinking sets take th
    are sorted by the name of the 93 bytes that all strings of a whole part would share, then by their own name.
 4. What is left are parts that share the 93 bytes and no more: their single 100-byte strings are named and
    sorted, and all but the first of each name start earlier.
+
+An anchor may stand in a third of all documents, at the edge of a common passage before ever other text. A task that
+reads more than ``HOT`` names of one anchor deals the further ones by anchor and name, and round 2 passes their
+first on to round 3 whether or not there are others: that costs a look more and misses none.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ BLOCK = 1 << 20              # bytes handled by one round of array operations, a
 LONGEST = 1 << 23            # bytes of one text handled at once; longer ones are cut with overlap
 PART = 8                     # positions of a part of a segment
 SEEN = 1 << 18               # segment names a task remembers, to settle copies before the shuffle
+HOT = 64                     # names of an anchor that a task deals by the anchor alone
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -87,26 +92,60 @@ def _segments(data: bytes, owner: np.ndarray, offset: np.ndarray, ends: np.ndarr
             whole.view(np.int64))
 
 
-def _pack(tag, start, ahead, count, settled) -> np.ndarray:
-    """A text's tag (15 bits), a start (32), how far ahead the anchor is (7), a number of positions (8) and whether they
-    are settled in one long."""
-    tag, start, ahead, count, settled = (np.asarray(x, np.int64) for x in (tag, start, ahead, count, settled))
-    return tag << 48 | start << 16 | ahead << 9 | count << 1 | settled
+def _pack(tag, start, ahead, count, hot, settled) -> np.ndarray:
+    """A text's tag (15 bits), a start (32), how far ahead the anchor is (7), whether the anchor is hot, a number of
+    positions (7) and whether they are settled in one long."""
+    tag, start, ahead, count, hot, settled = (np.asarray(x, np.int64) for x in (tag, start, ahead, count, hot, settled))
+    return tag << 48 | start << 16 | ahead << 9 | hot << 8 | count << 1 | settled
 
 
 def _start(packed: np.ndarray) -> np.ndarray:
     return packed >> 16 & 0xFFFFFFFF
 
 
+_HOT_BIT = np.int64(1 << 8)
+
+
 def _count(packed: np.ndarray) -> np.ndarray:
-    return packed >> 1 & 0xFF
+    return packed >> 1 & 0x7F
+
+
+class _Read:
+    """What a task has read lately: the first place of every name, and how many names each anchor has."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+        self.names: dict[int, int] = {}
+
+    def deal(self, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, tag, start: np.ndarray, ahead, count) -> pa.RecordBatch:
+        """Rows to be dealt by their first column. Names read before at an earlier place are settled; they only pass
+        through the next sort and are spread by place. Names of hot anchors are spread by anchor and name."""
+        settled, hot = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+        first, names = self.first, self.names
+        for i, (key, place) in enumerate(zip(zip(anchor.tolist(), name.tolist()), zip(doc.tolist(), start.tolist()))):
+            known = first.get(key)
+            if known is None:
+                names[key[0]] = names.get(key[0], 0) + 1
+            elif known < place:
+                settled[i] = True
+                continue
+            first[key] = place
+            hot[i] = names[key[0]] > HOT
+        if len(first) > SEEN:
+            first.clear()
+            names.clear()
+        odd = np.int64(0x5851F42D4C957F2D)
+        dealt = np.where(settled, doc * 31 + start * odd, np.where(hot, anchor ^ (name * odd), anchor))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(dealt), pa.array(name), pa.array(doc), pa.array(_pack(tag, start, ahead, count, hot, settled))],
+            ["anchor", "name", "doc", "packed"])
 
 
 SEGMENT = "anchor long, name long, doc long, packed long"
 
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[tuple[int, int], tuple[int, int]] = {}
+    read = _Read()
 
     def found(parts: list[tuple[bytes, int, int, int]]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum([len(p[0]) for p in parts])
@@ -116,18 +155,7 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         owner, start, ahead, count, anchor, name = got
         doc = np.array([p[1] for p in parts], np.int64)[owner]
         tag = np.array([p[2] for p in parts], np.int64)[owner]
-        settled = np.zeros(len(doc), bool)
-        for i, (key, place) in enumerate(zip(zip(anchor.tolist(), name.tolist()), zip(doc.tolist(), start.tolist()))):
-            if (known := seen.setdefault(key, place)) < place:
-                settled[i] = True
-            else:
-                seen[key] = place
-        if len(seen) > SEEN:
-            seen.clear()
-        # Settled segments only pass through; they are spread by place.
-        anchor = np.where(settled, doc * 31 + start * 0x5851F42D4C957F2D, anchor)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(name), pa.array(doc),
-                                          pa.array(_pack(tag, start, ahead, count, settled))], ["anchor", "name", "doc", "packed"])
+        yield read.deal(anchor, name, doc, tag, start, ahead, count)
 
     parts, held = [], 0
     for b in batches:
@@ -154,6 +182,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(doc[passed], packed[passed] >> 1 << 1, np.zeros(int(passed.sum()), np.int8))]
         anchor, name, doc, packed = (x[~passed] for x in (anchor, name, doc, packed))
         if len(anchor):
+            hot = (packed & _HOT_BIT).astype(bool)
+            packed = packed & ~_HOT_BIT
             start = _start(packed)
             before = (last[0], last[1]) if last else (~anchor[0], 0)
             other = np.concatenate([[anchor[0] != before[0]], anchor[1:] != anchor[:-1]])
@@ -164,12 +194,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head_start = np.append(start[heads], last[3] if last else 0)[group]
             later = ~fresh & ((doc > head_doc) | (start > head_start))
             out.append((doc[later], packed[later], np.zeros(int(later.sum()), np.int8)))
-            apart = ~other[heads]
-            if len(heads) and apart[0] and waiting is not None:
+            more = ~other[heads]  # a further name of its anchor
+            apart = more | hot[heads]
+            if len(heads) and more[0] and waiting is not None:
                 out.append((np.array(waiting[:1]), np.array(waiting[1:]), np.ones(1, np.int8)))
             if len(heads):
                 waiting = (doc[heads[-1]], packed[heads[-1]]) if not apart[-1] else None
-            apart[:-1] |= apart[1:]
+            apart[:-1] |= more[1:]
             pick = heads[apart]
             out.append((doc[pick], packed[pick], np.ones(len(pick), np.int8)))
             last = (anchor[-1], name[-1], head_doc[-1], head_start[-1])
@@ -179,13 +210,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch], named: Callable) -> Iterator[pa.RecordBatch]:
     """``named`` applied to every text and its packed places: rows of two names, a start and a number of positions."""
+    read = _Read()
     for b in batches:
         for doc, tag, data, packed in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "data", "places"))):
             rows = named(zstandard.decompress(data), np.array(packed, np.int64))
-            a, n, start, count = np.array(rows, np.uint64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.copy().view(np.int64)), pa.array(n.copy().view(np.int64)), pa.array(np.full(len(a), doc, np.int64)),
-                 pa.array(_pack(tag, start, 0, count, 0))], ["anchor", "name", "doc", "packed"])
+            a, n, start, count = np.array(rows, np.uint64).reshape(-1, 4).T.copy().view(np.int64)
+            yield read.deal(a, n, np.full(len(a), doc, np.int64), tag, start, 0, count)
 
 
 def _find_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +253,20 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n, doc, packed = (b.column(c).to_numpy() for c in ("anchor", "name", "doc", "packed"))
         if not len(a):
             continue
-        start = _start(packed)
-        before = last or (~a[0], 0, 0, 0)
-        fresh = np.concatenate([[(a[0], n[0]) != before[:2]], (a[1:] != a[:-1]) | (n[1:] != n[:-1])])
-        group, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-        head_doc, head_start = np.append(doc[heads], before[2])[group], np.append(start[heads], before[3])[group]
-        later = ~fresh & ((doc > head_doc) | (start > head_start))
-        last = (a[-1], n[-1], head_doc[-1], head_start[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(packed[later])], ["doc", "packed"])
+        passed = (packed & 1).astype(bool)
+        out = [(doc[passed], packed[passed])]
+        a, n, doc, packed = (x[~passed] for x in (a, n, doc, packed))
+        if len(a):
+            start = _start(packed)
+            before = last or (~a[0], 0, 0, 0)
+            fresh = np.concatenate([[(a[0], n[0]) != before[:2]], (a[1:] != a[:-1]) | (n[1:] != n[:-1])])
+            group, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            head_doc, head_start = np.append(doc[heads], before[2])[group], np.append(start[heads], before[3])[group]
+            later = ~fresh & ((doc > head_doc) | (start > head_start))
+            out.append((doc[later], packed[later]))
+            last = (a[-1], n[-1], head_doc[-1], head_start[-1])
+        docs, packs = (np.concatenate(x) for x in zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packs)], ["doc", "packed"])
 
 
 def _without(data: bytes, packed: list[int]) -> tuple[int, int, bytes]:
@@ -275,9 +311,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bytes; texts shorter than 100 bytes keep all. Rows that share an id are not earlier than one another. No rows
     give no rows; other columns are not read.
 
-    Strings are compared by 128 bits of hash. Copies are settled before the first shuffle where one task reads both,
-    so a passage in a third of all documents is a few rows per task. All texts are moved once, joined to the places
-    found in them; later rounds move only those with any.
+    Strings are compared by 128 bits of hash. Copies are settled before each shuffle where one task reads both,
+    so a passage in a third of all documents is a few rows per task, and an anchor with very many names is spread by
+    name. All texts are moved once, joined to the places found in them; later rounds move only those with any.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), data.alias("data"))

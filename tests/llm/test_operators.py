@@ -159,6 +159,15 @@ def test_repeats(spark, sf_dir, awkward, nothing):
     assert repeats.without_repeats(awkward).count() == len(AWKWARD) and repeats.without_repeats(nothing).count() == 0
 
 
+def test_repeats_of_anchors_with_many_names(spark):
+    """Passages that stand before ever other text, more often in a task than it deals by the anchor alone."""
+    rng = np.random.default_rng(4)
+    first, second = ("".join(rng.choice(list("abcdefgh "), 240)) for _ in range(2))
+    made = {i: f"{rng.integers(1 << 40)}{first}{i}{second}{rng.integers(1 << 20)}" for i in range(6 * repeats.HOT)}
+    got = repeats.without_repeats(spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(2))
+    assert {r[0]: (*tuple(r)[1:4], r["kept_sha256"]) for r in got.collect()} == brute_repeats(made)
+
+
 def test_bpe(spark, sf_dir, awkward, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
