@@ -119,14 +119,15 @@ def net_worth_headline(accounts: DataFrame, snapshots: DataFrame,
     return net_worth_summary(accounts, snapshots, keys)
 
 
-def current_balances(snapshots: DataFrame, accounts: DataFrame) -> DataFrame:
-    return (latest_balances(snapshots, accounts).orderBy("display_order")
-            .select("name", "account_type", "institution", "bucket", "balance", "as_of_date"))
+def current_balances(snapshots: DataFrame, accounts: DataFrame,
+                     keys: Sequence[str] = ()) -> DataFrame:
+    return (latest_balances(snapshots, accounts, keys).orderBy(*keys, "display_order")
+            .select(*keys, "name", "account_type", "institution", "bucket", "balance", "as_of_date"))
 
 
-def active_accounts(accounts: DataFrame) -> DataFrame:
-    return (accounts.where("is_active").orderBy("display_order")
-            .select("account_id", "name", "account_type", "institution"))
+def active_accounts(accounts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return (accounts.where("is_active").orderBy(*keys, "display_order")
+            .select(*keys, "account_id", "name", "account_type", "institution"))
 
 
 def snapshot_log(snapshots: DataFrame, accounts: DataFrame, n: int = 200, keys: Sequence[str] = ()) -> DataFrame:

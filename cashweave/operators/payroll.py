@@ -152,13 +152,14 @@ def pay_totals(totals: DataFrame, months: Iterable[str] | None = None,
 
 
 def deduction_breakdown(payroll_lines: DataFrame, section: str,
-                        months: Iterable[str] | None = None) -> DataFrame:
+                        months: Iterable[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     return (payroll_lines.where((F.col("section") == section) & in_months("check_date", months))
-            .groupBy("description").agg(F.sum("amount").alias("amount"))
-            .orderBy(F.desc("amount"), "description"))
+            .groupBy(*keys, "description").agg(F.sum("amount").alias("amount"))
+            .orderBy(*keys, F.desc("amount"), "description"))
 
 
-def pay_summary(totals: DataFrame, months: Iterable[str] | None = None) -> DataFrame:
+def pay_summary(totals: DataFrame, months: Iterable[str] | None = None,
+                keys: Sequence[str] = ()) -> DataFrame:
     def part(c: str) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
 
@@ -168,7 +169,7 @@ def pay_summary(totals: DataFrame, months: Iterable[str] | None = None) -> DataF
     def of_gross(c: Column) -> Column:
         return F.coalesce(c * 100 / F.nullif(gross, F.lit(0)), F.lit(0))
 
-    return (totals.where(in_months("check_date", months))
+    return (totals.where(in_months("check_date", months)).groupBy(*keys)
             .agg(gross.alias("total_gross"), deducted.alias("total_deductions"),
                  F.sum("net_pay").alias("total_net"),
                  of_gross(deducted).alias("effective_rate"),
@@ -176,12 +177,13 @@ def pay_summary(totals: DataFrame, months: Iterable[str] | None = None) -> DataF
                  F.countDistinct("check_date").alias("paychecks")))
 
 
-def paycheck_kpis(savings: DataFrame) -> DataFrame:
+def paycheck_kpis(savings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The averages are unweighted means of the per-check rates."""
-    return savings.agg(F.count("*").alias("check_count"), F.sum("gross_pay").alias("total_gross"),
-                       F.sum("net_pay").alias("total_net"),
-                       F.avg("savings_rate_pct").alias("avg_savings_rate"),
-                       F.avg("total_savings_rate_pct").alias("avg_total_savings_rate"))
+    return (savings.groupBy(*keys)
+            .agg(F.count("*").alias("check_count"), F.sum("gross_pay").alias("total_gross"),
+                 F.sum("net_pay").alias("total_net"),
+                 F.avg("savings_rate_pct").alias("avg_savings_rate"),
+                 F.avg("total_savings_rate_pct").alias("avg_total_savings_rate")))
 
 
 def paycheck_composition(breakdown: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -190,19 +192,19 @@ def paycheck_composition(breakdown: DataFrame, keys: Sequence[str] = ()) -> Data
             .orderBy(*keys, "check_date", "bucket_group"))
 
 
-def savings_trend(savings: DataFrame) -> DataFrame:
-    return (savings.select("check_date", "savings_rate_pct", "total_savings_rate_pct",
+def savings_trend(savings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return (savings.select(*keys, "check_date", "savings_rate_pct", "total_savings_rate_pct",
                            *SAVINGS_BUCKETS)
-            .orderBy("check_date"))
+            .orderBy(*keys, "check_date"))
 
 
-def savings_long(savings: DataFrame) -> DataFrame:
-    return savings.select("check_date", *SAVINGS_BUCKETS).unpivot(
-        ["check_date"], list(SAVINGS_BUCKETS), "bucket", "amount")
+def savings_long(savings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return savings.select(*keys, "check_date", *SAVINGS_BUCKETS).unpivot(
+        [*keys, "check_date"], list(SAVINGS_BUCKETS), "bucket", "amount")
 
 
-def paycheck_detail(totals: DataFrame) -> DataFrame:
-    return (totals.select("check_date", "hours_worked", "gross_pay", "employee_taxes",
+def paycheck_detail(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return (totals.select(*keys, "check_date", "hours_worked", "gross_pay", "employee_taxes",
                           "pre_tax_deductions", "post_tax_deductions", "net_pay",
                           "gross_pay_ytd", "net_pay_ytd")
-            .orderBy(F.desc("check_date")))
+            .orderBy(*keys, F.desc("check_date")))

@@ -50,17 +50,23 @@ def _blocks(grids: DataFrame) -> DataFrame:
             .withColumn("blocks", blocks))
 
 
-def _check() -> Column:
-    """The check, from the header and value rows of the first information block."""
+DATES = ("pay_period_begin", "pay_period_end", "check_date")
+AMOUNTS = {"amount": MONEY, "ytd": BALANCE, "hours": HOURS, "rate": RATE}
+
+
+def _date(text: Column) -> Column:
+    return F.try_to_timestamp(text, F.lit(DATE_PATTERN)).cast("date")
+
+
+def _check(typed: bool = True) -> Column:
+    """The check, from the header and value rows of the first information block; dates as text if not ``typed``."""
     info = F.get(F.filter("blocks", lambda b: b["label"] == PAYSLIP_INFORMATION), F.lit(0))
     headers, values = (F.get("grid", info["start"] + n) for n in (1, 2))
     backwards = F.reverse(headers)
 
     def read(name: str, header: str) -> Column:
         text = F.get(values, _last_at(backwards, F.lit(header)))
-        if name in ("pay_period_begin", "pay_period_end", "check_date"):
-            text = F.try_to_timestamp(text, F.lit(DATE_PATTERN)).cast("date")
-        return text.alias(name)
+        return (_date(text) if typed and name in DATES else text).alias(name)
 
     return F.struct(*[read(n, h) for n, h in META.items()])
 
@@ -138,8 +144,8 @@ def _totals_items() -> Column:
         none.alias("account_number"), F.lit(None).cast(PAYLOAD).alias("raw_payload")))
 
 
-def _expand(sections: DataFrame) -> DataFrame:
-    """Every section to its payroll lines.
+def _items(sections: DataFrame) -> DataFrame:
+    """Every section to its lines, amounts still as text.
 
     Where each field stands is worked out once per section, from its headers; a repeated header
     counts by its last column and a column without one drops out.
@@ -150,9 +156,6 @@ def _expand(sections: DataFrame) -> DataFrame:
         hits = F.filter("rows", lambda r: F.get(r["values"], _field("Balance Period")) == label)
         return F.when(is_totals, F.try_element_at(hits, F.lit(-1))["values"])
 
-    def money(name: str, dtype) -> Column:
-        return parse_money(F.col(f"item.{name}"), dtype).alias(name)
-
     return (sections
             .withColumns({"names": F.array_distinct(F.filter("headers", lambda h: h != "")),
                           "backwards": F.reverse("headers")})
@@ -163,11 +166,15 @@ def _expand(sections: DataFrame) -> DataFrame:
                                                 lambda f: _last_at(backwards, f)))
             .withColumns({"current": last_row("Current"), "to_date": last_row("YTD")})
             .select("source_file", "section", *META,
-                    F.explode(F.when(is_totals, _totals_items()).otherwise(_line_items())).alias("item"))
-            .select("source_file", "section", *META, "item.row_no", "item.description",
-                    money("amount", MONEY), money("ytd", BALANCE), money("hours", HOURS),
-                    money("rate", RATE), "item.dates", "item.account_name", "item.account_number",
-                    "item.raw_payload"))
+                    F.explode(F.when(is_totals, _totals_items()).otherwise(_line_items())).alias("item")))
+
+
+def _expand(sections: DataFrame) -> DataFrame:
+    """Every section to its payroll lines."""
+    return _items(sections).select(
+        "source_file", "section", *META, "item.row_no", "item.description",
+        *[parse_money(F.col(f"item.{c}"), kind).alias(c) for c, kind in AMOUNTS.items()],
+        "item.dates", "item.account_name", "item.account_number", "item.raw_payload")
 
 
 def payslip_totals(sections: DataFrame) -> DataFrame:
@@ -184,3 +191,19 @@ def payroll_lines(grids: DataFrame) -> DataFrame:
     """The complete bronze frame of a batch of grids, each read once."""
     return conform(_expand(payslip_sections(grids)).withColumn("ingest_ts", F.current_timestamp()),
                    PAYROLL_LINES)
+
+
+def rejected_payslips(grids: DataFrame) -> DataFrame:
+    """What was given but could not be read: ``source_file``, ``item`` (the text) and ``reason``, one row per date of a
+    check and per amount of a line."""
+    def unreadable(text: Column, parsed: Column, name: str) -> Column:
+        bad = (F.coalesce(text, F.lit("")) != "") & parsed.isNull()
+        return F.when(bad, F.struct(text.alias("item"), F.lit(f"unreadable {name}").alias("reason")))
+
+    def listed(rows: DataFrame, found: list[Column]) -> DataFrame:
+        return rows.select("source_file", F.inline(F.array_compact(F.array(*found))))
+
+    checks = _blocks(grids).select("source_file", _check(typed=False).alias("check"))
+    dates = [unreadable(F.col(f"check.{c}"), _date(F.col(f"check.{c}")), c) for c in DATES]
+    amounts = [unreadable(F.col(f"item.{c}"), parse_money(F.col(f"item.{c}"), kind), c) for c, kind in AMOUNTS.items()]
+    return listed(checks, dates).unionByName(listed(_items(payslip_sections(grids)), amounts))

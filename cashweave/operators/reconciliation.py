@@ -115,8 +115,9 @@ def reconcile(totals: DataFrame, payments: DataFrame, transactions: DataFrame, d
                                  missing_label).alias("status")))
 
 
-def reconciliation_kpis(recon: DataFrame, missing_label: str = M.MISSING) -> DataFrame:
+def reconciliation_kpis(recon: DataFrame, missing_label: str = M.MISSING,
+                        keys: Sequence[str] = ()) -> DataFrame:
     status = F.col("status")
-    return recon.agg(F.count("*").alias("total_checks"),
-                     F.count_if(status == M.MATCH).alias("clean_matches"),
-                     F.count_if(status.isin(M.INVESTIGATE, missing_label)).alias("need_attention"))
+    return recon.groupBy(*keys).agg(
+        F.count("*").alias("total_checks"), F.count_if(status == M.MATCH).alias("clean_matches"),
+        F.count_if(status.isin(M.INVESTIGATE, missing_label)).alias("need_attention"))

@@ -85,6 +85,10 @@ BALANCE_SNAPSHOTS = _struct(
     ("snapshot_id", STR, False), ("account_id", STR, False), ("snapshot_date", DATE, False),
     ("balance", BALANCE, False), ("note", STR), ("entered_at", TS))
 
+REJECTS = _struct(("source_file", STR), ("item", STR), ("reason", STR), ("ingest_ts", TS))
+
+LOAD_REPORT = _struct(("source_file", STR), ("account", STR), ("rows", LONG), ("ingest_ts", TS))
+
 TRANSACTIONS = _struct(
     ("transaction_key", STR), ("transaction_date", DATE), ("year", INT), ("month", INT),
     ("year_month", STR), ("week_of_year", INT), ("day_of_week", STR), ("day_of_month", INT),

@@ -16,7 +16,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import PAYSLIP_GRIDS
 from .provenance import base_name
@@ -90,38 +90,42 @@ def sheet_rows(content: bytes) -> list[list[str]]:
 
 
 ROWS_PER_BATCH = 10_000  # sheet rows, so that a batch stays small however long the sheets are
-ARROW = pa.schema([("source_file", pa.string()), ("grid", pa.list_(pa.list_(pa.string())))])
+ARROW = pa.schema([("source_file", pa.string()), ("grid", pa.list_(pa.list_(pa.string()))), ("error", pa.string())])
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pack() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip((names, grids), ARROW)], schema=ARROW)
+            [pa.array(c, f.type) for c, f in zip((names, grids, errors), ARROW)], schema=ARROW)
 
-    names, grids, rows = [], [], 0
+    names, grids, errors, rows = [], [], [], 0
     for batch in batches:
         for name, content in zip(batch.column("source_file"), batch.column("content")):
+            grid = error = None
             try:
                 grid = sheet_rows(content.as_py())
-            except Exception as err:
-                raise ValueError(f"{name} is not a readable workbook: {err}") from err
+            except Exception as err:  # whatever a broken file makes the parsers raise
+                error = f"not a readable workbook: {err}"
             names.append(name.as_py())
             grids.append(grid)
-            rows += len(grid)
+            errors.append(error)
+            rows += len(grid or ()) + 1
             if rows >= ROWS_PER_BATCH:
                 yield pack()
-                names, grids, rows = [], [], 0
+                names, grids, errors, rows = [], [], [], 0
     if names:
         yield pack()
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
-    """``(source_file, content)`` to grids, each file inside one task."""
-    return files.select("source_file", "content").mapInArrow(_decode, PAYSLIP_GRIDS)
+    """``(source_file, content)`` to grids, each file inside one task. A file that cannot be read has no grid but
+    an ``error``, so that it does not stop the others."""
+    return files.select("source_file", "content").mapInArrow(
+        _decode, T.StructType([*PAYSLIP_GRIDS.fields, T.StructField("error", T.StringType())]))
 
 
 def read_payslip_grids(spark: SparkSession, path: str) -> DataFrame:
-    """The grids of all workbooks below ``path``; the extension may be in any case."""
+    """The grids (or errors) of all workbooks below ``path``; the extension may be in any case."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]")
              .load(path))
     return decode_workbooks(files.select(base_name("path").alias("source_file"), "content"))

@@ -717,6 +717,41 @@ BODIES: dict[str, str] = {
         select name, account_type, institution, bucket, cast(balance as double) balance, as_of_date
         from fx_current""",
     "r23_active_accounts": "select account_id, name, account_type, institution from fx_buckets",
+    "r6_deduction_breakdown_keyed": """
+        select employee_id, description, cast(sum(amount) as double) amount from fx_lines
+        where section = 'employee_taxes' group by 1, 2""",
+    "r9_pay_summary_keyed": f"""
+        select employee_id, cast(sum(gross_pay) as double) total_gross, cast(sum(net_pay) as double) total_net,
+          cast(sum(employee_taxes + pre_tax_deductions + post_tax_deductions) as double) total_deductions,
+          {ratio(f"sum({cents('employee_taxes + pre_tax_deductions + post_tax_deductions')}) * 100",
+                 f"sum({cents('gross_pay')})", 4)} effective_rate,
+          {ratio(f"sum({cents('net_pay')}) * 100", f"sum({cents('gross_pay')})", 4)} take_home_rate,
+          count(distinct check_date) paychecks from fx_totals group by 1""",
+    "r15_paycheck_kpis_keyed": f"""
+        select employee_id, count(*) check_count, cast(sum({cents('gross_pay')}) as double) / 100 total_gross,
+          cast(sum({cents('net_pay')}) as double) / 100 total_net,
+          {ratio(f"sum(cast(round(savings_rate_pct * 100) as hugeint))", 'count(*) * 100', 4)} avg_savings_rate,
+          {ratio(f"sum(cast(round(total_savings_rate_pct * 100) as hugeint))", 'count(*) * 100', 4)} avg_total_savings_rate
+        from ({_savings_sql("employee_id,")}) group by 1""",
+    "r17_savings_trend_keyed": f"""
+        select employee_id, check_date, savings_rate_pct, total_savings_rate_pct, pretax_savings, posttax_savings,
+          roth_ira_deposit, employer_contributions from ({_savings_sql("employee_id,")})""",
+    "r17_savings_long_keyed": f"with s as ({_savings_sql('employee_id,')}) " + " union all ".join(
+        f"select employee_id, check_date, '{b}' bucket, {b} amount from s"
+        for b in ("pretax_savings", "posttax_savings", "roth_ira_deposit", "employer_contributions")),
+    "r18_paycheck_detail_keyed": "select employee_id, check_date, " + ", ".join(
+        f"cast({c} as double) as {c}" for c in ("hours_worked", "gross_pay", "employee_taxes",
+                                             "pre_tax_deductions", "post_tax_deductions", "net_pay",
+                                             "gross_pay_ytd", "net_pay_ytd")) + " from fx_totals",
+    "r19_reconciliation_kpis_keyed": """
+        select employee_id, count(*) total_checks, count(*) filter (status = 'MATCH') clean_matches,
+          count(*) filter (status = 'INVESTIGATE' or status = 'MISSING') need_attention
+        from fx_recon_keyed group by 1""",
+    "r23_current_balances_keyed": """
+        select household_id, name, account_type, institution, bucket, cast(balance as double) balance, as_of_date
+        from fx_current""",
+    "r23_active_accounts_keyed":
+        "select household_id, account_id, name, account_type, institution from fx_buckets",
     "r23_snapshot_log": """
         select snapshot_date, name account, cast(balance as double) balance, s.note, snapshot_id,
           epoch_us(entered_at) entered_at

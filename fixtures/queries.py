@@ -598,6 +598,37 @@ def _(q):
     return pay.paycheck_detail(q.totals)
 
 
+@query("r6_deduction_breakdown_keyed")
+def _(q):
+    return pay.deduction_breakdown(q.lines, "employee_taxes", keys=EMPLOYEE)
+
+
+@query("r9_pay_summary_keyed")
+def _(q):
+    return _rounded(pay.pay_summary(q.totals, keys=EMPLOYEE), "effective_rate", "take_home_rate")
+
+
+@query("r15_paycheck_kpis_keyed")
+def _(q):
+    return _rounded(pay.paycheck_kpis(pay.savings_rate(q.totals, q.lines, keys=EMPLOYEE), EMPLOYEE),
+                    "avg_savings_rate", "avg_total_savings_rate")
+
+
+@query("r17_savings_trend_keyed")
+def _(q):
+    return pay.savings_trend(pay.savings_rate(q.totals, q.lines, keys=EMPLOYEE), EMPLOYEE)
+
+
+@query("r17_savings_long_keyed")
+def _(q):
+    return pay.savings_long(pay.savings_rate(q.totals, q.lines, keys=EMPLOYEE), EMPLOYEE)
+
+
+@query("r18_paycheck_detail_keyed")
+def _(q):
+    return pay.paycheck_detail(q.totals, EMPLOYEE)
+
+
 # --- reconciliation and flows ----------------------------------------------------------------
 
 
@@ -633,6 +664,12 @@ def _(q):
                                                  keys=EMPLOYEE, transaction_keys=ENTITY))
 
 
+@query("r19_reconciliation_kpis_keyed")
+def _(q):
+    return rec.reconciliation_kpis(rec.reconcile(q.totals, q.payments, q.entity_txns, keys=EMPLOYEE,
+                                                 transaction_keys=ENTITY), keys=EMPLOYEE)
+
+
 @query("e8_money_flow_edges")
 def _(q):
     return flows.money_flow_edges(q.totals, q.lines, q.txns)
@@ -719,6 +756,16 @@ def _(q):
     return nw.active_accounts(q.accounts)
 
 
+@query("r23_current_balances_keyed")
+def _(q):
+    return nw.current_balances(q.snapshots, q.accounts, HOUSEHOLD)
+
+
+@query("r23_active_accounts_keyed")
+def _(q):
+    return nw.active_accounts(q.accounts, HOUSEHOLD)
+
+
 @query("r23_snapshot_log")
 def _(q):
     return (nw.snapshot_log(q.snapshots, q.accounts)

@@ -151,10 +151,20 @@ def test_workbook_cell_types():
     assert got[3][:5] == ["7", "68.2", "True", "", "f"] and got[3][26] == "-1"
 
 
-def test_broken_workbook_names_the_file(spark, tmp_path):
+def test_a_broken_workbook_stops_no_other(spark, tmp_path):
     (tmp_path / "broken.xlsx").write_bytes(b"no zip")
-    with pytest.raises(Exception, match="broken.xlsx is not a readable workbook"):
-        wb.read_payslip_grids(spark, str(tmp_path)).collect()
+    (tmp_path / "good.xlsx").write_bytes(workbook_bytes(GRID))
+    got = {r["source_file"]: r for r in wb.read_payslip_grids(spark, str(tmp_path)).collect()}
+    assert got["good.xlsx"]["error"] is None and len(got["good.xlsx"]["grid"]) == len(GRID)
+    assert got["broken.xlsx"]["grid"] is None and "not a readable workbook" in got["broken.xlsx"]["error"]
+
+
+def test_rejected_payslips(spark):
+    grid = [["Payslip Information"], ["Employee ID", "Check Date", "Pay Period End"], ["e", "soon", ""],
+            ["Earnings"], ["Description", "Amount", "Hours"], ["Regular", "1,000.00", "much"], ["Bonus", "", "x"]]
+    got = sorted(rows(ps.rejected_payslips(grids(spark, grid)).select("item", "reason")))
+    assert got == [("much", "unreadable hours"), ("soon", "unreadable check_date"), ("x", "unreadable hours")]
+    assert ps.rejected_payslips(grids(spark, GRID)).count() == 0
 
 
 def test_payments_equal_the_fields_of_the_payload(spark):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cashweave.operators import health, networth as nw, transactions
 from cashweave.plans import refresh
-from cashweave.schemas import ACCOUNT_DEFINITIONS, BALANCE_SNAPSHOTS, PAYROLL_LINES, TRANSACTIONS_RAW
+from cashweave.schemas import (ACCOUNT_DEFINITIONS, BALANCE_SNAPSHOTS, LOAD_REPORT, PAYROLL_LINES, REJECTS,
+                               TRANSACTIONS_RAW)
 from cashweave.sources import registry, store
 from fixtures.derive import workbook_bytes
 from .conftest import day, dec, plan, rows
@@ -67,6 +68,47 @@ def test_files_to_views(spark, tmp_path):
     assert left.where(F.col("entered_at").isNull()).count() == 0
 
 
+def test_bad_files_are_listed_and_stop_no_other(spark, tmp_path):
+    csvs, sheets = tmp_path / "csv", tmp_path / "xlsx"
+    csvs.mkdir(), sheets.mkdir()
+    (csvs / "good.csv").write_text(OLD + "Food,Out,expense,01/02/2024,M,-30.00,\nFood,Out,expense,soon,M,much,\n")
+    (csvs / "odd.csv").write_text("a,b\n1,2\n")
+    (sheets / "p.xlsx").write_bytes(workbook_bytes(GRID))
+    (sheets / "broken.xlsx").write_bytes(b"no zip")
+    t = refresh.Tables(str(tmp_path / "db"))
+    refresh.ingest_transactions(spark, str(csvs), t)
+    refresh.ingest_payslips(spark, str(sheets), t)
+    assert store.read_loads(spark, t.bronze("transactions_raw"), TRANSACTIONS_RAW).count() == 2
+    assert store.read_loads(spark, t.bronze("payroll_lines"), PAYROLL_LINES).count() > 0
+    rejects = store.read_table(spark, t.bronze("rejects"), REJECTS)
+    assert sorted((r.source_file, r.reason.split(":")[0]) for r in rejects.collect()) == [
+        ("broken.xlsx", "not a readable workbook"), ("good.csv", "unreadable date, unreadable amount"),
+        ("odd.csv", "unknown layout")]
+    assert '"Amount":"much"' in rejects.where("source_file = 'good.csv'").first()["item"]
+    report = store.read_table(spark, t.bronze("load_report"), LOAD_REPORT)
+    assert sorted(rows(report.select("source_file", "rows")))[0] == ("good.csv", 2)
+    assert {r.source_file for r in report.collect()} == {"good.csv", "p.xlsx"}
+
+
+def test_registry_and_balance_jobs(spark, tmp_path):
+    t = refresh.Tables(f"{tmp_path}/lake")
+    seeds = spark.createDataFrame([("a", "Mine", "checking")], "account_id string, name string, account_type string")
+    for _ in range(2):
+        refresh.seed_accounts(spark, seeds, t)
+    asked = spark.createDataFrame([("Roth", "retirement"), ("Boat", "boat")], "name string, account_type string")
+    assert rows(refresh.add_accounts(spark, asked, t).select("name", "reason")) == [("Boat", "unknown account type")]
+    entered = spark.createDataFrame([("a", day("2024-01-31"), dec(50)), ("acct_roth", day("2024-01-31"), dec(70)),
+                                     ("a", day("2024-02-01"), dec(900))],
+                                    "account_id string, snapshot_date date, balance decimal(14,2)")
+    refresh.enter_balances(entered, t)
+    stored = store.read_table(spark, t.bronze("balance_snapshots"), BALANCE_SNAPSHOTS)
+    refresh.delete_snapshots(spark, stored.where("balance = 900").select("snapshot_id"), t)
+    refresh.refresh_silver(spark, t)
+    refresh.refresh_gold(spark, t)
+    refresh.register_views(spark, t)
+    assert rows(spark.sql("select net_worth, liquid_cash from net_worth_summary")) == [(dec(120), dec(50))]
+
+
 def test_empty_sources(spark, tmp_path):
     """No files at all: every job runs and every view can be read."""
     tables = refresh.Tables(f"{tmp_path}/lake")
