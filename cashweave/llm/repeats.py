@@ -135,9 +135,9 @@ class _Read:
             first.clear()
             names.clear()
         odd = np.int64(0x5851F42D4C957F2D)
-        dealt = np.where(settled, doc * 31 + start * odd, np.where(hot, anchor ^ (name * odd), anchor))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(dealt), pa.array(name), pa.array(doc), pa.array(_pack(tag, start, ahead, count, hot, settled))],
+        dealt = np.where(settled, doc * 31 + (start >> 16) * odd, np.where(hot, anchor ^ (name * odd), anchor))
+        return pa.RecordBatch.from_arrays(  # what settled rows hold compresses well: their names are not asked for again
+            [pa.array(dealt), pa.array(np.where(settled, 0, name)), pa.array(doc), pa.array(_pack(tag, start, ahead, count, hot, settled))],
             ["anchor", "name", "doc", "packed"])
 
 
