@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
-MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
-LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # what the models judge
+LETTER = re.compile(r"[A-Za-z]")  # what has none is a number
+LONG = re.compile(r"[A-Za-z0-9+/_=-]{8,}")   # what the models judge
 STATES = len(ALPHABET) + 1                   # and the start of a string
+CACHED_TOKENS = 1 << 16                      # whose verdict is remembered within a batch
 _CODE = np.zeros(256, np.uint8)
 _CODE[list(ALPHABET)] = np.arange(1, STATES)
 
@@ -46,7 +48,7 @@ class Model:
         return float(self.ratio[at[:-1], at[1:]].sum())
 
     def random(self, token: str) -> bool:
-        return bool(MIXED.match(token)) and self.score(token) >= self.threshold
+        return bool(LETTER.search(token)) and self.score(token) >= self.threshold
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -57,11 +59,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def all_spans(text: str, model: Model) -> list[tuple[str, int, int]]:
-    """The base spans, and ``markov`` spans for long tokens clear of them that the models call random."""
+def all_spans(text: str, random: Callable[[str], bool]) -> list[tuple[str, int, int]]:
+    """The base spans, and ``markov`` spans for long tokens clear of them that ``random`` holds of."""
     base = base_spans(text)
     more = [("markov", *m.span()) for m in LONG.finditer(text)
-            if not any(s < m.end() and m.start() < e for _, s, e in base) and model.random(m[0])]
+            if not any(s < m.end() and m.start() < e for _, s, e in base) and random(m[0])]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -116,15 +118,16 @@ def train(samples: DataFrame, threshold: float = 12.0) -> Model:
 def spans_of(model: Model, text: Column) -> Column:
     """All spans of a text column: ``kind``, ``start`` and ``end`` (exclusive) in code points, by start and kind.
 
-    Patterns (``assign``, ``access``, ``hex``) always stay; ``markov`` marks further tokens of 16 or more characters
-    with a letter and a digit whose log-likelihood ratio reaches the model's threshold. NULL and empty texts
+    Patterns (``assign``, ``access``, ``hex``) always stay; ``markov`` marks further tokens of 8 or more characters
+    with a letter whose log-likelihood ratio reaches the model's threshold. NULL and empty texts
     have none. Texts are scanned whole, each by itself, so repeated rows agree; no rows give no rows, and other
     columns are not touched.
     """
     @F.arrow_udf(SPAN)
     def find(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t or "", model)]
+        random = lru_cache(CACHED_TOKENS)(model.random)
+        return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in all_spans(t or "", random)]
                          for t in texts.to_pylist()], kind)
 
     return find(text)
