@@ -59,11 +59,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _clear(start: int, end: int, base: list[tuple[str, int, int]], i: int) -> Iterator[tuple[int, int]]:
+    """The parts of a place that no base span from the i-th on covers."""
+    while i < len(base) and base[i][1] < end:
+        if start < base[i][1]:
+            yield start, base[i][1]
+        start, i = max(start, base[i][2]), i + 1
+    if start < end:
+        yield start, end
+
+
 def all_spans(text: str, random: Callable[[str], bool]) -> list[tuple[str, int, int]]:
-    """The base spans, and ``markov`` spans for long tokens clear of them that ``random`` holds of."""
+    """The base spans, and ``markov`` spans for what they leave of long tokens, where a part is long and ``random``
+    holds of it."""
     base = base_spans(text)
-    more = [("markov", *m.span()) for m in LONG.finditer(text)
-            if not any(s < m.end() and m.start() < e for _, s, e in base) and random(m[0])]
+    more, i = [], 0
+    for m in LONG.finditer(text):
+        while i < len(base) and base[i][2] <= m.start():
+            i += 1
+        more += [("markov", s, e) for s, e in _clear(*m.span(), base, i) if LONG.fullmatch(text, s, e) and random(text[s:e])]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -119,7 +133,8 @@ def spans_of(model: Model, text: Column) -> Column:
     """All spans of a text column: ``kind``, ``start`` and ``end`` (exclusive) in code points, by start and kind.
 
     Patterns (``assign``, ``access``, ``hex``) always stay; ``markov`` marks further tokens of 8 or more characters
-    with a letter whose log-likelihood ratio reaches the model's threshold. NULL and empty texts
+    with a letter whose log-likelihood ratio reaches the model's threshold; of a token that touches a pattern, each
+    part outside is a token. NULL and empty texts
     have none. Texts are scanned whole, each by itself, so repeated rows agree; no rows give no rows, and other
     columns are not touched.
     """
