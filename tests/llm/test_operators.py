@@ -175,6 +175,34 @@ def test_secrets_joined_to_a_pattern(spark, sf_dir):
         assert [s[1:] for s in secrets.all_spans(text, model.random) if s[0] == "markov"] == want
 
 
+def test_secret_spans_whole(spark, sf_dir):
+    """All spans that op5 lists, with keys planted in some texts, against a scan of what the patterns leave."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(secrets.labelled_strings(docs))
+    key = "wJq7Zt0vXw93LkPa8Bd2"
+    planted = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(f" {key} a {'0123456789abcdef' * 2}/{key}")))
+                          .otherwise(F.col("text")).alias("text"))
+    found = planted.withColumn("spans", secrets.spans_of(model, F.col("text"))).collect()
+    listed = {r["doc_id"]: r["spans"] for r in queries.op5_secret_scan(spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    def want(text):
+        base = secrets.base_spans(text)
+        left = list(text)
+        for _, a, b in base:
+            left[a:b] = "." * (b - a)
+        left = "".join(left)
+        more = [("markov", *m.span()) for m in re.finditer("[A-Za-z0-9+/_=-]{8,}", left)
+                if re.search("[A-Za-z]", m[0]) and model.score(m[0]) >= 12]
+        return sorted(base + more, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+    for r in found:
+        assert [tuple(s) for s in r["spans"]] == want(r["text"] or "")
+    assert any(s["kind"] == "markov" for r in found for s in r["spans"])
+    for i, text in texts.items():
+        assert listed[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in want(text))
+
+
 def brute_repeats(docs):
     seen, out = set(), {}
     for i in sorted(docs):
