@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality import RULES, STOP_WORDS
+from .urls import LOWER, RULES as URL_RULES, TERMS, UPPER
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -147,6 +148,81 @@ FROM s QUALIFY rank <= 20
 """
 
 
+def _urls() -> str:
+    def listed(terms):
+        return "[" + ", ".join(f"'{t}'" for t in sorted(terms)) + "]"
+
+    def found(terms):
+        return f"list_filter({listed(terms)}, lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))"
+
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.name}', '{'allow' if r.allow else 'block'}')" for r in URL_RULES)
+    return rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS u,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT id, max_by(name, length(name)) AS rule, max_by(v, length(name)) AS v
+  FROM p JOIN (VALUES {rules}) rules(h, start, name, v)
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start)
+  GROUP BY id),
+t AS (
+  SELECT p.*, rule, v, CAST(len({found(TERMS.strict)}) AS BIGINT) AS n_strict,
+         CAST(len({found(TERMS.soft)}) AS BIGINT) AS n_soft,
+         array_to_string({found(TERMS.strict + TERMS.soft)}, ',') AS terms
+  FROM p LEFT JOIN r USING (id))
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN n_strict > 0 OR n_soft >= {TERMS.limit} THEN 'block' ELSE 'allow' END) AS verdict,
+       n_strict, n_soft, terms
+FROM t
+"""
+
+
+# Near words by letters taken out: equal with the same place out, or one equal to the other with a letter out.
+_SPELLING = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce([i] || CAST(range(8) AS BIGINT[]),
+                              lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                           'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (
+  SELECT run, n, xor(list_reduce(
+           [4294967295] || list_transform(
+             string_split(regexp_replace(hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)),
+                                         '(..)', '\1 ', 'g'), ' ')[:-2], lambda x: CAST('0x' || x AS BIGINT)),
+           lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM runs, tab),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+out AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM out a JOIN out b USING (i, s) WHERE a.word <> b.word
+  UNION SELECT o.word, w.word FROM out o JOIN w ON o.s = w.word
+  UNION SELECT w.word, o.word FROM out o JOIN w ON o.s = w.word),
+near AS (
+  SELECT p.a AS word, count(*) AS n_near, first(w.word ORDER BY w.n DESC, encode(w.word)) AS best, max(w.n) AS best_n
+  FROM pairs p JOIN w ON p.b = w.word GROUP BY p.a),
+f AS (
+  SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form,
+         CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n
+  FROM w LEFT JOIN near USING (word)),
+walk AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON f.word = walk.word JOIN f AS last ON last.word = walk.root AND last.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_interleaved_shards": _SHARDS,
@@ -154,4 +230,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_vantage_neighbours": _NEAREST,
         "op8_source_mix": _MIX,
         "op10_chat_perspectives": _CHAT,
+        "op12_url_verdicts": _urls(),
+        "op13_spelling_variants": _SPELLING,
     }

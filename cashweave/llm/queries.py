@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, mixing, neighbours, quality, repeats, secrets, sharding, simhash
+from . import bpe, chat, language, mixing, neighbours, quality, repeats, secrets, sharding, simhash, spelling, urls, whitening
 from .components import stored
 from .text import word_count
 
@@ -93,10 +93,31 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op11_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), keep=("page_id",))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose hash is a multiple of 97 loses one code point; a NULL doc_id hashes as ``null``."""
+    docs = _table(spark, sf_dir, "documents")
+    run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"),
+                      F.explode(spelling.runs(F.col("text"))).alias("run")).where(F.length("run") >= 5)
+    h = F.crc32(F.concat("id", F.lit(":"), "run"))
+    at = (h % F.length("run")).cast("int")
+    word = F.when(h % 97 == 0, F.concat(F.substring("run", 1, at), F.substring("run", at + 2, F.length("run")))).otherwise(
+        F.col("run"))
+    counted = run.select(word.alias("word")).where(F.length("word") >= 5).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.variants(counted.where("n >= 3"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_interleaved_shards, op2_quality_rules, op3_simhash_dedup, op4_vantage_neighbours,
         op5_secret_scan, op6_repeated_strings, op7_bpe_codec, op8_source_mix,
-        op9_language_spans, op10_chat_perspectives,
+        op9_language_spans, op10_chat_perspectives, op11_whitened_embeddings, op12_url_verdicts, op13_spelling_variants,
     )
 }
