@@ -16,6 +16,10 @@ REFERENCE_WIDTH = 15
 BAND_LOG, BAND_LINEAR, BAND_WIDENING = 1.5, 2.0, 0.5
 VALUE_PARTS = ("liquid", "retirement", "investments")
 
+ORIGIN = 10_957                       # 2000-01-01 as days from the epoch; any fixed day would do
+VALUE_DIGITS, LOG_DIGITS = 4, 12      # decimals of values and of their logarithms
+EXACT = "decimal(38,0)"
+
 
 def series(history: DataFrame, keys: Sequence[str] = (), value_col: str | None = None) -> DataFrame:
     """The observed series: date and value. The default value leaves liabilities out."""
@@ -24,33 +28,53 @@ def series(history: DataFrame, keys: Sequence[str] = (), value_col: str | None =
     return history.select(*keys, "as_of_date", value.cast("double").alias("y"))
 
 
+def _whole(v: Column, digits: int) -> Column:
+    """``v`` to ``digits`` decimals as an integer: sums of integers do not depend on the order of the rows."""
+    return F.floor(v * 10.0 ** digits + 0.5).cast(EXACT)
+
+
 def fit(history: DataFrame, keys: Sequence[str] = (), model: str = "exponential",
         value_col: str | None = None) -> DataFrame:
     """One row per entity with at least two dates: the fitted line and its residual spread.
 
-    Days are counted from the epoch for the regression, which leaves the slope unchanged, and
-    the line is kept as (mean x, mean y, slope): one aggregation, no pass to find the first day.
+    All moments are exact sums of integers: days from one fixed origin, values to four decimals and logarithms to
+    twelve. They are the same under any partitioning, nothing cancels before the last step, and no pass is needed to
+    find the first day. The line is kept as (mean x, mean y, slope). Dates without a value take no part; moments that
+    leave 38 digits (values beyond about 10^10 over thousands of dates) raise an error rather than lose digits.
     """
     if model not in ("exponential", "linear"):
         raise ValueError("model must be 'exponential' or 'linear'")
-    x, y = F.unix_date("as_of_date").cast("double"), F.col("y")
-    log_y = F.when(y > 0, F.ln(y))
-
-    def moments(v: Column, tag: str) -> list[Column]:
-        return [F.avg(v).alias(f"mean_{tag}"), F.regr_slope(v, x).alias(f"slope_{tag}"),
-                F.regr_syy(v, x).alias(f"syy_{tag}"), F.regr_sxy(v, x).alias(f"sxy_{tag}"),
-                F.regr_sxx(v, x).alias(f"sxx_{tag}")]
+    x, y = (F.unix_date("as_of_date") - ORIGIN).cast(EXACT), F.col("y")
+    scaled = {"lin": (_whole(y, VALUE_DIGITS), VALUE_DIGITS), "log": (_whole(F.when(y > 0, F.ln(y)), LOG_DIGITS), LOG_DIGITS)}
 
-    def sigma(tag: str) -> Column:
-        left = F.col(f"syy_{tag}") - F.col(f"sxy_{tag}") ** 2 / F.col(f"sxx_{tag}")
-        return F.sqrt(F.greatest(left, F.lit(0.0)) / F.col("n"))
+    def total(c: Column) -> Column:
+        return F.sum(c.cast(EXACT))
 
-    rows = (series(history, keys, value_col).groupBy(*keys)
+    rows = (series(history, keys, value_col).where("y IS NOT NULL").groupBy(*keys)
             .agg(F.count("*").alias("n"), F.min("as_of_date").alias("first_date"),
-                 F.max("as_of_date").alias("last_date"), F.avg(x).alias("mean_x"),
-                 F.min("y").alias("min_y"), F.max_by("y", "as_of_date").alias("last_y"),
-                 *moments(y, "lin"), *moments(log_y, "log"))
+                 F.max("as_of_date").alias("last_date"), F.min("y").alias("min_y"),
+                 F.max_by("y", "as_of_date").alias("last_y"), total(x).alias("sx"), total(x * x).alias("sxx"),
+                 *(total(t).alias(f"{name}_{tag}") for tag, (v, _) in scaled.items()
+                   for name, t in (("s", v), ("sx", x * v), ("ss", v * v))))
             .where("n >= 2"))
+    n = F.col("n").cast(EXACT)
+
+    def spread(a: str, b: str, ab: str) -> Column:
+        """n times the sum of products less the product of sums: n squared covariances."""
+        left, right = (n * F.col(ab)).cast(EXACT), (F.col(a) * F.col(b)).cast(EXACT)
+        return (left - right).cast(EXACT).cast("double")
+
+    dxx = F.nullif(spread("sx", "sx", "sxx"), F.lit(0.0))
+    measures = {}
+    for tag, (_, digits) in scaled.items():
+        dxy, dyy = spread("sx", f"s_{tag}", f"sx_{tag}"), spread(f"s_{tag}", f"s_{tag}", f"ss_{tag}")
+        unit = F.lit(10.0 ** digits)
+        measures |= {f"mean_{tag}": F.col(f"s_{tag}").cast("double") / F.col("n") / unit,
+                     f"slope_{tag}": dxy / dxx / unit,
+                     f"sigma_{tag}": F.sqrt(F.greatest(dyy - dxy * dxy / dxx, F.lit(0.0))) / F.col("n") / unit}
+    start = F.unix_date("first_date") - ORIGIN
+    measures["mean_x"] = (F.col("sx") - n * start).cast(EXACT).cast("double") / F.col("n")
+    rows = rows.withColumns(measures)
     exponential = (F.col("min_y") > 0) if model == "exponential" else F.lit(False)
     label = (F.when(exponential, LABEL_EXP).otherwise(LABEL_FALLBACK)
              if model == "exponential" else F.lit(LABEL_LINEAR))
@@ -63,10 +87,9 @@ def fit(history: DataFrame, keys: Sequence[str] = (), model: str = "exponential"
         *keys, "n", "first_date", "last_date", "last_y", label.alias("model"),
         exponential.alias("exponential"),
         F.datediff("last_date", "first_date").alias("span"),
-        (F.col("mean_x") - F.unix_date("first_date")).alias("mean_x"),
-        pick("mean").alias("mean_y"), pick("slope").alias("slope"),
-        F.when(exponential, F.greatest(sigma("log"), F.lit(MIN_SIGMA_LOG)))
-        .otherwise(F.greatest(sigma("lin"), floor_lin)).alias("sigma"))
+        "mean_x", pick("mean").alias("mean_y"), pick("slope").alias("slope"),
+        F.when(exponential, F.greatest("sigma_log", F.lit(MIN_SIGMA_LOG)))
+        .otherwise(F.greatest("sigma_lin", floor_lin)).alias("sigma"))
 
 
 def _with_bands(points: DataFrame, width: float) -> DataFrame:

@@ -296,7 +296,7 @@ def _steps_sql(detail: bool) -> str:
 
 
 def _fit_sql(history: str, key: str = "", exponential: bool = True) -> str:
-    """Least squares on days since the first date, in log space where that is possible."""
+    """Least squares on whole days in log space where that is possible, from exact sums of integers."""
     k = f"{key}, " if key else ""
     by = f"partition by {key}" if key else ""
     group = f"group by {key}" if key else ""
@@ -304,17 +304,23 @@ def _fit_sql(history: str, key: str = "", exponential: bool = True) -> str:
     label = ("case when logs then 'Exponential Fit' else 'Linear Fit (exponential unavailable)' end"
              if exponential else "'Linear Fit'")
     return f"""
-        with s0 as (select {k}as_of_date, liquid + retirement + investments y from {history}),
-          s1 as (select {k}as_of_date, y, {can} logs,
-            cast(as_of_date - min(as_of_date) over w as double) x from s0 window w as ({by})),
-          s2 as (select *, case when logs then ln(y) else y end v from s1),
-          f as (select {k}count(*) n, min(as_of_date) first_date, max(as_of_date) last_date,
-            arg_max(y, as_of_date) last_y, any_value(logs) logs, max(x) span, avg(x) mean_x,
-            avg(v) mean_y, regr_slope(v, x) slope, regr_intercept(v, x) base from s2 {group}),
-          r as (select {k}sqrt(avg((v - base - slope * x) * (v - base - slope * x))) spread
-            from s2 join f {f'using ({key})' if key else 'on true'} {group}),
-          m as (select f.*, {label} model, greatest(spread, case when logs then 0.05 else mean_y * 0.05 end) sigma
-            from f join r {f'using ({key})' if key else 'on true'} where n >= 2)"""
+        with s0 as (select {k}as_of_date, cast(liquid + retirement + investments as double) y from {history}),
+          s1 as (select {k}as_of_date, y, {can} logs, cast(as_of_date - date '2000-01-01' as hugeint) x,
+            cast(min(as_of_date) over w - date '2000-01-01' as hugeint) x0 from s0 window w as ({by})),
+          s2 as (select *, cast(case when logs then floor(ln(y) * 1000000000000.0::double + 0.5)
+            else floor(y * 10000.0::double + 0.5) end as hugeint) v from s1),
+          s3 as (select {k}cast(count(*) as hugeint) n, min(as_of_date) first_date, max(as_of_date) last_date,
+            arg_max(y, as_of_date) last_y, any_value(logs) logs, any_value(x0) x0, sum(x) sx, sum(v) sv, sum(x * x) sxx,
+            sum(x * v) sxv, sum(v * v) svv from s2 {group}),
+          s4 as (select *, case when logs then 1000000000000.0::double else 10000.0::double end unit,
+            cast(n * sxx - sx * sx as double) dxx, cast(n * sxv - sx * sv as double) dxv,
+            cast(n * svv - sv * sv as double) dvv, cast(sx - n * x0 as double) / cast(n as double) mean_x from s3 where n >= 2),
+          f as (select {k}cast(n as bigint) n, first_date, last_date, last_y, logs,
+            cast(last_date - first_date as double) span, mean_x, cast(sv as double) / cast(n as double) / unit mean_y,
+            dxv / dxx / unit slope,
+            sqrt(greatest(dvv - dxv * dxv / dxx, 0.0::double)) / cast(n as double) / unit resid from s4),
+          m as (select *, {label} model, greatest(resid, case when logs then 0.05::double else mean_y * 0.05::double end) sigma
+            from f)"""
 
 
 def _forecast_sql(history: str, key: str = "", exponential: bool = True, width: int = 15) -> str:
@@ -322,7 +328,7 @@ def _forecast_sql(history: str, key: str = "", exponential: bool = True, width:
     return _fit_sql(history, key, exponential) + f""",
           g as (select m.*, cast(i as integer) point,
             case when i = 199 then span + 365 else i * ((span + 365) / 199) end x from m, range(200) t(i)),
-          p as (select *, base + slope * x line, sigma * {width} / 15.0 spread from g),
+          p as (select *, mean_y + slope * (x - mean_x) line, sigma * {width} / 15.0 spread from g),
           b as (select *, case when logs then exp(line) else line end predicted,
             spread * 2 * case when model = 'Linear Fit'
               then greatest(1, 1 + (x - span) / greatest(span, 1) * 0.5) else 1 end half from p)
@@ -778,7 +784,7 @@ BODIES: dict[str, str] = {
     "k6_k8_forecast_linear": _forecast_sql("fx_history", exponential=False, width=25),
     "k6_k8_forecast_keyed": _forecast_sql("fx_history_keyed", "household_id"),
     "k9_forecast_summary": _fit_sql("fx_history_keyed", "household_id") + """,
-          p as (select *, case when logs then exp(base + slope * (span + 365)) else base + slope * (span + 365) end projected,
+          p as (select *, case when logs then exp(mean_y + slope * (span + 365 - mean_x)) else mean_y + slope * (span + 365 - mean_x) end projected,
             sigma * 1.5 s, sigma * 2 h from m)
         select household_id, model, last_y as "current", """ + nine("projected") + " projected, " + nine(
         "case when logs then projected / exp(s) else projected - h end") + " low, " + nine(

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cashweave.operators import forecast as fc
 from .conftest import rows
@@ -103,3 +104,28 @@ def test_value_column_and_arguments(spark):
         with pytest.raises(ValueError):
             fc.forecast(df, value_col="liquid", **bad)
     assert rows(fc.fit(df.where("false"), value_col="liquid")) == []
+
+
+@pytest.mark.parametrize("model", ["exponential", "linear"])
+def test_forecast_does_not_depend_on_the_partitioning(spark, model):
+    """Equal bit for bit, however the rows are dealt and ordered: all moments are exact sums."""
+    rng = np.random.default_rng(8)
+    days = [(int(d), float(v)) for d, v in zip(rng.permutation(3000), np.round(rng.lognormal(11, 2, 3000), 2))]
+    both = history(spark, *days, entity="a").union(history(spark, *days[:700], entity="b"))
+    first = None
+    for parts in (1, 7, 64):
+        got = sorted(rows(fc.forecast(both.repartition(parts), ["who"], model=model)))
+        first = first or got
+        assert got == first
+
+
+def test_moments_beyond_their_digits_are_refused(spark):
+    big = history(spark, *[(d, 1e14 + d) for d in range(50)])
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        fc.fit(big, model="linear").collect()
+
+
+def test_dates_without_a_value_take_no_part(spark):
+    df = history(spark, *SERIES["growth"])
+    more = df.union(history(spark, (500, 1)).withColumn("liquid", F.lit(None).cast("double")))
+    assert rows(fc.fit(more, value_col="liquid")) == rows(fc.fit(df, value_col="liquid"))
