@@ -1,20 +1,25 @@
 """Parquet tables: full refresh, replacement by source file, insert-only and delete-by-key.
 
-Parquet has no row-level updates, so the operators that change rows return the new content as a
-lazy frame, and the writers here decide which folders are rewritten.
+Parquet has no row-level updates. Writers only ever add folders, each complete when its ``_SUCCESS`` is there, and small
+append-only logs beside the data say which rows still count: readers leave out the others (merge on read), and
+compaction is a job of its own.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..schemas import conform
-from ..session import shared_dir
 
 LOAD = "load_id"
+MANIFEST = "_files"         # beside the loads: which files each of them holds
+TOMBSTONES = "_deleted"     # inside a version: the keys deleted from it
+PUBLISHED = "_published"    # below a layer: the folder of every table of one refresh
 
 
 # --- folders ---------------------------------------------------------------------------------
@@ -34,13 +39,16 @@ def _subfolders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return sorted(int(m.group(1)) for n in names if (m := re.fullmatch(rf"{prefix}(\d+)", n)))
 
 
+def _complete(spark: SparkSession, folder: str) -> bool:
+    fs, marker = _folder(spark, f"{folder}/_SUCCESS")
+    return fs.exists(marker)
+
+
 def latest_version(spark: SparkSession, path: str) -> str | None:
     """The folder of the newest complete refresh; a refresh that broke off is not complete."""
     for n in reversed(_subfolders(spark, path, "v")):
-        candidate = f"{path}/v{n}"
-        fs, marker = _folder(spark, f"{candidate}/_SUCCESS")
-        if fs.exists(marker):
-            return candidate
+        if _complete(spark, f"{path}/v{n}"):
+            return f"{path}/v{n}"
     return None
 
 
@@ -79,45 +87,139 @@ def append_rows(rows: DataFrame, path: str) -> None:
         latest_version(spark, path) or f"{path}/v{begun[-1] + 1 if begun else 0}")
 
 
-def replace_by_file(batch: DataFrame, path: str, schema: T.StructType) -> None:
-    """Load ``batch`` so that each of its source files replaces its own earlier rows.
+# --- replacement by source file --------------------------------------------------------------
+
 
-    The table is partitioned by load. A file that was loaded before goes back into the load that
-    holds it, every other file into a new load, and only the loads concerned are rewritten, in
-    one write job. Loading only new files therefore touches nothing that is already there, and
-    loading a batch twice leaves the same rows. A file without rows replaces nothing.
+def replace_by_file(batch: DataFrame, path: str, schema: T.StructType, keys: Sequence[str] = ()) -> DataFrame:
+    """Load ``batch`` so that each of its source files replaces its own earlier rows; returns the rows of this load.
+
+    A load is a new folder of rows and, once that is complete, an entry in the manifest that names its files. Nothing
+    that is already there is touched, however many files are sent again: a file's current rows are those of the
+    newest load that names it, and :func:`read_loads` leaves out the others. A load that broke off has no entry and is
+    never read. Loading a batch twice leaves the same rows; a file without rows replaces nothing. ``keys`` are
+    further columns that name a file, as entities may use the same file names.
     """
-    spark = batch.sparkSession
+    spark, names = batch.sparkSession, [*keys, "source_file"]
     loads = _subfolders(spark, path, f"{LOAD}=")
-    new_load = F.lit(loads[-1] + 1 if loads else 0)
-    if not loads:
-        rows = batch.withColumn(LOAD, new_load)
-    else:
-        shared_dir(spark)
-        table = read_loads(spark, path, schema)
-        names = batch.select("source_file").where("source_file IS NOT NULL").distinct()
-        # Which load holds each file; written out once, because it decides what is overwritten
-        # and must not be worked out again from a table that is changing.
-        homes = (table.join(names, "source_file", "left_semi").select("source_file", LOAD)
-                 .distinct().checkpoint())
-        touched = [r[LOAD] for r in homes.select(LOAD).distinct().collect()]  # few: one per load
-        kept = (table.where(F.col(LOAD).isin(touched))
-                .join(homes.select("source_file").distinct(), "source_file", "left_anti"))
-        home = homes.groupBy("source_file").agg(F.max(LOAD).alias(LOAD))
-        moved = (batch.join(home, "source_file", "left")
-                 .withColumn(LOAD, F.coalesce(LOAD, new_load)))
-        rows = moved.unionByName(kept, allowMissingColumns=True)
-    (conform(rows, schema, [LOAD]).hint("rebalance", LOAD)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(LOAD).parquet(path))
-
-
-def read_loads(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table written by :func:`replace_by_file`; loads older than a column give NULL there."""
+    folder = f"{LOAD}={loads[-1] + 1 if loads else 0}"
+    conform(batch, schema, keys).write.mode("errorifexists").parquet(f"{path}/{folder}")
+    written = spark.read.parquet(f"{path}/{folder}")
+    (written.groupBy(*names).agg(F.count("*").alias("rows")).coalesce(1)
+     .write.mode("errorifexists").parquet(f"{path}/{MANIFEST}/{folder}"))
+    return written
+
+
+def _loads(spark: SparkSession, path: str) -> list[int]:
+    """The loads that are complete and still there."""
+    named = [n for n in _subfolders(spark, f"{path}/{MANIFEST}", f"{LOAD}=")
+             if _complete(spark, f"{path}/{MANIFEST}/{LOAD}={n}")]
+    return sorted(set(named) & set(_subfolders(spark, path, f"{LOAD}=")))
+
+
+def _read(spark: SparkSession, path: str, loads: Sequence[int], schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField(LOAD, T.IntegerType())])
-    if not _subfolders(spark, path, f"{LOAD}="):
+    if not loads:
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(path)
+    return spark.read.schema(full).option("basePath", path).parquet(*(f"{path}/{LOAD}={n}" for n in loads))
+
+
+def _keyed(schema: T.StructType, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([*(T.StructField(k, T.StringType()) for k in keys), *schema.fields])
+
+
+def manifest(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per load and file: the file's ``rows`` and whether the load is the file's newest (``is_current``).
+    Rows without a file name are current in every load."""
+    names = [*keys, "source_file"]
+    schema = _keyed(T.StructType([T.StructField("source_file", T.StringType()), T.StructField("rows", T.LongType())]), keys)
+    rows = _read(spark, f"{path}/{MANIFEST}", _loads(spark, path), schema)
+    newest = F.max(LOAD).over(Window.partitionBy(*names))  # a partition holds the loads of one file
+    return rows.withColumn("is_current", F.col("source_file").isNull() | (F.col(LOAD) == newest))
+
+
+def read_loads(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = ()) -> DataFrame:
+    """The current rows of a table written by :func:`replace_by_file`; loads older than a column give NULL there.
+
+    Rows are compared with the files that a newer load replaced, a table of names that Spark broadcasts while it is
+    small; a table of one load is read as it is.
+    """
+    loads = _loads(spark, path)
+    rows = _read(spark, path, loads, _keyed(schema, keys))
+    if len(loads) < 2:
+        return rows
+    stale = manifest(spark, path, keys).where("NOT is_current").select(
+        *(F.col(c).alias(f"__{c}") for c in [*keys, "source_file", LOAD]))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col(LOAD) == F.col(f"__{LOAD}"))
+    return rows.join(stale, same & (F.col("source_file") == F.col("__source_file")), "left_anti")
+
+
+def compact_loads(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = ()) -> list[int]:
+    """Bring the current rows of all loads that hold replaced rows into one new load; returns those loads' numbers.
+
+    Loads without replaced rows are not read. Rows without a file name stay where they are.
+    """
+    worn = manifest(spark, path, keys).where("NOT is_current").select(LOAD).distinct()
+    touched = sorted(r[LOAD] for r in worn.collect())  # one row per load
+    if touched:
+        rows = read_loads(spark, path, schema, keys).where(F.col(LOAD).isin(touched) & F.col("source_file").isNotNull())
+        replace_by_file(rows.drop(LOAD), path, schema, keys)
+    return touched
+
+
+def vacuum_loads(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> list[int]:
+    """Delete the data of loads that hold no current row, and return their numbers; for when nobody reads them."""
+    spent = manifest(spark, path, keys).groupBy(LOAD).agg(F.max("is_current").alias("used")).where("NOT used")
+    gone = sorted(r[LOAD] for r in spent.collect())
+    for n in gone:
+        fs, folder = _folder(spark, f"{path}/{LOAD}={n}")
+        fs.delete(folder, True)
+    return gone
+
+
+# --- one refresh of several tables -----------------------------------------------------------
+
+
+def publish(spark: SparkSession, root: str, folders: Mapping[str, str]) -> None:
+    """Make one folder per table current, all at once: readers find them in one small file, complete or not there."""
+    done = _subfolders(spark, f"{root}/{PUBLISHED}", "v")
+    rows = spark.createDataFrame([(n, f.removeprefix(f"{root}/")) for n, f in folders.items()], "name string, folder string")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{PUBLISHED}/v{done[-1] + 1 if done else 0}")
+
+
+def published(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folders of the newest published refresh, one per table; none if there is none."""
+    pointer = latest_version(spark, f"{root}/{PUBLISHED}")
+    return {} if pointer is None else {r["name"]: f"{root}/{r['folder']}" for r in spark.read.parquet(pointer).collect()}
+
+
+def read_published(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table as the newest published refresh has it; empty before the first."""
+    folder = published(spark, root).get(name)
+    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).parquet(folder)
+
+
+# --- deletion by key -------------------------------------------------------------------------
+
+
+def delete_rows(gone: DataFrame, path: str, on: Sequence[str]) -> None:
+    """Delete rows of a table by key: the keys are added to a log inside the newest version, and no data is written."""
+    version = latest_version(gone.sparkSession, path)
+    if version is not None:
+        gone.select(*on).distinct().coalesce(1).write.mode("append").parquet(f"{version}/{TOMBSTONES}")
+
+
+def read_live(spark: SparkSession, path: str, schema: T.StructType, on: Sequence[str]) -> DataFrame:
+    """A table without the rows that :func:`delete_rows` took out of it."""
+    rows, version = read_table(spark, path, schema), latest_version(spark, path)
+    if version is None or not _complete(spark, f"{version}/{TOMBSTONES}"):
+        return rows
+    keys = T.StructType([f for f in schema if f.name in on])
+    return delete_by_key(rows, spark.read.schema(keys).parquet(f"{version}/{TOMBSTONES}"), on)
+
+
+def compact_table(spark: SparkSession, path: str, schema: T.StructType, on: Sequence[str]) -> str:
+    """A new version without the deleted rows and without a log of them."""
+    return write_full(read_live(spark, path, schema, on), path)
 
 
 # --- row-level operators ---------------------------------------------------------------------
@@ -129,7 +231,7 @@ def insert_missing(target: DataFrame, source: DataFrame, on: Sequence[str]) -> D
 
 
 def delete_by_key(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``table`` without the rows whose key is in ``keys``; write it with :func:`write_full`."""
+    """``table`` without the rows whose key is in ``keys``."""
     return table.join(keys.select(*on), list(on), "left_anti")
 
 
