@@ -23,24 +23,28 @@ SAVINGS_BUCKETS = ("pretax_savings", "posttax_savings", "roth_ira_deposit",
                    "employer_contributions")
 
 
-def section_table(payroll_lines: DataFrame, section: str) -> DataFrame:
+def _check(keys: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys([*keys, *CHECK_KEYS]))
+
+
+def section_table(payroll_lines: DataFrame, section: str, keys: Sequence[str] = ()) -> DataFrame:
     """The lines of one section; earnings also carry hours, rate and date range.
 
     On the stored table ``section`` is the partition column, so only that partition is read.
     """
     extra = ["hours", "rate", F.col("dates").alias("date_range")] if section == "earnings" else []
     return (payroll_lines.where(F.col("section") == section)
-            .select(*CHECK_KEYS, "description", "amount", "ytd", *extra))
+            .select(*_check(keys), "description", "amount", "ytd", *extra))
 
 
-def payments(payroll_lines: DataFrame) -> DataFrame:
+def payments(payroll_lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return (payroll_lines.where(F.col("section") == "payment_information")
-            .select(*CHECK_KEYS, F.col("description").alias("bank"), "account_name",
+            .select(*_check(keys), F.col("description").alias("bank"), "account_name",
                     F.col("account_number").alias("account_number_masked"),
                     F.col("amount").alias("deposit_amount")))
 
 
-def paycheck_totals(payroll_lines: DataFrame) -> DataFrame:
+def paycheck_totals(payroll_lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per check: six metrics and their year-to-date values, in one aggregation.
 
     A metric that repeats within a check counts once, by its first row in the file. Checks with
@@ -53,17 +57,17 @@ def paycheck_totals(payroll_lines: DataFrame) -> DataFrame:
 
     return (payroll_lines
             .where((F.col("section") == "totals") & F.col("description").isin(*TOTALS_METRICS))
-            .groupBy(*CHECK_KEYS)
+            .groupBy(*_check(keys))
             .agg(*[first(m, "amount").alias(c) for m, c in TOTALS_METRICS.items()],
                  *[first(m, "ytd").alias(f"{c}_ytd") for m, c in TOTALS_METRICS.items()]))
 
 
-def dedupe_checks(payroll_lines: DataFrame) -> DataFrame:
+def dedupe_checks(payroll_lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Keep each check's lines from the newest file only, where one check came in two files.
 
     Only checks found in several files take part in the join, normally very few.
     """
-    check = ["employee_id", "check_date", "check_number"]
+    check = list(dict.fromkeys([*keys, "employee_id", "check_date", "check_number"]))
     repeated = (payroll_lines.groupBy(*check, "source_file")
                 .agg(F.max("ingest_ts").alias("ingest_ts"))
                 .groupBy(*check)

@@ -116,5 +116,10 @@ def conform(df: DataFrame, schema: T.StructType, extra: list[str] | tuple[str, .
     return df.select(*out)
 
 
+def keyed(schema: T.StructType, keys) -> T.StructType:
+    """``schema`` with the entity keys of the stored tables in front, as text."""
+    return T.StructType([*(T.StructField(k, STR) for k in keys if k not in schema.names), *schema.fields])
+
+
 def empty(spark, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)

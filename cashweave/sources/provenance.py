@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -15,7 +18,14 @@ def base_name(uri: Column | str) -> Column:
     return F.regexp_extract(decode_path(uri), r"[^/]+$", 0)
 
 
-def with_provenance(df: DataFrame) -> DataFrame:
-    """Add ``source_file`` (name without folder) and ``ingest_ts`` to rows of a file scan."""
-    return (df.withColumn("source_file", base_name("_metadata.file_path"))
-            .withColumn("ingest_ts", F.current_timestamp()))
+def path_keys(uri: Column | str, keys: Sequence[str]) -> list[Column]:
+    """Entity keys that a file's folders name, as in ``household_id=7/budget.csv``; NULL where no folder does."""
+    path = decode_path(uri)
+    return [F.nullif(F.regexp_extract(path, rf"(?:^|/){re.escape(k)}=([^/]+)/", 1), F.lit("")).alias(k) for k in keys]
+
+
+def with_provenance(df: DataFrame, uri: Column | str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the ``keys`` of its files in front, ``source_file`` (name without folder) and ``ingest_ts``."""
+    own = [c for c in df.columns if c not in (*keys, "source_file", "ingest_ts")]
+    return df.select(*path_keys(uri, keys), *own, base_name(uri).alias("source_file"),
+                     F.current_timestamp().alias("ingest_ts"))

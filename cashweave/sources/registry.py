@@ -20,11 +20,11 @@ def account_id(name: Column | str) -> Column:
     return F.concat(F.lit("acct_"), F.regexp_replace(plain, r"[^\p{L}\p{N}_]", ""))
 
 
-def seed_accounts(registry: DataFrame, seeds: DataFrame) -> DataFrame:
+def seed_accounts(registry: DataFrame, seeds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The seeds the registry does not know yet, active unless they say otherwise."""
     active = F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in seeds.columns else F.lit(True)
     return insert_missing(registry, conform(seeds.withColumn("is_active", active),
-                                            ACCOUNT_DEFINITIONS), ["account_id"])
+                                            ACCOUNT_DEFINITIONS, keys), [*keys, "account_id"])
 
 
 def _refusal() -> Column:
@@ -63,8 +63,8 @@ def refused_accounts(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reason", _refusal()).where("reason IS NOT NULL")
 
 
-def new_snapshots(balances: DataFrame, allow_zero: bool = False) -> DataFrame:
+def new_snapshots(balances: DataFrame, allow_zero: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Snapshots of the entered balances: positive ones, or also zero, with id and time of entry."""
     wanted = F.col("balance") >= 0 if allow_zero else F.col("balance") > 0
     return conform(balances.where(wanted).withColumn("snapshot_id", F.uuid())
-                   .withColumn("entered_at", F.current_timestamp()), BALANCE_SNAPSHOTS)
+                   .withColumn("entered_at", F.current_timestamp()), BALANCE_SNAPSHOTS, keys)

@@ -14,7 +14,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..schemas import conform
+from ..schemas import conform, keyed
 
 LOAD = "load_id"
 MANIFEST = "_files"         # beside the loads: which files each of them holds
@@ -123,15 +123,11 @@ def _read(spark: SparkSession, path: str, loads: Sequence[int], schema: T.Struct
     return spark.read.schema(full).option("basePath", path).parquet(*(f"{path}/{LOAD}={n}" for n in loads))
 
 
-def _keyed(schema: T.StructType, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([*(T.StructField(k, T.StringType()) for k in keys), *schema.fields])
-
-
 def manifest(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per load and file: the file's ``rows`` and whether the load is the file's newest (``is_current``).
     Rows without a file name are current in every load."""
     names = [*keys, "source_file"]
-    schema = _keyed(T.StructType([T.StructField("source_file", T.StringType()), T.StructField("rows", T.LongType())]), keys)
+    schema = keyed(T.StructType([T.StructField("source_file", T.StringType()), T.StructField("rows", T.LongType())]), keys)
     rows = _read(spark, f"{path}/{MANIFEST}", _loads(spark, path), schema)
     newest = F.max(LOAD).over(Window.partitionBy(*names))  # a partition holds the loads of one file
     return rows.withColumn("is_current", F.col("source_file").isNull() | (F.col(LOAD) == newest))
@@ -144,7 +140,7 @@ def read_loads(spark: SparkSession, path: str, schema: T.StructType, keys: Seque
     small; a table of one load is read as it is.
     """
     loads = _loads(spark, path)
-    rows = _read(spark, path, loads, _keyed(schema, keys))
+    rows = _read(spark, path, loads, keyed(schema, keys))
     if len(loads) < 2:
         return rows
     stale = manifest(spark, path, keys).where("NOT is_current").select(

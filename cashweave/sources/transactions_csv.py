@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import parse_money
-from ..schemas import CSV_COLUMNS_NEW, CSV_COLUMNS_OLD, MONEY, STR, TRANSACTIONS_RAW, empty
+from ..schemas import CSV_COLUMNS_NEW, CSV_COLUMNS_OLD, MONEY, STR, TRANSACTIONS_RAW
+from ..session import scratch_path, staged
 from .provenance import decode_path, with_provenance
 
 DATE_PATTERN = "MM/dd/yyyy"
 RAW = T.StructType([T.StructField(c, STR) for c in CSV_COLUMNS_NEW]
-                   + [T.StructField("source_file", STR), T.StructField("ingest_ts", T.TimestampType())])
+                   + [T.StructField("source_file", STR), T.StructField("ingest_ts", T.TimestampType(), False)])
 _BITS = 4  # bits per column position in a header code; eight columns need four
 
 
@@ -39,28 +38,27 @@ def _header_code(line: Column) -> Column:
                   F.when(small, code).otherwise(0)).otherwise(0)
 
 
-def classify_csv_layout(spark: SparkSession, path: str) -> DataFrame:
-    """One row per CSV file: its path, its header as an ordered list of known columns, its layout.
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with content of the CSV files below ``path``: ``file``, ``block`` (where its split begins),
+    ``at`` (its place among the lines of the split) and ``value``."""
+    return (spark.read.option("pathGlobFilter", "*.csv").text(path)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"), "value")
+            .where(F.col("value").rlike(r"[^\x00-\x20]")))
+
 
-    ``layout`` is ``old`` (seven columns), ``new`` (eight, with Account) or ``unknown`` with a
-    NULL header. Only first lines matter, but Spark has no scan that stops after them: the text
-    of the batch is scanned once, lines of later blocks are dropped unread, and the rest is
-    reduced to one number per file before the shuffle.
+def layouts(lines: DataFrame) -> DataFrame:
+    """One row per file: ``file``, ``first`` (the place of its first line), ``code``, ``header`` and ``layout``.
+
+    ``layout`` is ``old`` (seven columns), ``new`` (eight, with Account) or ``unknown`` with a NULL header. Lines of
+    later splits are dropped, and the rest is reduced to two numbers per file before the shuffle.
     """
-    lines = (spark.read.option("pathGlobFilter", "*.csv").text(path)
-             .select(F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"), "value")
-             .where("block = 0")
-             .select("file", F.monotonically_increasing_id().alias("at"),
-                     _header_code(F.col("value")).alias("code")))
-    first = lines.groupBy("file").agg(F.min_by("code", "at").alias("code"))
-    mask = (1 << _BITS) - 1
+    first = (lines.where("block = 0").select("file", "at", _header_code(F.col("value")).alias("code"))
+             .groupBy("file").agg(F.min("at").alias("first"), F.min_by("code", "at").alias("code")))
     width = F.shiftright("code", _BITS * len(CSV_COLUMNS_NEW))
-    at = [F.shiftright("code", _BITS * i).bitwiseAND(F.lit(mask))
-          for i in range(len(CSV_COLUMNS_NEW))]
     ordered = F.array_sort(F.filter(
-        F.array(*[F.struct(p.alias("at"), F.lit(n).alias("name"))
-                  for p, n in zip(at, CSV_COLUMNS_NEW)]), lambda c: c["at"] > 0))
+        F.array(*[F.struct(_place(i).alias("at"), F.lit(n).alias("name")) for i, n in enumerate(CSV_COLUMNS_NEW)]),
+        lambda c: c["at"] > 0))
     header = F.transform(ordered, lambda c: c["name"])
     known = F.array_sort(header)
     layout = (F.when((width == len(CSV_COLUMNS_OLD))
@@ -68,54 +66,53 @@ def classify_csv_layout(spark: SparkSession, path: str) -> DataFrame:
               .when((width == len(CSV_COLUMNS_NEW))
                     & (known == F.array(*map(F.lit, sorted(CSV_COLUMNS_NEW)))), "new")
               .otherwise("unknown"))
-    return first.select(decode_path("file").alias("file"),
-                        F.when(layout != "unknown", header).alias("header"),
+    return first.select("file", "first", "code", F.when(layout != "unknown", header).alias("header"),
                         layout.alias("layout"))
 
 
-def _literal_glob(path: str) -> str:
-    """Escape what a path list would otherwise treat as a pattern."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+def _place(i: int) -> Column:
+    """The position, from one, of the i-th known column in a header code; zero if the header lacks it."""
+    return F.shiftright("code", _BITS * i).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
 
 
-def read_layouts(spark: SparkSession, files: Iterable[tuple[str, tuple[str, ...]]]) -> DataFrame:
-    """One scan per distinct header, each with its own schema, brought together by name.
+def classify_csv_layout(spark: SparkSession, path: str) -> DataFrame:
+    """One row per CSV file: its path, its header as an ordered list of known columns, its layout."""
+    return layouts(csv_lines(spark, path)).select(decode_path("file").alias("file"), "header", "layout")
 
-    The list of files is as long as the listing Spark itself keeps on the driver for any scan.
+
+def aligned(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The rows of all files of a known layout, as text columns by name, with provenance; ``keys`` come in front.
+
+    Each file's first line is joined to its other lines as a header: a row is taken apart by position, once, and
+    each column finds its own. However many headers there are, this is one plan, and nothing reaches the driver.
     """
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for file, header in files:
-        by_header[tuple(header)].append(_literal_glob(file))
-    out = None
-    for header, paths in sorted(by_header.items()):
-        schema = T.StructType([T.StructField(c, STR) for c in header])
-        scan = with_provenance(spark.read.schema(schema).option("header", "true")
-                               .option("quote", '"').option("escape", '"').csv(sorted(paths)))
-        out = scan if out is None else out.unionByName(scan, allowMissingColumns=True)
-    if out is None:
-        return empty(spark, RAW)
-    if "Account" not in out.columns:
-        out = out.withColumn("Account", F.lit(None).cast(STR))
-    return out.select(*RAW.fieldNames())
-
-
-def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
+    found = layouts(lines).where("layout <> 'unknown'").select("file", "first", "code")
+    cells = ", ".join(f"c{i} string" for i in range(len(CSV_COLUMNS_NEW)))
+    rows = (lines.select("file", "at", "value").join(found, "file").where("at <> first")
+            .select("file", "code", F.from_csv("value", F.lit(cells), {"quote": '"', "escape": '"'}).alias("cells")))
+    rows = rows.select("file", "code", F.array(*[f"cells.c{i}" for i in range(len(CSV_COLUMNS_NEW))]).alias("cells"))
+    named = rows.select("file", *[F.get("cells", _place(i) - 1).alias(n) for i, n in enumerate(CSV_COLUMNS_NEW)])
+    return with_provenance(named, "file", keys).drop("file")
+
+
+def read_transactions_csv(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
     """All files of a known layout below ``path``, as text columns with provenance.
 
-    Files of an unknown layout are left out; :func:`classify_csv_layout` lists them. Only that
-    listing comes to the driver, never rows.
+    The files are scanned once, into the shared scratch folder, since header and rows both come from their lines.
+    Files of an unknown layout are left out; :func:`classify_csv_layout` lists them. ``keys`` are read from the files'
+    folders (``household_id=7/budget.csv``).
     """
-    known = classify_csv_layout(spark, path).where("layout <> 'unknown'")
-    return read_layouts(spark, ((r.file, tuple(r.header)) for r in known.collect()))
+    return aligned(staged(csv_lines(spark, path), scratch_path(spark, "csv-lines")), keys)
 
 
 def _date(c: str = "Date") -> Column:
     return F.try_to_timestamp(c, F.lit(DATE_PATTERN)).cast("date")
 
 
-def clean_transactions(raw: DataFrame) -> DataFrame:
+def clean_transactions(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Typed bronze transactions. A date or amount that cannot be read becomes NULL."""
     return raw.select(
+        *keys,
         F.col("Group").alias("category_group"), F.col("Item").alias("category_item"),
         F.col("Type").alias("transaction_type"), _date().alias("transaction_date"),
         F.col("Merchant").alias("merchant"), F.col("Account").alias("account"),
@@ -123,15 +120,18 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
         "source_file", "ingest_ts")
 
 
-def rejected_transactions(raw: DataFrame) -> DataFrame:
-    """The rows whose date or amount was given but could not be read, with the reason."""
-    def unreadable(c: str, parsed: Column) -> Column:
+def unreadable() -> Column:
+    """What of a row's date and amount was given but could not be read; an empty text if nothing."""
+    def what(c: str, parsed: Column) -> Column:
         return F.when((F.trim(c) != "") & parsed.isNull(), F.lit(f"unreadable {c.lower()}"))
 
-    reason = F.concat_ws(", ", unreadable("Date", _date()),
-                         unreadable("Amount", parse_money("Amount", MONEY)))
-    return raw.withColumn("reason", reason).where("reason <> ''")
+    return F.concat_ws(", ", what("Date", _date()), what("Amount", parse_money("Amount", MONEY)))
+
+
+def rejected_transactions(raw: DataFrame) -> DataFrame:
+    """The rows whose date or amount was given but could not be read, with the reason."""
+    return raw.withColumn("reason", unreadable()).where("reason <> ''")
 
 
-__all__ = ["RAW", "TRANSACTIONS_RAW", "classify_csv_layout", "clean_transactions", "read_layouts",
-           "read_transactions_csv", "rejected_transactions"]
+__all__ = ["RAW", "TRANSACTIONS_RAW", "aligned", "classify_csv_layout", "clean_transactions", "csv_lines", "layouts",
+           "read_transactions_csv", "rejected_transactions", "unreadable"]

@@ -102,7 +102,7 @@ def test_registry_and_balance_jobs(spark, tmp_path):
                                     "account_id string, snapshot_date date, balance decimal(14,2)")
     refresh.enter_balances(entered, t)
     stored = store.read_table(spark, t.bronze("balance_snapshots"), BALANCE_SNAPSHOTS)
-    refresh.delete_snapshots(spark, stored.where("balance = 900").select("snapshot_id"), t)
+    refresh.delete_snapshots(stored.where("balance = 900").select("snapshot_id"), t)
     refresh.refresh_silver(spark, t)
     refresh.refresh_gold(spark, t)
     refresh.register_views(spark, t)
