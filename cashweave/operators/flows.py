@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import in_months, month_of, rows_in_months
 from ._keys import per_entity
 from .payroll import pay_totals
-from .transactions import is_expense, spending_by_group
+from .transactions import is_expense
 
 # Node names and flow types of the edge list.
 GROSS, TAKE_HOME = "Gross Pay", "Take-Home"
@@ -37,26 +37,28 @@ def _paycheck_edges(totals: DataFrame, payroll_lines: DataFrame, months, keys) -
 
 
 def _spending_edges(transactions: DataFrame, months, levels, keys) -> DataFrame:
-    """Levels 2 and 3 from one scan: per item first, then rolled up from those few rows."""
+    """Levels 2 and 3 from one aggregate per item: level 3 as it is, level 2 added up from the same exchange, whose
+    rows are one per item by then."""
     items = (transactions.where(is_expense() & rows_in_months(transactions, "transaction_date", months))
              .groupBy(*keys, "category_group", "category_item")
              .agg(F.sum("amount_abs").alias("amount"),
                   F.min("transaction_date").alias("first_date"),
                   F.max("transaction_date").alias("last_date")))
     group, item = F.col("category_group"), F.col("category_item")
-    key_cols = [F.col(k) for k in keys]
-    sets = ([[*key_cols, group]] if 2 in levels else []) + \
-           ([[*key_cols, group, item]] if 3 in levels else [])
-    # grouping() tells the levels apart, so an item that is NULL stays an item.
-    is_group = F.grouping("category_item") == 1
-    return (items.groupingSets(sets, *key_cols, group, item)
-            .agg(F.when(is_group, TAKE_HOME).otherwise(group).alias("source_node"),
-                 F.when(is_group, group).otherwise(item).alias("target_node"),
-                 F.round(F.sum("amount"), 2).alias("amount"),
-                 F.when(is_group, 2).otherwise(3).alias("level"),
-                 F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
-            .select(*keys, "source_node", "target_node", "amount", "level",
-                    F.lit(SPENDING).alias("flow_type"), "first_date", "last_date"))
+
+    def shape(df: DataFrame, source: Column, target: Column, level: int) -> DataFrame:
+        return df.select(*keys, source.alias("source_node"), target.alias("target_node"),
+                         F.round("amount", 2).alias("amount"), F.lit(level).alias("level"),
+                         F.lit(SPENDING).alias("flow_type"), "first_date", "last_date")
+
+    parts = []
+    if 2 in levels:
+        groups = items.groupBy(*keys, "category_group").agg(
+            F.sum("amount").alias("amount"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+        parts.append(shape(groups, F.lit(TAKE_HOME), group, 2))
+    if 3 in levels:
+        parts.append(shape(items, group, item, 3))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def money_flow_edges(totals: DataFrame, payroll_lines: DataFrame, transactions: DataFrame,
@@ -122,10 +124,14 @@ def waterfall_steps(totals: DataFrame, payroll_lines: DataFrame, transactions: D
                                            ("Post-Tax Ded.", "posttax")], start=1):
             steps.append(step(pay, part, F.lit(label), -F.coalesce(c, zero), "relative"))
     if include_spending:
-        groups = spending_by_group(transactions, months, keys)
-        steps.append(step(groups, 5, F.col("category_group"), -F.col("amount"), "relative"))
-        spent = groups.select(*keys).distinct() if keys else groups.agg(F.count("*").alias("n")).where("n > 0")
-        steps.append(step(spent, 6, F.lit("Remaining"), F.lit(0), "total"))
+        # One scan: each group brings the line of the rest along, which is then kept once.
+        spent = (transactions.where(is_expense() & rows_in_months(transactions, "transaction_date", months))
+                 .groupBy(*keys, F.col("category_group").alias("label")).agg((-F.sum("amount_abs")).alias("amount")))
+        no_amount = F.lit(0).cast(spent.schema["amount"].dataType)
+        lines = F.array(F.struct(F.lit(5).alias("part"), "label", "amount", F.lit("relative").alias("measure")),
+                        F.struct(F.lit(6).alias("part"), F.lit("Remaining").alias("label"), no_amount.alias("amount"),
+                                 F.lit("total").alias("measure")))
+        steps.append(spent.select(*keys, F.inline(lines)).distinct())
 
     order = per_entity(keys).orderBy("part", "amount", F.asc_nulls_first("label"))
     running = order.rowsBetween(Window.unboundedPreceding, 0)

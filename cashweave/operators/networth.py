@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import account_bucket, money as M, signed_balance
-from ._keys import per_entity
+from ._keys import left_join_per_day, per_entity
 
 
 def _newest(*more: str):
@@ -111,6 +111,40 @@ def net_worth_history(accounts: DataFrame, snapshots: DataFrame,
             .where("accounts > 0").select(*keys, "as_of_date", *totals))
 
 
+def _as_known_on(probes: DataFrame, known: DataFrame, by: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
+    """``probes`` with the ``values`` of the newest row of ``known`` on or before ``day``, NULL where there is none.
+
+    ``known`` holds one row per ``by`` and day. Its rows and the days asked for, each once, form one stream per ``by``,
+    sorted by day, along which the last row is carried: at most two rows per calendar day, however many probes an
+    entity has. The probes then join on equality of the day, without a range join and without being sorted.
+    """
+    carried = [c for c in by if c != day]
+    stream = known.select(*carried, day, F.struct(*values).alias("__known")).unionByName(
+        probes.select(*carried, day).where(F.col(day).isNotNull()).distinct(), allowMissingColumns=True)
+    along = per_entity(carried).orderBy(day, F.col("__known").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = (stream.withColumn("__last", F.last("__known", ignorenulls=True).over(along))
+            .where(F.col("__known").isNull()).select(*carried, day, "__last"))
+    return left_join_per_day(probes, seen, carried, day).select(
+        *probes.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+
+
+def balances_as_of(probes: DataFrame, snapshots: DataFrame, keys: Sequence[str] = (), day: str = "as_of_date") -> DataFrame:
+    """``probes`` (``keys``, ``account_id``, ``day``) with the account's ``balance`` on that day and the ``snapshot_date`` it
+    comes from; NULL before the account's first snapshot, for accounts that have none, and without a day. Repeated
+    probes stay; whether an account is active plays no part."""
+    by = [*keys, "account_id"]
+    days = daily_balances(snapshots, keys).select(*by, "snapshot_date", F.col("snapshot_date").alias(day), "balance")
+    return _as_known_on(probes, days, by, day, ["balance", "snapshot_date"])
+
+
+def net_worth_as_of(probes: DataFrame, accounts: DataFrame, snapshots: DataFrame, keys: Sequence[str] = (),
+                    day: str = "as_of_date") -> DataFrame:
+    """``probes`` (``keys``, ``day``) with the net worth and its parts as known on that day, by the rules of
+    :func:`net_worth_history`; NULL before the first balance of an active account. Repeated probes stay."""
+    history = net_worth_history(accounts, snapshots, keys).withColumnRenamed("as_of_date", day)
+    return _as_known_on(probes, history, list(keys), day, ["net_worth", "liquid", "retirement", "investments"])
+
+
 # --- reports ---------------------------------------------------------------------------------
 
 

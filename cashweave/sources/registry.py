@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import strip
 from ..schemas import ACCOUNT_DEFINITIONS, ACCOUNT_TYPES, BALANCE_SNAPSHOTS, conform
+from .numbering import numbered
 from .store import insert_missing
 
 NAME_LENGTH = 20
@@ -33,12 +34,14 @@ def _refusal() -> Column:
             .when(~F.coalesce(F.col("account_type").isin(*ACCOUNT_TYPES), F.lit(False)), "unknown account type"))
 
 
-def new_accounts(registry: DataFrame, requests: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def new_accounts(registry: DataFrame, requests: DataFrame, keys: Sequence[str] = (),
+                 keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """An account for every valid request, with an id of its own within its entity; ``keys`` come first.
 
     Requests that generate the same id are numbered by name and then by their other columns, after the
     accounts already registered: ``acct_x``, ``acct_x-2``, ... A generated id has no hyphen, so a numbered
-    one is never another name's. What is left out is listed by :func:`refused_accounts`.
+    one is never another name's. What is left out is listed by :func:`refused_accounts`. ``keep`` stages what the
+    numbering needs, see :func:`.numbering.numbered`.
     """
     keys, number = list(keys), F.regexp_extract("account_id", r"-(\d+)$", 1)
     taken = (registry.select(*keys, F.regexp_replace("account_id", r"-\d+$", "").alias("base"),
@@ -47,13 +50,13 @@ def new_accounts(registry: DataFrame, requests: DataFrame, keys: Sequence[str] =
     rows = (requests.where(_refusal().isNull()).withColumn("base", account_id("name"))
             .withColumn("is_active", F.lit(True)))
     others = sorted(c for c in requests.columns if c not in ("name", *keys))
-    order = Window.partitionBy(*keys, "base").orderBy("name", *others)
+    rows = numbered(rows, [*keys, "base"], ["name", *others], "at", keep)
     same = F.lit(True)
     for c in [*keys, "base"]:
         same = same & rows[c].eqNullSafe(taken[c])
-    n = F.col("at") + F.coalesce("taken", F.lit(0))
-    named = (rows.withColumn("at", F.row_number().over(order)).alias("r").join(taken, same, "left")
-             .select(*[F.col(f"r.{c}") for c in rows.columns if c != "base"],
+    n = F.col("r.at") + F.coalesce("taken", F.lit(0))
+    named = (rows.alias("r").join(taken, same, "left")
+             .select(*[F.col(f"r.{c}") for c in rows.columns if c not in ("base", "at")],
                      F.concat(F.col("r.base"), F.when(n > 1, F.concat(F.lit("-"), n)).otherwise("")).alias("account_id")))
     return conform(named, ACCOUNT_DEFINITIONS, keys)
 
