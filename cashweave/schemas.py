@@ -106,7 +106,7 @@ def conform(df: DataFrame, schema: T.StructType, extra: list[str] | tuple[str, .
     as an insert into the declared table would. ``extra`` columns are carried in front.
     """
     have = set(df.columns)
-    out = [F.col(c) for c in extra]
+    out = [F.col(c) for c in extra if c not in schema.names]
     for f in schema.fields:
         col = F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
         if not f.nullable:

@@ -38,10 +38,10 @@ def _header_code(line: Column) -> Column:
                   F.when(small, code).otherwise(0)).otherwise(0)
 
 
-def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with content of the CSV files below ``path``: ``file``, ``block`` (where its split begins),
-    ``at`` (its place among the lines of the split) and ``value``."""
-    return (spark.read.option("pathGlobFilter", "*.csv").text(path)
+def csv_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Every line with content of the CSV files in ``path``, with ``recursive`` in all folders below as well: ``file``,
+    ``block`` (where its split begins), ``at`` (its place among the lines of the split) and ``value``."""
+    return (spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", str(recursive).lower()).text(path)
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("at"), "value")
             .where(F.col("value").rlike(r"[^\x00-\x20]")))
@@ -100,9 +100,9 @@ def read_transactions_csv(spark: SparkSession, path: str, keys: Sequence[str] =
 
     The files are scanned once, into the shared scratch folder, since header and rows both come from their lines.
     Files of an unknown layout are left out; :func:`classify_csv_layout` lists them. ``keys`` are read from the files'
-    folders (``household_id=7/budget.csv``).
+    folders (``household_id=7/budget.csv``), at any depth below ``path``.
     """
-    return aligned(staged(csv_lines(spark, path), scratch_path(spark, "csv-lines")), keys)
+    return aligned(staged(csv_lines(spark, path, bool(keys)), scratch_path(spark, "csv-lines")), keys)
 
 
 def _date(c: str = "Date") -> Column:

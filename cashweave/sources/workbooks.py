@@ -124,10 +124,11 @@ def decode_workbooks(files: DataFrame) -> DataFrame:
         _decode, T.StructType([*PAYSLIP_GRIDS.fields, T.StructField("error", T.StringType())]))
 
 
-def read_payslip_grids(spark: SparkSession, path: str, whole_path: bool = False) -> DataFrame:
-    """The grids (or errors) of all workbooks below ``path``; the extension may be in any case. ``source_file`` is the
-    file's name, or with ``whole_path`` its path, from which :func:`..provenance.with_provenance` reads entity keys."""
+def read_payslip_grids(spark: SparkSession, path: str, whole_path: bool = False,
+                       recursive: bool = False) -> DataFrame:
+    """The grids (or errors) of all workbooks in ``path``, with ``recursive`` in all folders below as well; the extension
+    may be in any case. ``source_file`` is the file's name, or with ``whole_path`` its path, from which :func:`..provenance.with_provenance` reads entity keys."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]")
-             .load(path))
+             .option("recursiveFileLookup", str(recursive).lower()).load(path))
     name = F.col("path") if whole_path else base_name("path")
     return decode_workbooks(files.select(name.alias("source_file"), "content"))

@@ -497,6 +497,30 @@ BODIES: dict[str, str] = {
     "a13_payroll_bronze": f"""
         select {_FILE}, check_date - 14 pay_period_begin, check_date - 1 pay_period_end,
           s.* exclude (fields) from (select * from fx_sheet_totals union all select * from fx_sheet_lines) s""",
+    "a4_empty_source": f"select {RAW_COLUMNS} from fx_raw where account is null",
+    "a5_provenance": """
+        select cast(year(transaction_date) as varchar) budget_year, true is_named_and_stamped, count(*) "rows"
+        from fx_raw group by 1""",
+    "a14_replace_one_file": """
+        with kept as (select source_file, account,
+            case when source_file = 'budget_1996.csv' then -amount else amount end amount
+          from fx_raw where source_file <> 'budget_1996.csv' or transaction_type <> 'fund')
+        select source_file, count(*) "rows", count(account) with_account, cast(sum(amount) as double) amount,
+          cast(case when source_file = 'budget_1996.csv' then 2 else 1 end as bigint) loads, count(*) current_rows
+        from kept group by source_file""",
+    "a17_gold_refresh_keyed": " union all ".join(
+        f"""select '{gold}' gold, {key} employee_id, count(*) "rows",
+              cast(sum(cast({total} as decimal(20,2))) as double) total from ({body}) group by 2"""
+        for gold, key, total, body in (
+            ("monthly_cashflow", "entity_id", "total_amount", _cashflow_sql("entity_id,")),
+            ("spending_by_category", "entity_id", "total_spent", _category_sql("entity_id,")),
+            ("paycheck_breakdown", "employee_id", "amount", _breakdown_sql("employee_id,")),
+            ("paycheck_reconciliation", "employee_id", "variance", "select * from fx_recon_keyed"),
+            ("money_flow_edges", "employee_id", "amount", _edges_sql("employee_id")),
+            ("savings_rate", "employee_id", "pretax_savings", _savings_sql("employee_id,")))),
+    "a20_delete_from_stored": """
+        select snapshot_id, account_id, snapshot_date, cast(balance as double) balance
+        from fx_snapshots where entered_at is not null and account_id % 13 <> 0""",
     "a14_replace_by_file": """
         select source_file, count(*) "rows", count(account) with_account,
           cast(sum(amount) * case when source_file >= 'budget_1998.csv' then 2 else 1 end as double) amount
@@ -632,6 +656,24 @@ BODIES: dict[str, str] = {
         order by check_date desc, section, description, check_number limit 40""",
     "j5_latest_balances": """
         select * exclude (household_id, balance, sign), cast(balance as double) balance from fx_current""",
+    "j6_as_of_probes": """
+        with d as (select account_id, snapshot_date, balance, row_number() over (
+            partition by account_id, snapshot_date order by entered_at desc nulls last, snapshot_id desc) n from fx_snapshots),
+          p as (select event_id, user_id account_id, cast(ts as date) + cast(event_id % 11 - 5 as integer) as_of_date
+            from events),
+          s as (select event_id, max(snapshot_date) snapshot_date from p join d using (account_id)
+            where n = 1 and snapshot_date <= as_of_date group by event_id)
+        select p.account_id, p.as_of_date, cast(d.balance as double) balance, s.snapshot_date
+        from p left join s using (event_id)
+          left join d on d.account_id = p.account_id and d.snapshot_date = s.snapshot_date and d.n = 1""",
+    "j6_net_worth_as_of": """
+        with p as (select event_id, user_id % 10 household_id, cast(ts as date) + cast(event_id % 11 - 5 as integer) as_of_date
+            from events),
+          s as (select event_id, max(h.as_of_date) known from p join fx_history_keyed h using (household_id)
+            where h.as_of_date <= p.as_of_date group by event_id)
+        select p.household_id, p.as_of_date, net_worth, liquid, retirement, investments
+        from p left join s using (event_id)
+          left join fx_history_keyed h on h.household_id = p.household_id and h.as_of_date = s.known""",
     "j6_as_of_balances": """
         with d as (select s.account_id, account_type, snapshot_date, balance, row_number() over (
             partition by s.account_id, snapshot_date order by entered_at desc nulls last, snapshot_id desc) n

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -12,7 +13,8 @@ from cashweave.functions import (account_bucket, date_parts, direction, flow_cat
 from cashweave.operators import (flows, forecast as fc, health, networth as nw, payroll as pay,
                                  payslips as ps, reconciliation as rec, spending as sp,
                                  transactions as tx)
-from cashweave.schemas import BALANCE, CSV_COLUMNS_NEW, CSV_COLUMNS_OLD, TRANSACTIONS_RAW
+from cashweave.plans import refresh
+from cashweave.schemas import BALANCE, CSV_COLUMNS_NEW, CSV_COLUMNS_OLD, PAYROLL_LINES, TRANSACTIONS_RAW
 from cashweave.session import configure, scratch_path
 from cashweave.sources import registry, store, transactions_csv as tcsv, workbooks as wb
 
@@ -156,6 +158,28 @@ def _text_with_errors(q: Inputs) -> DataFrame:
             .withColumn("ingest_ts", F.current_timestamp()))
 
 
+@query("a4_empty_source")
+def _(q):
+    """Only files of the old layout, and a second folder without any file: typed all the same."""
+    path = q.scratch("budget-csv")
+    _csv_text(q.raw).where("Account IS NULL").select(*CSV_COLUMNS_OLD).write.option("header", "true").option(
+        "escape", '"').csv(f"{path}/old")
+    q.raw.where("false").select("note").write.text(f"{path}/none")
+    both = [tcsv.clean_transactions(tcsv.read_transactions_csv(q.spark, f"{path}/{d}")) for d in ("old", "none")]
+    return both[0].unionByName(both[1]).drop("source_file", "ingest_ts")
+
+
+@query("a5_provenance")
+def _(q):
+    """File names without folders, the time of the load, and a key that the files' folders name."""
+    path, started = q.scratch("budget-csv"), F.current_timestamp()
+    (_csv_text(q.raw).withColumn("budget_year", F.year(F.to_date("Date", "MM/dd/yyyy"))).write.partitionBy("budget_year")
+     .option("header", "true").option("escape", '"').csv(path))
+    raw = tcsv.read_transactions_csv(q.spark, path, ["budget_year"])
+    named = F.col("source_file").rlike(r"^part-[^/]*[.]csv$") & (F.col("ingest_ts") <= started)
+    return raw.groupBy("budget_year", named.alias("is_named_and_stamped")).agg(F.count("*").alias("rows"))
+
+
 @query("a6_clean_transactions")
 def _(q):
     return tcsv.clean_transactions(_text_with_errors(q)).drop("source_file", "ingest_ts")
@@ -230,6 +254,20 @@ def _(q):
     return _per_file(store.read_loads(q.spark, path, TRANSACTIONS_RAW))
 
 
+@query("a14_replace_one_file")
+def _(q):
+    """One file sent again in a load of its own; its rows of the first load are left out when the table is read, and
+    the loads say which of their files still count."""
+    path = q.scratch("transactions-raw")
+    batch = q.raw.withColumn("ingest_ts", F.current_timestamp())
+    store.replace_by_file(batch, path, TRANSACTIONS_RAW)
+    again = batch.where("source_file = 'budget_1996.csv' AND transaction_type <> 'fund'").withColumn("amount", -F.col("amount"))
+    store.replace_by_file(again, path, TRANSACTIONS_RAW)
+    loads = store.manifest(q.spark, path).groupBy("source_file").agg(
+        F.count("*").alias("loads"), F.max(F.when(F.col("is_current"), F.col("rows"))).alias("current_rows"))
+    return _per_file(store.read_loads(q.spark, path, TRANSACTIONS_RAW)).join(loads, "source_file")
+
+
 @query("a15_schema_evolution")
 def _(q):
     """The first load has no account column; files loaded later have it."""
@@ -256,6 +294,24 @@ def _registry(q: Inputs) -> DataFrame:
             .withColumn("account_id", F.col("account_id").cast("string")))
 
 
+@query("a17_gold_refresh_keyed")
+def _(q):
+    """All stored layers of many households, each an employee here: per gold table and household, rows and a total."""
+    tables = refresh.Tables(q.scratch("lake"), ("employee_id",))
+    store.replace_by_file(q.raw.withColumnRenamed("entity_id", "employee_id").withColumn("ingest_ts", F.current_timestamp()),
+                          tables.bronze("transactions_raw"), TRANSACTIONS_RAW, tables.keys)
+    store.replace_by_file(q.lines.withColumn("ingest_ts", F.current_timestamp()), tables.bronze("payroll_lines"),
+                          PAYROLL_LINES, tables.keys)
+    refresh.refresh_silver(q.spark, tables)
+    refresh.refresh_gold(q.spark, tables)
+    total = {"monthly_cashflow": "total_amount", "spending_by_category": "total_spent", "paycheck_breakdown": "amount",
+             "paycheck_reconciliation": "variance", "money_flow_edges": "amount", "savings_rate": "pretax_savings"}
+    return reduce(DataFrame.unionByName, (
+        frame.groupBy("employee_id").agg(F.count("*").alias("rows"), F.sum(total[name]).cast("decimal(20,2)").alias("total"))
+        .select(F.lit(name).alias("gold"), "employee_id", "rows", "total")
+        for name, frame in refresh.gold_tables(q.spark, tables).items()))
+
+
 @query("a18_insert_missing")
 def _(q):
     seeds = q.accounts.select(F.col("account_id").cast("string"), "name", "account_type",
@@ -285,6 +341,17 @@ def _(q):
             .select("snapshot_id", "account_id", "snapshot_date", "balance"))
 
 
+@query("a20_delete_from_stored")
+def _(q):
+    """Two deletions from a stored table, each a small file beside its rows."""
+    path, schema = q.scratch("snapshots"), q.snapshots.schema
+    store.append_rows(q.snapshots, path)
+    for gone in ("entered_at IS NULL", "account_id % 13 = 0"):
+        store.delete_rows(q.snapshots.where(gone).select("snapshot_id"), path, ["snapshot_id"])
+    return (store.read_live(q.spark, path, schema, ["snapshot_id"])
+            .select("snapshot_id", "account_id", "snapshot_date", "balance"))
+
+
 @query("a21_new_accounts")
 def _(q):
     requests = (derive.table(q.spark, q.sf_dir, "part")
@@ -726,6 +793,23 @@ def _(q):
     return nw.as_of_balances(q.snapshots, q.accounts)
 
 
+def _probes(q: Inputs) -> DataFrame:
+    """Accounts and days around their snapshots; some days before the first, some accounts asked twice for a day."""
+    near = F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 11 - 5).cast("int"))
+    return (derive.table(q.spark, q.sf_dir, "events")
+            .select((F.col("user_id") % 10).alias("household_id"), F.col("user_id").alias("account_id"), near.alias("as_of_date")))
+
+
+@query("j6_as_of_probes")
+def _(q):
+    return nw.balances_as_of(_probes(q).drop("household_id"), q.snapshots)
+
+
+@query("j6_net_worth_as_of")
+def _(q):
+    return nw.net_worth_as_of(_probes(q).drop("account_id"), q.accounts, q.snapshots, HOUSEHOLD)
+
+
 @query("e10_net_worth_summary")
 def _(q):
     return nw.net_worth_headline(q.accounts, q.snapshots)

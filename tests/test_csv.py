@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from cashweave.sources import transactions_csv as tc
-from .conftest import day, dec, rows
+from .conftest import day, dec, plan, rows
 
 OLD = "Group,Item,Type,Date,Merchant,Amount,Note\n"
 NEW = "Group,Item,Type,Date,Merchant,Account,Amount,Note\n"
@@ -65,6 +67,42 @@ def test_source_file_is_the_name_as_stored(spark, tmp_path, name):
     assert [r.source_file for r in raw.collect()] == [name]
 
 
+def test_one_plan_for_all_headers_and_no_second_scan(spark, folder):
+    """Headers and rows come from one scan of the text; however many layouts there are, it is one join."""
+    text = plan(tc.read_transactions_csv(spark, str(folder)))
+    assert "FileScan text" not in text and "FileScan csv" not in text and text.count("FileScan parquet") == 2
+    assert "Union" not in text and len(re.findall(r"Join", text)) == 1 and "Python" not in text
+    assert plan(tc.csv_lines(spark, str(folder))).count("FileScan text") == 1
+
+
+def test_headers_reach_the_later_splits_of_a_file(spark, tmp_path):
+    """A file of many splits: only the first holds the header, whose columns are in another order."""
+    lines = [f"n{i},{i}.00,Food,Out,expense,M{i},01/02/2024\n" for i in range(4000)]
+    (tmp_path / "long.csv").write_text("Note,Amount,Group,Item,Type,Merchant,Date\n" + "".join(lines))
+    (tmp_path / "other.csv").write_text(OLD + "Car,Fuel,expense,01/03/2024,Gas,-1.00,x\n")
+    (tmp_path / "gap.csv").write_text("\n  \n" + OLD + "\nCar,Fuel,expense,01/03/2024,Gas,-2.00,\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert tc.csv_lines(spark, str(tmp_path)).select("block").distinct().count() > 10
+        got = tc.clean_transactions(tc.read_transactions_csv(spark, str(tmp_path)))
+        rows = {(r.source_file, r.category_group, r.merchant, float(r.amount), r.note) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {("long.csv", "Food", f"M{i}", float(i), f"n{i}") for i in range(4000)} | {
+        ("other.csv", "Car", "Gas", -1.0, "x"), ("gap.csv", "Car", "Gas", -2.0, None)}
+
+
+def test_keys_come_from_the_folders(spark, tmp_path):
+    for who in ("h 1", "h+2"):
+        (tmp_path / f"who={who}").mkdir()
+        (tmp_path / f"who={who}" / "jan.csv").write_text(OLD + "Food,Out,expense,01/02/2024,J,-5.00,\n")
+    (tmp_path / "loose.csv").write_text(OLD + "Food,Out,expense,01/02/2024,J,-5.00,\n")
+    got = tc.read_transactions_csv(spark, str(tmp_path), ["who"])
+    assert got.columns[0] == "who"
+    assert {(r.who, r.source_file) for r in got.collect()} == {("h 1", "jan.csv"), ("h+2", "jan.csv"), (None, "loose.csv")}
+
+
 def test_rejects(spark, tmp_path):
     (tmp_path / "f.csv").write_text(OLD + "a,b,c,2024-01-02,m,1.00,\na,b,c,01/02/2024,m,oops,\n"
                                     "a,b,c,nope,m,oops,\na,b,c,,m,,\na,b,c,01/02/2024,m,1.00,\n")

@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from cashweave.operators import networth as nw
 from .conftest import day, dec, rows
@@ -122,3 +124,40 @@ def test_empty(spark):
     reg = accounts(spark, ("b", "cash", True), ("a", "cash", True))
     assert [r.name for r in nw.current_balances(snapshots(spark), reg).collect()] == ["B", "A"]
     assert [r.account_id for r in nw.active_accounts(reg).collect()] == ["b", "a"]
+
+
+def test_probes_against_every_snapshot(spark):
+    """Days before, on, between and after the snapshots, repeated probes, unknown accounts and probes without a day."""
+    rng = random.Random(5)
+    snaps = [(rng.choice("abc"), f"2024-01-{rng.randint(5, 25):02}", rng.choice([None, 5, 70.25]), rng.choice([None, 1, 9]))
+             for _ in range(60)]
+    accs = [("a", "checking", True), ("b", "liability", True), ("c", "hsa", False)]
+    asked = [(a, day(f"2024-01-{d:02}")) for a in "abcz" for d in range(1, 29, 2)] * 2 + [("a", None)]
+    table = snapshots(spark, *snaps)
+    probes = spark.createDataFrame(asked, "account_id string, as_of_date date")
+
+    def newest(account, date):
+        mine = [(s[1], -1 if s[3] is None else s[3], n, s[2]) for n, s in enumerate(snaps)
+                if s[0] == account and date and s[1] <= str(date)]
+        return max(mine, default=None)
+
+    got = nw.balances_as_of(probes, table)
+    assert got.count() == len(asked)
+    for r in got.collect():
+        want = newest(r.account_id, r.as_of_date)
+        assert (r.snapshot_date, r.balance) == ((day(want[0]), dec(want[3])) if want else (None, None))
+    history = {r.as_of_date: r for r in nw.net_worth_history(accounts(spark, *accs), table).collect()}
+    when = probes.select("as_of_date")
+    for r in nw.net_worth_as_of(when, accounts(spark, *accs), table).collect():
+        known = [d for d in history if r.as_of_date and d <= r.as_of_date]
+        want = history[max(known)] if known else None
+        assert (r.net_worth, r.liquid, r.retirement) == ((want.net_worth, want.liquid, want.retirement) if want else (None,) * 3)
+    assert nw.balances_as_of(probes, table.where("false")).where("balance IS NOT NULL").count() == 0
+
+
+def test_probes_of_entities_stay_apart(spark):
+    table = snapshots(spark, ("a", "2024-01-01", 5, 1)).withColumn("who", F.lit("x"))
+    probes = spark.createDataFrame([("x", "a", day("2024-02-01")), ("y", "a", day("2024-02-01"))],
+                                   "who string, account_id string, seen date")
+    got = nw.balances_as_of(probes, table, ["who"], day="seen")
+    assert sorted(rows(got.select("who", "balance"))) == [("x", dec(5)), ("y", None)]

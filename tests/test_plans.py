@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cashweave.operators import (flows, forecast as fc, networth as nw, payroll as pay, payslips as ps,
                                  reconciliation as rec, transactions as tx)
-from cashweave.session import scratch_path
+from cashweave.session import scratch_path, staged
+from cashweave.sources.numbering import numbered
 from fixtures import derive
 from .conftest import plan
 
@@ -59,7 +60,7 @@ def scans(text):
 
 
 def test_each_input_is_scanned_once(plans):
-    wanted = {"cashflow": 1, "totals": 1, "breakdown": 2, "savings": 2, "recon": 3, "edges": 3, "current": 2,
+    wanted = {"cashflow": 1, "totals": 1, "breakdown": 2, "savings": 2, "recon": 3, "current": 2,
               "history": 2, "payslips": 1}
     assert {n: scans(plans[n]) for n in wanted} == wanted
 
@@ -83,6 +84,62 @@ def test_category_shares_read_the_transactions_once(stored):
         assert "ReusedExchange" in final and scans(final) == 1 and "Window" not in final
 
 
+def test_money_flow_moves_the_items_once(stored):
+    """Level 2 adds up the rows of level 3 from the same exchange; keyed or not, the transactions are scanned once."""
+    for keys in ((), ("entity_id",)):
+        df = flows._spending_edges(stored["txns"], None, (2, 3), keys)
+        df.collect()
+        final = plan(df).split("Initial Plan")[0]
+        assert "ReusedExchange" in final and scans(final) == 1 and "Expand" not in final, keys
+    edges = flows.money_flow_edges(stored["totals"], stored["lines"], stored["txns"])
+    edges.collect()
+    assert scans(plan(edges).split("Initial Plan")[0]) == 3
+
+
+def test_waterfall_reads_the_transactions_once(stored):
+    df = flows.waterfall_steps(stored["totals"], stored["lines"], stored["txns"], include_spending=True)
+    below = plan(df).split("Window", 1)[1]
+    assert len(re.findall(r"FileScan parquet.*category_group", plan(df))) == 1
+    assert "rangepartitioning" not in below
+
+
+def test_probes_use_no_range_join(stored):
+    probes = stored["snapshots"].select("household_id", "account_id", F.col("snapshot_date").alias("as_of_date"))
+    for df in (nw.balances_as_of(probes, stored["snapshots"], ["household_id"]),
+               nw.net_worth_as_of(probes, stored["accounts"], stored["snapshots"], ["household_id"])):
+        assert not re.search(r"NestedLoop|Cartesian|Python", plan(df))
+
+
+def test_a_huge_group_is_numbered_by_many_tasks(spark):
+    """Two thirds of all rows in one group, half of them alike: whole numbers, and no range holds a third of them."""
+    n = 60_000
+    hot = F.col("id") % 3 < 2
+    df = spark.range(n).repartition(6).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 97)).alias("g"),
+        F.when(hot & (F.col("id") % 2 == 0), "same").otherwise(F.col("id").cast("string")).alias("name"))
+    kept = []
+
+    def keep(rows, name):
+        kept.append(staged(rows, scratch_path(spark, name)))
+        return kept[-1]
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 60,000 rows would fit in one task
+    try:
+        got = numbered(df, ["g"], ["name"], keep=keep).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ranges = [r["count"] for r in kept[0].where("g = 'hot'").groupBy("__range").count().collect()]
+    assert len(ranges) >= 4 and max(ranges) < n / 3
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append((r.at, r.name))
+    assert sum(map(len, groups.values())) == n
+    for rows in groups.values():
+        rows.sort()
+        assert [a for a, _ in rows] == list(range(1, len(rows) + 1))
+        assert [x for _, x in rows] == sorted(x for _, x in rows)
+
+
 def test_aggregates_combine_before_the_shuffle(plans):
     for name in ("cashflow", "categories", "totals", "edges", "recon", "current", "history"):
         assert "partial_" in plans[name], name

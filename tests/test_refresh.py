@@ -1,11 +1,15 @@
 """From files to gold tables and views."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from cashweave.operators import health, networth as nw, transactions
 from cashweave.plans import refresh
 from cashweave.schemas import (ACCOUNT_DEFINITIONS, BALANCE_SNAPSHOTS, LOAD_REPORT, PAYROLL_LINES, REJECTS,
                                TRANSACTIONS_RAW)
+from cashweave.session import shared_dir
 from cashweave.sources import registry, store
 from fixtures.derive import workbook_bytes
 from .conftest import day, dec, plan, rows
@@ -109,6 +113,80 @@ def test_registry_and_balance_jobs(spark, tmp_path):
     assert rows(spark.sql("select net_worth, liquid_cash from net_worth_summary")) == [(dec(120), dec(50))]
 
 
+def test_two_households_from_files_to_gold(spark, tmp_path):
+    """Equal file names, account names and employee numbers in both; each household's rows stay its own."""
+    t = refresh.Tables(str(tmp_path / "db"), ("household_id",))
+    for who, amount in (("h1", 790), ("h2", 400)):
+        for kind in ("csv", "xlsx"):
+            (tmp_path / kind / f"household_id={who}").mkdir(parents=True)
+        (tmp_path / "csv" / f"household_id={who}" / "jan.csv").write_text(
+            OLD + f"Income,Paycheck 1,income,01/06/2024,Co,{amount}.00,\nFood,Out,expense,01/02/2024,Ann,-{amount / 10},\n")
+        (tmp_path / "xlsx" / f"household_id={who}" / "p.xlsx").write_bytes(workbook_bytes(
+            GRID + [["Payment Information"], ["Bank", "Account Name", "Amount"], ["Bank A", "Checking", "790.50"]]))
+    for _ in range(2):
+        assert refresh.ingest_transactions(spark, str(tmp_path / "csv"), t) == {"rows": 4, "rejects": 0}
+        refresh.ingest_payslips(spark, str(tmp_path / "xlsx"), t)
+    asked = spark.createDataFrame([("h1", "Bank A", "checking"), ("h2", "Bank A", "checking")],
+                                  "household_id string, name string, account_type string")
+    refresh.add_accounts(spark, asked, t)
+    refresh.enter_balances(spark.createDataFrame(
+        [("h1", "acct_bank_a", day("2024-01-31"), dec(50)), ("h2", "acct_bank_a", day("2024-01-31"), dec(70))],
+        "household_id string, account_id string, snapshot_date date, balance decimal(14,2)"), t)
+    refresh.refresh_silver(spark, t)
+    refresh.refresh_gold(spark, t)
+    refresh.register_views(spark, t)
+    def view(sql):
+        return rows(spark.sql(f"select household_id, {sql} order by all"))
+    assert view("status, variance from paycheck_reconciliation") == [("h1", "MATCH", dec(0.5)), ("h2", "INVESTIGATE", dec(390.5))]
+    assert view("total_spent, pct_of_month from spending_by_category") == [("h1", dec(79), 100), ("h2", dec(40), 100)]
+    assert view("count(*) from money_flow_edges group by 1") == [("h1", 5), ("h2", 5)]
+    assert view("count(*) from paycheck_breakdown group by 1") == view("count(*) from paycheck_breakdown group by 1")
+    assert view("net_worth from net_worth_summary") == [("h1", dec(50)), ("h2", dec(70))]
+    assert view("source_file, count(*) from transactions group by all") == [("h1", "jan.csv", 2), ("h2", "jan.csv", 2)]
+    report = store.read_table(spark, t.bronze("load_report"))
+    assert report.where("household_id IS NULL").count() == 0 and report.count() == 8
+    (tmp_path / "csv" / "household_id=h1" / "jan.csv").write_text(OLD + "Food,Out,expense,01/02/2024,Ann,-1.00,\n")
+    refresh.ingest_transactions(spark, str(tmp_path / "csv" / "household_id=h1"), t)
+    raw = store.read_loads(spark, t.bronze("transactions_raw"), TRANSACTIONS_RAW, t.keys)
+    assert sorted(rows(raw.groupBy("household_id").agg(F.count("*")))) == [("h1", 1), ("h2", 2)]
+
+
+def test_a_broken_refresh_leaves_the_old_tables(spark, tmp_path, monkeypatch):
+    (tmp_path / "csv").mkdir()
+    (tmp_path / "csv" / "jan.csv").write_text(OLD + "Food,Out,expense,01/02/2024,Ann,-30.00,\n")
+    t = refresh.Tables(str(tmp_path / "db"))
+    refresh.ingest_transactions(spark, str(tmp_path / "csv"), t)
+    refresh.refresh_silver(spark, t)
+    refresh.refresh_gold(spark, t)
+    before = {n: sorted(rows(f), key=str) for n, f in refresh.gold_tables(spark, t).items()}
+    (tmp_path / "csv" / "feb.csv").write_text(OLD + "Car,Fuel,expense,02/02/2024,Gas,-10.00,\n")
+    refresh.ingest_transactions(spark, str(tmp_path / "csv"), t)
+    refresh.refresh_silver(spark, t)
+    whole, written = store.write_full, []
+
+    def third_fails(df, path, *args):
+        written.append(path)
+        if len(written) == 4:
+            raise OSError("disk gone")
+        return whole(df, path, *args)
+
+    monkeypatch.setattr(store, "write_full", third_fails)
+    with pytest.raises(OSError):
+        refresh.refresh_gold(spark, t)
+    assert {n: sorted(rows(f), key=str) for n, f in refresh.gold_tables(spark, t).items()} == before
+    monkeypatch.setattr(store, "write_full", whole)
+    refresh.refresh_gold(spark, t)
+    assert refresh.gold_tables(spark, t)["monthly_cashflow"].count() == 2
+
+
+def test_staging_folders_are_removed(spark, tmp_path):
+    folder = shared_dir(spark)
+    (tmp_path / "jan.csv").write_text(OLD + "Food,Out,expense,01/02/2024,Ann,-30.00,\n")
+    before = set(os.listdir(folder))
+    refresh.ingest_transactions(spark, str(tmp_path), refresh.Tables(str(tmp_path / "db")))
+    assert set(os.listdir(folder)) == before
+
+
 def test_empty_sources(spark, tmp_path):
     """No files at all: every job runs and every view can be read."""
     tables = refresh.Tables(f"{tmp_path}/lake")
