@@ -92,15 +92,15 @@ def _segments(data: bytes, owner: np.ndarray, offset: np.ndarray, ends: np.ndarr
             whole.view(np.int64))
 
 
-def _pack(tag, start, ahead, count, hot, settled) -> np.ndarray:
-    """A text's tag (15 bits), a start (32), how far ahead the anchor is (7), whether the anchor is hot, a number of
-    positions (7) and whether they are settled in one long."""
-    tag, start, ahead, count, hot, settled = (np.asarray(x, np.int64) for x in (tag, start, ahead, count, hot, settled))
-    return tag << 48 | start << 16 | ahead << 9 | hot << 8 | count << 1 | settled
+def _pack(start, ahead, count, hot, settled) -> np.ndarray:
+    """A start, how far ahead the anchor is (7 bits), whether the anchor is hot, a number of positions (7) and
+    whether they are settled in one long."""
+    start, ahead, count, hot, settled = (np.asarray(x, np.int64) for x in (start, ahead, count, hot, settled))
+    return start << 16 | ahead << 9 | hot << 8 | count << 1 | settled
 
 
 def _start(packed: np.ndarray) -> np.ndarray:
-    return packed >> 16 & 0xFFFFFFFF
+    return packed >> 16
 
 
 _HOT_BIT = np.int64(1 << 8)
@@ -114,22 +114,26 @@ class _Read:
     """What a task has read lately: the first place of every name, and how many names each anchor has."""
 
     def __init__(self):
-        self.first: dict[tuple[int, int], tuple[int, int]] = {}
+        self.first: dict[tuple[int, int], tuple[int, int, int]] = {}
         self.names: dict[int, int] = {}
 
-    def deal(self, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, tag, start: np.ndarray, ahead, count) -> pa.RecordBatch:
-        """Rows to be dealt by their first column. Names read before at an earlier place are settled; they only pass
-        through the next sort and are spread by place. Names of hot anchors are spread by anchor and name."""
+    def deal(self, anchor: np.ndarray, name: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, ahead,
+             count) -> pa.RecordBatch:
+        """Rows to be dealt by their first column. Names read before at an earlier place (a smaller id, or earlier in
+        the same row) are settled; they only pass through the next sort and are spread by place. Names of hot anchors are
+        spread by anchor and name."""
         settled, hot = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
         first, names = self.first, self.names
-        for i, (key, place) in enumerate(zip(zip(anchor.tolist(), name.tolist()), zip(doc.tolist(), start.tolist()))):
+        places = zip(doc.tolist(), row.tolist(), start.tolist())
+        for i, (key, place) in enumerate(zip(zip(anchor.tolist(), name.tolist()), places)):
             known = first.get(key)
             if known is None:
                 names[key[0]] = names.get(key[0], 0) + 1
-            elif known < place:
+            elif known[0] < place[0] or known[:2] == place[:2] and known[2] < place[2]:
                 settled[i] = True
                 continue
-            first[key] = place
+            if known is None or place < known:
+                first[key] = place
             hot[i] = names[key[0]] > HOT
         if len(first) > SEEN:
             first.clear()
@@ -137,11 +141,12 @@ class _Read:
         odd = np.int64(0x5851F42D4C957F2D)
         dealt = np.where(settled, doc * 31 + (start >> 16) * odd, np.where(hot, anchor ^ (name * odd), anchor))
         return pa.RecordBatch.from_arrays(  # what settled rows hold compresses well: their names are not asked for again
-            [pa.array(dealt), pa.array(np.where(settled, 0, name)), pa.array(doc), pa.array(_pack(tag, start, ahead, count, hot, settled))],
-            ["anchor", "name", "doc", "packed"])
+            [pa.array(dealt), pa.array(np.where(settled, 0, name)), pa.array(doc), pa.array(row),
+             pa.array(_pack(start, ahead, count, hot, settled))], COLUMNS)
 
 
-SEGMENT = "anchor long, name long, doc long, packed long"
+COLUMNS = ["anchor", "name", "doc", "row", "packed"]
+SEGMENT = ", ".join(f"{c} long" for c in COLUMNS)
 
 
 def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +158,14 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if got is None:
             return
         owner, start, ahead, count, anchor, name = got
-        doc = np.array([p[1] for p in parts], np.int64)[owner]
-        tag = np.array([p[2] for p in parts], np.int64)[owner]
-        yield read.deal(anchor, name, doc, tag, start, ahead, count)
+        doc, row = (np.array([p[k] for p in parts], np.int64)[owner] for k in (1, 2))
+        yield read.deal(anchor, name, doc, row, start, ahead, count)
 
     parts, held = [], 0
     for b in batches:
-        for doc, tag, data in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "data"))):
+        for doc, row, data in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "data"))):
             for cut in range(0, max(1, len(data) - LENGTH + 1), LONGEST):
-                parts.append((data[cut:cut + LONGEST + LENGTH - 1], doc, tag, cut))
+                parts.append((data[cut:cut + LONGEST + LENGTH - 1], doc, row, cut))
                 held += len(parts[-1][0])
                 if held >= BLOCK:
                     yield from found(parts)
@@ -171,51 +175,54 @@ def _find_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted segments to settled ones (kind 0) and those to be taken apart (kind 1)."""
-    last = None      # anchor, name, doc and start of the first segment of the name last seen
-    waiting = None   # doc and packed of the only segment name so far of the last anchor
+    """Sorted segments to settled ones (kind 0) and those to be taken apart (kind 1).
+
+    Rows that share an id are not earlier than one another: one that repeats the first segment of its name in another
+    row of the same id is taken apart like a first one.
+    """
+    last = None      # anchor, name and row of the segment last seen, and the id of the first one of its name
+    waiting = None   # doc, row and packed of the only segment name so far of the last anchor
     for b in batches:
-        anchor, name, doc, packed = (b.column(c).to_numpy() for c in ("anchor", "name", "doc", "packed"))
+        anchor, name, doc, row, packed = (b.column(c).to_numpy() for c in COLUMNS)
         if not len(anchor):
             continue
         passed = (packed & 1).astype(bool)
-        out = [(doc[passed], packed[passed] >> 1 << 1, np.zeros(int(passed.sum()), np.int8))]
-        anchor, name, doc, packed = (x[~passed] for x in (anchor, name, doc, packed))
+        out = [(doc[passed], row[passed], packed[passed] >> 1 << 1, np.zeros(int(passed.sum()), np.int8))]
+        anchor, name, doc, row, packed = (x[~passed] for x in (anchor, name, doc, row, packed))
         if len(anchor):
             hot = (packed & _HOT_BIT).astype(bool)
             packed = packed & ~_HOT_BIT
-            start = _start(packed)
             before = (last[0], last[1]) if last else (~anchor[0], 0)
             other = np.concatenate([[anchor[0] != before[0]], anchor[1:] != anchor[:-1]])
             fresh = other | np.concatenate([[name[0] != before[1]], name[1:] != name[:-1]])
             group = np.cumsum(fresh) - 1  # -1: the name goes on from the batch before
             heads = np.flatnonzero(fresh)
             head_doc = np.append(doc[heads], last[2] if last else 0)[group]
-            head_start = np.append(start[heads], last[3] if last else 0)[group]
-            later = ~fresh & ((doc > head_doc) | (start > head_start))
-            out.append((doc[later], packed[later], np.zeros(int(later.sum()), np.int8)))
+            later = ~fresh & ((doc > head_doc) | (row == np.append(last[3] if last else 0, row[:-1])))
+            out.append((doc[later], row[later], packed[later], np.zeros(int(later.sum()), np.int8)))
+            beside = ~fresh & ~later
+            out.append((doc[beside], row[beside], packed[beside], np.ones(int(beside.sum()), np.int8)))
             more = ~other[heads]  # a further name of its anchor
             apart = more | hot[heads]
             if len(heads) and more[0] and waiting is not None:
-                out.append((np.array(waiting[:1]), np.array(waiting[1:]), np.ones(1, np.int8)))
+                out.append((*(np.array([w]) for w in waiting), np.ones(1, np.int8)))
             if len(heads):
-                waiting = (doc[heads[-1]], packed[heads[-1]]) if not apart[-1] else None
+                waiting = (doc[heads[-1]], row[heads[-1]], packed[heads[-1]]) if not apart[-1] else None
             apart[:-1] |= more[1:]
             pick = heads[apart]
-            out.append((doc[pick], packed[pick], np.ones(len(pick), np.int8)))
-            last = (anchor[-1], name[-1], head_doc[-1], head_start[-1])
-        docs, packs, kinds = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packs), pa.array(kinds)], ["doc", "packed", "kind"])
+            out.append((doc[pick], row[pick], packed[pick], np.ones(len(pick), np.int8)))
+            last = (anchor[-1], name[-1], head_doc[-1], row[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc", "row", "packed", "kind"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], named: Callable) -> Iterator[pa.RecordBatch]:
     """``named`` applied to every text and its packed places: rows of two names, a start and a number of positions."""
     read = _Read()
     for b in batches:
-        for doc, tag, data, packed in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "data", "places"))):
+        for doc, row, data, packed in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "data", "places"))):
             rows = named(zstandard.decompress(data), np.array(packed, np.int64))
             a, n, start, count = np.array(rows, np.uint64).reshape(-1, 4).T.copy().view(np.int64)
-            yield read.deal(a, n, np.full(len(a), doc, np.int64), tag, start, 0, count)
+            yield read.deal(a, n, np.full(len(a), doc, np.int64), np.full(len(a), row, np.int64), start, 0, count)
 
 
 def _find_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,23 +257,21 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted single strings those that stand after the first of their name."""
     last = None
     for b in batches:
-        a, n, doc, packed = (b.column(c).to_numpy() for c in ("anchor", "name", "doc", "packed"))
+        a, n, doc, row, packed = (b.column(c).to_numpy() for c in COLUMNS)
         if not len(a):
             continue
         passed = (packed & 1).astype(bool)
-        out = [(doc[passed], packed[passed])]
-        a, n, doc, packed = (x[~passed] for x in (a, n, doc, packed))
+        out = [(doc[passed], row[passed], packed[passed])]
+        a, n, doc, row, packed = (x[~passed] for x in (a, n, doc, row, packed))
         if len(a):
-            start = _start(packed)
             before = last or (~a[0], 0, 0, 0)
             fresh = np.concatenate([[(a[0], n[0]) != before[:2]], (a[1:] != a[:-1]) | (n[1:] != n[:-1])])
             group, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-            head_doc, head_start = np.append(doc[heads], before[2])[group], np.append(start[heads], before[3])[group]
-            later = ~fresh & ((doc > head_doc) | (start > head_start))
-            out.append((doc[later], packed[later]))
-            last = (a[-1], n[-1], head_doc[-1], head_start[-1])
-        docs, packs = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(packs)], ["doc", "packed"])
+            head_doc = np.append(doc[heads], before[2])[group]
+            later = ~fresh & ((doc > head_doc) | (row == np.append(before[3], row[:-1])))
+            out.append((doc[later], row[later], packed[later]))
+            last = (a[-1], n[-1], head_doc[-1], row[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc", "row", "packed"])
 
 
 def _without(data: bytes, packed: list[int]) -> tuple[int, int, bytes]:
@@ -303,13 +308,26 @@ def _compressed(data: Column) -> Column:
     return run(data)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (``id``, ``data``) with ``doc``, the id (NULL before all), and ``row``: zero where no other row has the id, and
+    else a number of the row's own, written out once so that it holds for all that follows."""
+    keyed = rows.withColumn("doc", F.coalesce("id", F.lit(-(1 << 62))))
+    shared = stored(keyed.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "shared-ids")
+    alone = F.lit(0).cast("long").alias("row")
+    if shared.isEmpty():
+        return keyed.select("*", alone)
+    numbered = stored(keyed.join(shared, "doc", "left_semi").select("*", (F.monotonically_increasing_id() + 1).alias("row")),
+                      "numbered-rows")
+    return keyed.join(shared, "doc", "left_anti").select("*", alone).unionByName(numbered)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary; NULL if all is kept).
 
     Removed is each byte covered by a 100-byte string that starts earlier too, in a document of smaller id (NULL before
     all) or earlier in the same one; strings overlap freely and are judged on the input. NULL and empty texts have no
-    bytes; texts shorter than 100 bytes keep all. Rows that share an id are not earlier than one another. No rows
-    give no rows; other columns are not read.
+    bytes; texts shorter than 100 bytes keep all. Rows that share an id (NULL as well) are documents of their own, none
+    earlier than another. No rows give no rows; other columns are not read.
 
     Strings are compared by 128 bits of hash. Copies are settled before each shuffle where one task reads both,
     so a passage in a third of all documents is a few rows per task, and an anchor with very many names is spread by
@@ -317,32 +335,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), data.alias("data"))
-    keyed = rows.withColumn("doc", F.coalesce("id", F.lit(-(1 << 62)))).withColumn(
-        "tag", F.xxhash64("data").bitwiseAND(0x7FFF))
-    tag = F.shiftrightunsigned("packed", 48)
+    keyed, text = _told_apart(rows), ["doc", "row"]
 
     def sorted_by_name(found: DataFrame, run: Callable, kind: str) -> DataFrame:
-        return (found.repartition("anchor").sortWithinPartitions("anchor", "name", "doc", "packed")
-                .mapInArrow(run, f"doc long, packed long{kind}").withColumn("tag", tag))
+        return (found.repartition("anchor").sortWithinPartitions(*COLUMNS)
+                .mapInArrow(run, f"doc long, row long, packed long{kind}"))
 
     def places(found: DataFrame, *names: str) -> DataFrame:
-        return found.groupBy("doc", "tag").agg(*[
+        return found.groupBy(*text).agg(*[
             F.collect_list(F.when(F.col("kind") == i, F.col("packed"))).alias(n) for i, n in enumerate(names)])
 
-    found = sorted_by_name(keyed.select("doc", "tag", "data").mapInArrow(_find_segments, SEGMENT), _settle, ", kind byte")
-    moved = keyed.select("id", "doc", "tag", F.length("data").cast("long").alias("n_bytes"),
+    found = sorted_by_name(keyed.select(*text, "data").mapInArrow(_find_segments, SEGMENT), _settle, ", kind byte")
+    moved = keyed.select("id", *text, F.length("data").cast("long").alias("n_bytes"),
                          F.sha2("data", 256).alias("sha256"), _compressed(F.col("data")).alias("data"))
-    marked = stored(moved.join(places(found, "settled", "apart"), ["doc", "tag"], "left").withColumn(
+    marked = stored(moved.join(places(found, "settled", "apart"), text, "left").withColumn(
         "data", F.when(F.col("settled").isNotNull(), F.col("data"))), "repeat-texts")
     cut = marked.where("settled IS NOT NULL")
-    apart = cut.where(F.size("apart") > 0).select("doc", "tag", "data", F.col("apart").alias("places"))
+    apart = cut.where(F.size("apart") > 0).select(*text, "data", F.col("apart").alias("places"))
     parts = stored(places(sorted_by_name(apart.mapInArrow(_find_parts, SEGMENT), _settle, ", kind byte"),
                           "settled_parts", "single"), "repeat-parts")
-    single = parts.where(F.size("single") > 0).select("doc", "tag", F.col("single").alias("places"))
-    strings = cut.select("doc", "tag", "data").join(single, ["doc", "tag"]).mapInArrow(_find_strings, SEGMENT)
-    more = sorted_by_name(strings, _later, "").groupBy("doc", "tag").agg(F.collect_list("packed").alias("later"))
+    single = parts.where(F.size("single") > 0).select(*text, F.col("single").alias("places"))
+    strings = cut.select(*text, "data").join(single, text).mapInArrow(_find_strings, SEGMENT)
+    more = sorted_by_name(strings, _later, "").groupBy(*text).agg(F.collect_list("packed").alias("later"))
     none = F.array().cast("array<bigint>")
-    done = (cut.join(parts.select("doc", "tag", "settled_parts"), ["doc", "tag"], "left").join(more, ["doc", "tag"], "left")
+    done = (cut.join(parts.select(*text, "settled_parts"), text, "left").join(more, text, "left")
             .withColumn("r", _cut_out(F.col("data"), F.concat("settled", F.coalesce("settled_parts", none),
                                                               F.coalesce("later", none))))
             .select("id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept", F.sha2("r.kept", 256).alias("kept_sha256")))
