@@ -24,22 +24,27 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Speakers are the values of the role; system turns are context for all and no participant, so a dialogue with
     none but system turns has no rows. Others appear as ``user name=...``. A NULL or empty role is ``nobody``; a NULL text is
-    empty; marks within a text are broken up by a blank, so that no text can end its turn. NULL conversations are one dialogue, NULL turns come first,
+    empty; marks within a text are broken up by a blank, so that no text can end its turn, and in a speaker's name, as shown
+    in a header, line ends become blanks as well, so that no name can begin one. NULL conversations are one dialogue, NULL turns come first,
     and equal turns are ordered by speaker and text; repeated rows are turns of their own. Other columns are not read; an
     empty table gives an empty one.
 
     A dialogue is never one row or one task: places come from running totals over blocks of 256 turn numbers, and
     the join of turns with participants is one Spark splits if a dialogue holds very many.
     """
+    def harmless(c: Column) -> Column:
+        return F.regexp_replace(c, r"<\|(?=im_(start|end)\|>)", "<| ")
+
     speaker = F.coalesce(F.when(F.col(role_col) != "", F.col(role_col)), F.lit(nobody))
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<\|(?=im_(start|end)\|>)", "<| ")
+    text = harmless(F.coalesce(F.col(text_col), F.lit("")))
     said = turns.select(F.col(conv_col), F.col(turn_col), speaker.alias("speaker"), text.alias("__text"))
     sides = said.where(F.col("speaker") != system).select(
         F.col(conv_col).alias("__conv"), F.col("speaker").alias("perspective")).distinct()
     seen = said.join(sides, said[conv_col].eqNullSafe(sides["__conv"])).drop("__conv")
     own = F.col("speaker") == F.col("perspective")
     head = (F.when(own, _header("assistant")).when(F.col("speaker") == system, _header("system"))
-            .otherwise(_header(F.concat(F.lit("user name="), F.col("speaker")))))
+            .otherwise(_header(F.concat(F.lit("user name="), harmless(
+                F.regexp_replace("speaker", r"[\n\r\x0B\f\x85\u2028\u2029]", " "))))))
     shown = seen.withColumn("__head", F.length(head)).withColumn(
         "piece", F.concat(head, F.col("__text"), F.lit("<|im_end|>\n"))).drop("__text")
     place = F.coalesce(F.col(turn_col), F.lit(-(1 << 62)))
