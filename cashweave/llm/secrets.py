@@ -148,14 +148,23 @@ def spans_of(model: Model, text: Column) -> Column:
     return find(text)
 
 
+def cut(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """``text`` with spans, sorted by start, replaced by ``mark``; overlapping ones are one."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with its spans replaced by ``mark``; overlapping spans are one. NULL stays NULL."""
-    done = F.aggregate(
-        spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(
-                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-            .otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    """The text with its spans replaced by ``mark``; overlapping spans are one. NULL stays NULL. One pass over a text,
+    however many spans it has."""
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([t if not s else cut(t, [(x["start"], x["end"]) for x in s], mark)
+                         for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    found = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(F.size(spans) == 0, text).otherwise(run(text, found))
