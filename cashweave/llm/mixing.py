@@ -82,7 +82,8 @@ def schedule(spark, plan: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0,
         block_words: int = 256, seed: int = 11, id_col: str = "doc_id", source_col: str = "source",
         size_col: str = "size") -> tuple[DataFrame, DataFrame]:
-    """``sizes`` with ``source_size``, ``target`` and ``taken``, and the schedule of :func:`schedule`.
+    """``sizes`` with ``source_size``, ``target``, ``taken``, ``n_slots`` (the slots of the schedule that take words of the
+    row) and ``first_step`` (the step of the first of them; NULL if there is none), and the schedule of :func:`schedule`.
 
     A source's rows are shuffled by a seeded key and stand one after another as a stream of words, cut
     into blocks of about ``block_words`` words, equal to within one word. The schedule takes blocks in
@@ -91,12 +92,13 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
 
     Rows without words (NULL or empty texts) take part with ``taken`` 0. Equal rows and equal ids are
     rows of their own. NULL is a source like any other. An empty table gives an empty one. Further columns are
-    carried through, but for those called ``source_size``, ``target``, ``taken``, ``blocks`` or ``block``.
+    carried through, but for those called ``source_size``, ``target``, ``taken``, ``n_slots``, ``first_step``, ``blocks`` or
+    ``block``.
 
     No source is held by one task: streams are laid out in 4,096 buckets of the shuffle key, and blocks
     and slots are joined on (source, block).
     """
-    sizes = sizes.drop("source_size", "target", "taken", "blocks", "block")
+    sizes = sizes.drop("source_size", "target", "taken", "n_slots", "first_step", "blocks", "block")
     plan = targets(sizes, weights, most, source_col, size_col)
     quota = F.floor("target").cast("long")
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
@@ -125,13 +127,16 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
               .withColumn("__lo", F.greatest(F.col("__start"), begin) - begin)
               .withColumn("__hi", F.least(F.col("__start") + size, end) - begin))
     pieces = pieces.where("__hi > __lo").select(F.col(source_col).alias("source"), "__start", "block", "__lo", "__hi")
-    drawn = slots.groupBy("source", "block", "words").agg(F.count("*").alias("__times"))
-    got = (pieces.alias("p").join(drawn.alias("s"), F.expr("p.source <=> s.source AND p.block = s.block"))
-           .select("p.source", "p.__start", ((F.least("p.__hi", "s.words") - F.least("p.__lo", "s.words"))
-                                             * F.col("s.__times")).alias("__w"))
-           .groupBy("source", "__start").agg(F.sum("__w").cast("long").alias("__taken")))
-    got = got.select(F.col("source").alias("__source"), F.col("__start").alias("__from"), "__taken")
+    drawn = slots.groupBy("source", "block", "words").agg(F.count("*").alias("__times"), F.min("step").alias("__step"))
+    got = (pieces.alias("p").join(drawn.alias("s"), F.expr("p.source <=> s.source AND p.block = s.block AND p.__lo < s.words"))
+           .select("p.source", "p.__start", "s.__times", "s.__step", ((F.least("p.__hi", "s.words") - F.col("p.__lo"))
+                                                                      * F.col("s.__times")).alias("__w"))
+           .groupBy("source", "__start").agg(F.sum("__w").cast("long").alias("__taken"), F.sum("__times").alias("__slots"),
+                                             F.min("__step").alias("__first")))
+    got = got.select(F.col("source").alias("__source"), F.col("__start").alias("__from"), "__taken", "__slots", "__first")
     with_words = streams.join(got, (size > 0) & F.col(source_col).eqNullSafe(F.col("__source"))
                               & (F.col("__start") == F.col("__from")), "left")
-    out = with_words.withColumn("taken", F.coalesce("__taken", F.lit(0)).cast("long"))
-    return out.select(*sizes.columns, "source_size", "target", "taken"), slots
+    zero = F.lit(0).cast("long")
+    return with_words.select(
+        *[F.col(f"`{c}`") for c in sizes.columns], "source_size", "target", F.coalesce("__taken", zero).alias("taken"),
+        F.coalesce("__slots", zero).alias("n_slots"), F.col("__first").alias("first_step")), slots
