@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15          # hashed character trigrams
 CHARACTERS = 1 << 21       # of text labelled side by side, and the rest of its last text
-CACHED_WORDS = 1 << 19     # words whose scores a Python worker remembers from batch to batch
+CACHED_WORDS = 1 << 19     # rows of scores that a Python worker keeps from batch to batch
+LONGEST_CACHED = 64        # letters of a word that is remembered
 
 # Unicode ranges of scripts; letters elsewhere count as one further script.
 SCRIPTS = (
@@ -42,16 +43,19 @@ def trigrams(word: str) -> list[int]:
 
 
 class _Seen(dict):
-    """Row numbers by word; a new word gets the next row of the tables of scores and letters."""
+    """Row numbers by word; a new word gets the next row of the tables of scores and letters. Very long words get a row
+    each time and are not remembered, so that the memory has a bound in characters too."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.rows = model, 0
         self.scores = np.zeros((1024, len(model.languages)), np.float32)
         self.letters = np.zeros(1024, np.int64)
 
     def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
+        row, self.rows = self.rows, self.rows + 1
+        if len(word) <= LONGEST_CACHED:
+            self[word] = row
         if row == len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
@@ -84,7 +88,7 @@ class Model:
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores and numbers of letters, one row per word."""
         seen = _SEEN.get(self.key)
-        if seen is None or len(seen) > CACHED_WORDS:
+        if seen is None or seen.rows > CACHED_WORDS:
             _SEEN.clear()
             seen = _SEEN[self.key] = _Seen(self)
         rows = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
@@ -159,10 +163,25 @@ def train(docs: DataFrame, per_language: int = 512, penalty: float = 15.0, id_co
     return Model(languages, np.log(seen / seen.sum(axis=0, keepdims=True)), share >= 0.01, penalty)
 
 
-def identify(model: Model, text: Column, positions: bool = False) -> Column:
+def _places(text: str, words: list[str], first: list[int]) -> list[tuple[int, int]]:
+    """Where stretches of words stand in their text; ``first`` are the numbers of the words that begin one. Words are
+    maximal, so each is found where a search from the one before it stops."""
+    starts, ends, at = [], [], 0
+    if len(first) == 1:
+        return [(text.find(words[0]), text.rfind(words[-1]) + len(words[-1]))]
+    begins = set(first)
+    for i, w in enumerate(words):
+        start = text.find(w, at)
+        if i in begins:
+            starts.append(start)
+            ends.append(at)
+        at = start + len(w)
+    return list(zip(starts, [*ends[1:], at]))
+
+
+def identify(model: Model, text: Column) -> Column:
     """Per text: ``lang``, ``score`` (the share of its letters in words labelled so), ``switches`` (changes of language
-    along the text) and, with ``positions``, ``spans`` of one language in code points (from the first letter of a word
-    to the last of another); else ``spans`` is NULL.
+    along the text) and ``spans`` of one language in code points, from the first letter of a word to the last of another.
 
     The script of a word's first letter narrows the languages to those that use the script in training (all, if
     none does); each word is scored by its character trigrams, and the labelling with the best sum less a penalty per
@@ -200,14 +219,11 @@ def identify(model: Model, text: Column, positions: bool = False) -> Column:
         changes = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (label[1:] != label[:-1])], minlength=len(group))
         total, best = by.sum(axis=1), by.argmax(axis=1)
         for g, i in enumerate(group):
-            spans = None
-            if positions:
-                spans = []
-                for m, x in zip(WORD.finditer(texts[i]), label[starts[g]:starts[g] + lengths[g]]):
-                    if spans and spans[-1]["lang"] == names[x]:
-                        spans[-1]["end"] = m.end()
-                    else:
-                        spans.append({"lang": names[x], "start": m.start(), "end": m.end()})
+            own, spans = label[starts[g]:starts[g] + lengths[g]], []
+            if len(own):
+                begin = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist()] if changes[g] else [0]
+                spans = [{"lang": names[own[f]], "start": s, "end": e}
+                         for f, (s, e) in zip(begin, _places(texts[i], words[g], begin))]
             some = total[g] > 0
             out[i] = {"lang": names[best[g]] if some else "und", "score": by[g, best[g]] / total[g] if some else 0.0,
                       "switches": int(changes[g]), "spans": spans}

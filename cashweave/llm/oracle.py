@@ -100,14 +100,36 @@ t AS (
   SELECT source, source_size,
          least(cap, w * (SELECT max(level) FROM a)) AS target
   FROM a),
-p AS (
-  SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS quota,
+p AS (  -- rows as stretches of their source's stream
+  SELECT d.*, row_number() OVER () AS id,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS b
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0
-            ELSE quota // source_size * size + greatest(0, least(size, quota % source_size - b)) END AS taken, source
-FROM p
+  FROM d),
+q AS (
+  SELECT *, greatest(1, (source_size + 255) // 256) AS blocks, greatest(source_size, 1) AS one,
+         CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS whole,
+         CAST(floor(target) AS BIGINT) % greatest(source_size, 1) AS rest
+  FROM t),
+c AS (SELECT *, whole * blocks + (rest * blocks + source_size - 1) // one AS slots FROM q),
+l AS (SELECT *, CAST(sum(slots) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM c WHERE slots > 0),
+n AS (SELECT greatest(1, length(bin(CAST(sum(slots) AS BIGINT) - 1))) AS bits FROM l),
+v AS (  -- van der Corput points on a grid of that many bits
+  SELECT step, CAST(list_sum(list_transform(range(bits), lambda i: ((step >> i) & 1) << (bits - 1 - i))) AS BIGINT) AS point
+  FROM (SELECT bits, unnest(range(1 << bits)) AS step FROM n)),
+r AS (
+  SELECT step, source, source_size, blocks, whole, rest, row_number() OVER (PARTITION BY source ORDER BY step) - 1 AS r
+  FROM v JOIN l ON point >= hi - slots AND point < hi),
+x AS (
+  SELECT step, source, r % blocks * source_size // blocks AS begin,
+         CASE WHEN r // blocks < whole THEN (r % blocks + 1) * source_size // blocks
+              ELSE least((r % blocks + 1) * source_size // blocks, rest) END AS stop
+  FROM r),
+g AS (
+  SELECT id, CAST(sum(least(b + size, stop) - greatest(b, begin)) AS BIGINT) AS taken, count(*) AS n_slots,
+         min(step) AS first_step
+  FROM p JOIN x ON p.source IS NOT DISTINCT FROM x.source AND b < stop AND b + size > begin AND size > 0
+  GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, p.source, coalesce(n_slots, 0) AS n_slots, first_step
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN g USING (id)
 """
 
 
@@ -120,7 +142,9 @@ p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker
 h AS (
   SELECT t.*, perspective,
          '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
-                                ELSE 'user name=' || speaker END || chr(10) AS head
+                                ELSE 'user name=' || replace(replace(
+                                  regexp_replace(speaker, '[\n\r\x0B\f\x{85}\x{2028}\x{2029}]', ' ', 'g'),
+                                  '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') END || chr(10) AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.c),
 r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS piece FROM h),
 s AS (

@@ -78,7 +78,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(_table(spark, sf_dir, "documents").select(
         "doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    return mixing.mix(sizes)[0].select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(sizes)[0].select("doc_id", "size", "source_size", "target", "taken", "source", "n_slots", "first_step")
 
 
 def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,9 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = language.train(docs.where(~held_out))
     found = docs.select("doc_id", held_out.alias("held_out"), language.identify(model, F.col("text")).alias("found"))
-    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.switches")
+    listed = F.transform("found.spans", lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"]))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.switches",
+                        F.array_join(listed, ",").alias("spans"))
 
 
 def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
