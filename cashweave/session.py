@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, within the folder of the innermost :func:`scratch` block if there is one."""
+    return f"{(_scratch.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """All scratch paths made inside the block lie in one folder, which is removed at its end: what the block returns
+    must be written elsewhere by then."""
+    root = scratch_path(spark, "scratch")
+    token = _scratch.set(root)
+    try:
+        yield root
+    finally:
+        _scratch.reset(token)
+        remove(spark, root)
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:
@@ -71,9 +93,5 @@ def staged(df: DataFrame, path: str) -> DataFrame:
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A function that stages frames in a folder of their own, which is removed at the end."""
-    root = scratch_path(spark, "staging")
-    try:
+    with scratch(spark) as root:
         yield lambda df, name: staged(df, f"{root}/{name}")
-    finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cashweave.llm import stages
-from cashweave.session import scratch_path
+from cashweave.session import remove, scratch, scratch_path
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
@@ -24,10 +24,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again. What a stage writes on its way
+    is removed when it is done, and its rows when the next stage is; those of the last remain for the caller."""
+    docs, former = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if former is not None:
+            remove(spark, former)
+        docs, former = spark.read.parquet(path), path
     return docs
