@@ -1,7 +1,10 @@
 """The training-data operators against brute force and on awkward tables."""
 
 import hashlib
+import os
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from cashweave.llm import (bpe, chat, components, language, mixing, neighbours, oracle, quality, queries, repeats, secrets,
                            sharding, simhash, stages)
+from cashweave.session import shared_dir
 from fixtures.compare import differences, duck
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -350,6 +354,72 @@ def test_language(spark, sf_dir, awkward, nothing):
     assert {r[0] for r in awkward.select(language.identify(empty, F.col("text"))["lang"]).collect()} == {"und"}
 
 
+def brute_language(docs, held, per_language=512, penalty=15.0):
+    """The whole query in plain Python: sample, counts, scores per word and a Viterbi pass text by text."""
+    def key(i):
+        return int(np.array(xxhash.xxh64_intdigest(str(i).encode(), 42), np.uint64).view(np.int64))
+
+    cells = {}
+    for i, (lang, _) in docs.items():
+        if lang is not None and not held(i):
+            cell = lang, key(i) % per_language
+            if cell not in cells or key(i) < key(cells[cell]):
+                cells[cell] = i
+    langs = sorted({lang for lang, _ in cells})
+    counts = np.full((language.BUCKETS, len(langs)), 0.1)
+    used = np.zeros((len(language.SCRIPTS) + 1, len(langs)))
+    for (lang, _), i in cells.items():
+        for w in re.findall(r"[^\W\d_]+", docs[i][1] or ""):
+            padded = f" {w.lower()} "
+            for p in range(len(padded) - 2):
+                counts[zlib.crc32(padded[p:p + 3].encode()) % language.BUCKETS, langs.index(lang)] += 1
+            used[language.script_of(w), langs.index(lang)] += 1
+    logs, allowed = np.log(counts / counts.sum(axis=0)), used / np.maximum(used.sum(axis=0), 1) >= 0.01
+    out = {}
+    for i, (_, text) in docs.items():
+        found = list(re.finditer(r"[^\W\d_]+", text or ""))
+        total, back = np.zeros(len(langs)), []
+        for m in found:
+            w = f" {m[0].lower()} "
+            s = sum(logs[zlib.crc32(w[p:p + 3].encode()) % language.BUCKETS] for p in range(len(w) - 2))
+            fits = allowed[language.script_of(m[0])]
+            s = np.float32(s if not fits.any() else np.where(fits, s, s - 1e6))
+            stay = total >= total.max() - penalty
+            back.append(np.where(stay, np.arange(len(langs)), total.argmax()))
+            total = np.where(stay, total, total.max() - penalty) + s
+        label, now = [], int(total.argmax())
+        for step in reversed(back):
+            label.append(now)
+            now = int(step[now])
+        spans, letters = [], Counter()
+        for m, x in zip(found, reversed(label)):
+            letters[x] += len(m[0])
+            if spans and spans[-1][0] == langs[x]:
+                spans[-1][2] = m.end()
+            else:
+                spans.append([langs[x], m.start(), m.end()])
+        best = max(sorted(letters), key=letters.__getitem__, default=None)
+        out[i] = (held(i), langs[best] if letters else "und", letters[best] / sum(letters.values()) if letters else 0.0,
+                  ",".join(f"{a}:{b}:{c}" for a, b, c in spans))
+    return out
+
+
+def test_language_against_plain_python(spark, sf_dir):
+    docs = {r["doc_id"]: (r["lang"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = brute_language(docs, lambda i: zlib.crc32(str(i).encode()) % 3 == 1)
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"], r["spans"]) for r in queries.op9_language_spans(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i][:2] == want[i][:2] and got[i][2] == pytest.approx(want[i][2]) and got[i][3] == want[i][3], i
+
+
+def test_words_of_any_length_are_bounded_in_memory(spark, sf_dir):
+    model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    seen = language._Seen(model)
+    rows = [seen[w] for w in ("ab", "x" * 100_000, "ab", "x" * 100_000, "cd")]
+    assert rows == [0, 1, 0, 2, 3] and set(seen) == {"ab", "cd"} and (seen.scores[1] == seen.scores[2]).all()
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([
         (1, 0, "system", "be kind"), (1, 1, "ann", "hello <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None),
@@ -373,6 +443,114 @@ def test_chat(spark):
                     "<|im_start|>assistant\ny<|im_end|>\n")
 
 
+def brute_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+    twice, covered = Counter(windows), set()
+    for i, w in enumerate(windows):
+        if twice[w] > 1:
+            covered.update(range(i, i + 8))
+    n, n_lines = len(words), len(lines)
+    m = {"n_words": n, "n_symbols": len(re.findall("[#*$%&|<>]", text or "")), "word_chars": sum(map(len, words)),
+         "mean_word_length": sum(map(len, words)) / n if n else 0, "stop_word_ratio": sum(w.lower() in quality.STOP_WORDS for w in words) / n if n else 0,
+         "symbols_per_word": len(re.findall("[#*$%&|<>]", text or "")) / n if n else 0,
+         "n_stop_words": sum(w.lower() in quality.STOP_WORDS for w in words),
+         "dup_line_ratio": (n_lines - len(set(lines))) / n_lines if n_lines else 0, "repeat_word_ratio": len(covered) / n if n else 0}
+    failed = any(r.low is not None and m[r.measure] < r.low or r.high is not None and m[r.measure] > r.high for r in quality.RULES)
+    return not (n < 20 or 100 * len(covered) > 30 * n or failed)
+
+
+def brute_mix(rows, block=256):
+    """(id, source, size) to words taken, slot by slot along the van der Corput points."""
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    free, target, left = set(names), {}, float(sum(sizes.values()))
+    while free:  # targets above three times their source stop there, and the rest is shared anew
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3.0 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(3.0 * sizes[s] for s in over)
+        free -= over
+    slots = []
+    for s in names:
+        quota, size = int(target[s]), max(1, sizes[s])
+        blocks = max(1, -(-sizes[s] // block))
+        cuts = [b * sizes[s] // blocks for b in range(blocks + 1)]
+        turns = []
+        while quota > 0:
+            b = len(turns) % blocks
+            turns.append((cuts[b], min(cuts[b + 1], cuts[b] + quota)))
+            quota -= turns[-1][1] - turns[-1][0]
+        slots.append((s, turns))
+    laid = [s for s, turns in slots for _ in turns]
+    bits, queue, took = max(1, (len(laid) - 1).bit_length()), {s: iter(t) for s, t in slots}, {s: [] for s in names}
+    for step in range(1 << bits):
+        point = int(format(step, f"0{bits}b")[::-1], 2)
+        if point < len(laid):
+            took[laid[point]].append(next(queue[laid[point]]))
+    taken, at = [0] * len(rows), Counter()
+    key = [hashlib.md5(f"11:{'null' if i is None else i}".encode()).hexdigest() for i, _, _ in rows]
+    for r in sorted(range(len(rows)), key=lambda r: (key[r], rows[r][0] or 0, rows[r][2])):
+        _, s, n = rows[r]
+        lo, hi = at[s], at[s] + n
+        at[s] = hi
+        taken[r] = sum(max(0, min(hi, b) - max(lo, a)) for a, b in took[s])
+    return taken
+
+
+def brute_pipeline(spark, docs):
+    """The five stages one after another over a list of (doc_id, text, lang, source, n_chars)."""
+    docs = [d for d in docs if brute_quality(d[1])]
+    docs.sort(key=lambda d: d[0])
+    least = brute_components([brute_fingerprint(d[1]) for d in docs])
+    docs = [d for i, d in enumerate(docs) if least[i] == i]
+    model = secrets.train(secrets.labelled_strings(spark.createDataFrame(docs, DOCS)))
+    clean = []
+    for i, text, lang, source, n in docs:
+        spans = [(a, b) for _, a, b in secrets.all_spans(text, model.random)]
+        merged = []
+        for a, b in spans:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in reversed(merged):
+            text = text[:a] + "[SECRET]" + text[b:]
+        clean.append((i, text, source))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = []
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t)) for _, t, _ in clean]
+    for (i, text, _), size, taken in zip(clean, sizes, brute_mix([(i, s, n) for (i, _, s), n in zip(clean, sizes)])):
+        ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        parts = [text] * (taken // size) + ([text[:ends[taken % size - 1]]] if taken % size else [])
+        for part in parts:
+            ids = tokenizer.encode(part, add_special_tokens=False).ids
+            back = tokenizer.decode(ids, skip_special_tokens=False)
+            out.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                        hashlib.sha256(back.encode()).hexdigest()))
+    return out
+
+
+def test_whole_pipeline_against_plain_python(spark, sf_dir):
+    """Rows, repeats, token counts and digests of run() over the whole table, and no scratch folder left but the result."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", "text", "lang", "source", "n_chars").collect()]
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, sf_dir)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("stage-bpe_codec")
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect())
+    assert got == Counter(brute_pipeline(spark, docs)) and len(got) > 50
+
+
 def test_pipeline_stages(spark, sf_dir, awkward, nothing):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = stages.quality_rules(spark, docs, sf_dir)
