@@ -11,6 +11,11 @@ from ..schemas import MERCHANT_CITY_SUFFIXES, MERCHANT_STATE_SUFFIX
 from .dates import month_of
 
 
+# Masked card text after a merchant's name, and what a pay deposit is filed under.
+MASKED_CARD = r"\s+\*+\s*\w*$"
+INCOME_GROUP, PAYCHECK_ITEM = "Income", r"^Paycheck \d+$"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -51,12 +56,12 @@ def merchant_clean(merchant: Column | str = "merchant",
     if suffixes:
         cities = "|".join(re.escape(s) for s in suffixes)
         name = F.regexp_replace(name, rf"\s+(?:{cities})\s*(?:{re.escape(state)})?$", "")
-    return F.regexp_replace(name, r"\s+\*+\s*\w*$", "")
+    return F.regexp_replace(name, MASKED_CARD, "")
 
 
 def is_paycheck_deposit(group: Column | str = "category_group",
                         item: Column | str = "category_item") -> Column:
-    hit = (_col(group) == "Income") & _col(item).rlike(r"^Paycheck \d+$")
+    hit = (_col(group) == INCOME_GROUP) & _col(item).rlike(PAYCHECK_ITEM)
     return F.coalesce(hit, F.lit(False))
 
 

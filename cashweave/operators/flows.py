@@ -12,9 +12,11 @@ from ._keys import per_entity
 from .payroll import pay_totals
 from .transactions import is_expense
 
-# Node names and flow types of the edge list.
+# Node names and flow types of the edge list, labels of the steps.
 GROSS, TAKE_HOME = "Gross Pay", "Take-Home"
 PAYCHECK, SPENDING = "paycheck", "spending"
+SHORT_STEPS = (("Taxes", "taxes"), ("Pre-Tax Ded.", "pretax"), ("Post-Tax Ded.", "posttax"))
+REMAINING = "Remaining"
 DEDUCTION_SECTIONS = ("employee_taxes", "pre_tax_deductions", "post_tax_deductions")
 
 
@@ -120,8 +122,7 @@ def waterfall_steps(totals: DataFrame, payroll_lines: DataFrame, transactions: D
                                   F.lit("relative").alias("measure")))
     else:
         zero = F.lit(0)
-        for part, (label, c) in enumerate([("Taxes", "taxes"), ("Pre-Tax Ded.", "pretax"),
-                                           ("Post-Tax Ded.", "posttax")], start=1):
+        for part, (label, c) in enumerate(SHORT_STEPS, start=1):
             steps.append(step(pay, part, F.lit(label), -F.coalesce(c, zero), "relative"))
     if include_spending:
         # One scan: each group brings the line of the rest along, which is then kept once.
@@ -129,7 +130,7 @@ def waterfall_steps(totals: DataFrame, payroll_lines: DataFrame, transactions: D
                  .groupBy(*keys, F.col("category_group").alias("label")).agg((-F.sum("amount_abs")).alias("amount")))
         no_amount = F.lit(0).cast(spent.schema["amount"].dataType)
         lines = F.array(F.struct(F.lit(5).alias("part"), "label", "amount", F.lit("relative").alias("measure")),
-                        F.struct(F.lit(6).alias("part"), F.lit("Remaining").alias("label"), no_amount.alias("amount"),
+                        F.struct(F.lit(6).alias("part"), F.lit(REMAINING).alias("label"), no_amount.alias("amount"),
                                  F.lit("total").alias("measure")))
         steps.append(spent.select(*keys, F.inline(lines)).distinct())
 
