@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .components import stored
-from .ranks import running, shuffle_key
+from .ranks import RANGE, TIE, ranges, running, shuffle_key
 
-HEX_DIGITS = 3
 GRID = 1024        # cells in which schedule points meet the sources' intervals
 CHUNK = 1 << 14    # schedule steps whose slots one window ranks
 
@@ -95,7 +94,7 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
     carried through, but for those called ``source_size``, ``target``, ``taken``, ``n_slots``, ``first_step``, ``blocks`` or
     ``block``.
 
-    No source is held by one task: streams are laid out in 4,096 buckets of the shuffle key, and blocks
+    No source, and no id, is held by one task: streams are laid out in sampled ranges of (source, shuffle key), and blocks
     and slots are joined on (source, block).
     """
     sizes = sizes.drop("source_size", "target", "taken", "n_slots", "first_step", "blocks", "block")
@@ -113,7 +112,8 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: floa
 
     ident, size = F.col(id_col), F.col(size_col)
     keyed = sizes.withColumn("__key", shuffle_key(ident, seed))
-    streams = running(keyed, [source_col], F.substring("__key", 1, HEX_DIGITS), [F.col("__key"), ident, size],
+    dealt = ranges(keyed, [F.xxhash64(source_col), F.col("__key"), ident, size])
+    streams = running(dealt, [source_col], F.col(RANGE), [F.col("__key"), ident, size, F.col(TIE)],
                       size, before="__start", total="__sum")
     known = plan.select(F.col("source").alias("__source"), "source_size", "target", "blocks")
     streams = streams.join(known, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source", "__sum")

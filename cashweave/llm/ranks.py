@@ -2,7 +2,8 @@
 
 A window over a whole group would sort it in one task. Here each group is cut into buckets along
 its order; a small table of totals per (group, bucket) gives where every bucket begins, and the
-window only runs inside a bucket.
+window only runs inside a bucket. Where the order has no even buckets of its own, because many rows may
+share a key, :func:`ranges` makes them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .components import stored
+
+RANGE, TIE = "__range", "__tie"
 _B, _BEFORE, _ALL, _HAS = "__bucket", "__before", "__all", "__has"
 
 
@@ -19,6 +23,18 @@ def shuffle_key(id_col: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
 
 
+def ranges(df: DataFrame, along: Sequence[Column]) -> DataFrame:
+    """``df`` with ``__range`` and ``__tie``: the rows cut along an order into ranges that a sample says are even.
+
+    ``__tie`` tells rows apart that are equal in all of ``along``, so that those too are spread over ranges, however
+    many there are. A smaller range never holds a later row of (``along``, ``__tie``). There are as many ranges as shuffle
+    partitions. ``along`` should be narrow, as its sample passes through the driver. The ranges are written once, because
+    all that is worked out from them must agree on them. An empty table gives an empty table.
+    """
+    rows = df.withColumn(TIE, F.monotonically_increasing_id()).repartitionByRange(*along, TIE)
+    return stored(rows.withColumn(RANGE, F.spark_partition_id()), "ranges")
+
+
 def running(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column],
             value: Column | None = None, before: str = "before", total: str = "total") -> DataFrame:
     """``df`` with ``before``, the sum of ``value`` over the rows of its group that come earlier, and

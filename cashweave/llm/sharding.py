@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ranks import running, shuffle_key
+from .ranks import RANGE, TIE, ranges, running, shuffle_key
 
-HEX_DIGITS = 3  # 4,096 buckets for each source and for the fractional ranks
+INTERVALS, ROWS = 4096, 1 << 16  # the intervals of the fractional ranks, or more, so that one holds about so many rows
 
 
 def interleaved_shards(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id",
@@ -20,17 +20,18 @@ def interleaved_shards(docs: DataFrame, shards: int, seed: int = 7, id_col: str
     A source without rows in common with others, a NULL source and NULL ids are handled like any
     other; equal ids are ordered by ``tie`` and, if those agree as well, are interchangeable. A text may
     be NULL, empty or long: it is not read. An empty table gives an empty table. Input columns keep
-    their names; ``shard`` and ``slot`` are reserved. Only the columns passed in are moved, twice, so
+    their names; ``shard`` and ``slot`` are reserved. Only the columns passed in are moved, three times, so
     pass narrow rows and join wide ones to the result.
 
-    No task holds a source: ranks are worked out in 4,096 buckets of the shuffle key, and the sort by
-    fraction, which spreads every source evenly, in 4,096 equal intervals.
+    No task holds a source, or all rows of an id: ranks are worked out in sampled ranges of (source, shuffle key), and the
+    sort by fraction, which spreads every source evenly, in equal intervals whose number grows with the rows.
     """
-    buckets = 16 ** HEX_DIGITS
     source, ident = F.col(source_col), F.col(id_col)
     keyed = docs.withColumn("__key", shuffle_key(ident, seed))
     last = [F.col(c) for c in tie]
-    ranked = running(keyed, [source_col], F.substring("__key", 1, HEX_DIGITS), [F.col("__key"), ident, *last],
+    dealt = ranges(keyed, [F.xxhash64(source), F.col("__key"), ident, *last])
+    buckets = max(INTERVALS, dealt.count() // ROWS)
+    ranked = running(dealt, [source_col], F.col(RANGE), [F.col("__key"), ident, *last, F.col(TIE)],
                      before="__rank", total="__of")
     placed = ranked.withColumn("__at", (2 * F.col("__rank") + 1) / (2 * F.col("__of")))
     lined = running(placed, [], F.floor(F.col("__at") * buckets),
@@ -39,4 +40,4 @@ def interleaved_shards(docs: DataFrame, shards: int, seed: int = 7, id_col: str
     first = F.expr(f"(shard * __all + {shards - 1}) div {shards}")
     return (lined.withColumn("shard", shard.cast("int"))
             .withColumn("slot", F.col("__g") - first)
-            .drop("__key", "__rank", "__of", "__at", "__g", "__all"))
+            .drop(RANGE, TIE, "__key", "__rank", "__of", "__at", "__g", "__all"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cashweave.llm import (bpe, chat, components, language, mixing, neighbours, oracle, quality, queries, repeats, secrets,
+from cashweave.llm import (bpe, chat, components, language, mixing, neighbours, oracle, quality, queries, ranks, repeats, secrets,
                            sharding, simhash, stages)
 from cashweave.session import shared_dir
 from fixtures.compare import differences, duck
@@ -55,6 +55,29 @@ def test_shards(spark, awkward, nothing):
     assert sharding.interleaved_shards(nothing, 3).count() == 0
 
 
+@pytest.fixture
+def split(spark):
+    """Shuffle partitions as they are, although these tables are small enough for one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_one_id_is_dealt_to_many_ranges(spark, split):
+    """A third of all rows with a NULL id, all alike: no range holds them, and every rank, shard and block comes out whole."""
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"),
+                                    F.lit(2).cast("long").alias("size"))
+    dealt = ranks.ranges(rows, [F.xxhash64("source"), ranks.shuffle_key(F.col("doc_id"), 7)])
+    counts = [r["count"] for r in dealt.where("doc_id IS NULL").groupBy(ranks.RANGE).count().collect()]
+    assert len(counts) >= 3 and sum(counts) == 3000 and max(counts) < 2000
+    at = ranks.running(dealt, ["source"], F.col(ranks.RANGE), [ranks.shuffle_key(F.col("doc_id"), 7), F.col(ranks.TIE)])
+    assert sorted(r["before"] for r in at.collect()) == list(range(9000))
+    got = sharding.interleaved_shards(rows, 4).groupBy("shard").agg(F.count("*"), F.count_distinct("slot"), F.max("slot"))
+    assert sorted(map(tuple, got.collect())) == [(s, 2250, 2250, 2249) for s in range(4)]
+    taken = mixing.mix(rows)[0].agg(F.count("*"), F.sum("taken"), F.max("taken")).first()
+    assert tuple(taken) == (9000, 18000, 2)
+
+
 def test_quality(awkward, nothing):
     got = quality.judge(awkward).collect()
     assert [(r["n_words"], r["base_failed"]) for r in got[:3]] == [(0, True)] * 3
