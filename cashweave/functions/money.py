@@ -31,6 +31,14 @@ def strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITE_SPACE))
 
 
+def strip_ends(c: Column) -> Column:
+    """As :func:`strip`, for text that rarely has white space around it: only where an end is no visible ASCII character is
+    the list of white space searched, which costs several times as much as looking at both ends."""
+    first, last = F.ascii(c), F.ascii(F.right(c, F.lit(1)))
+    visible = (first > 32) & (first < 127) & (last > 32) & (last < 127)
+    return F.when(visible, c).otherwise(strip(c))
+
+
 def parse_money(c: Column | str, dtype: T.DecimalType = MONEY) -> Column:
     """``$1,234.56`` and ``(12.00)`` to a decimal; blank or unreadable text to NULL."""
     bare = F.translate(strip(c), "$,", "")

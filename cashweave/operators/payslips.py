@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import parse_money, strip
+from ..functions import parse_money, strip_ends
 from ..schemas import (BALANCE, HOURS, MONEY, PAYLOAD, PAYROLL_LINES, PAYSLIP_INFORMATION, RATE,
                        SECTION_OF_MARKER, conform)
 
@@ -39,7 +39,7 @@ def _blocks(grids: DataFrame) -> DataFrame:
     block is one of them, so that it closes the section before it.
     """
     tidy = F.transform("grid", lambda row: F.transform(
-        row, lambda c: strip(F.coalesce(c, F.lit("")))))
+        row, lambda c: strip_ends(F.coalesce(c, F.lit("")))))
     marks = F.filter(
         F.transform("grid", lambda row, i: F.struct(F.get(row, F.lit(0)).alias("label"), i.alias("at"))),
         lambda m: m["label"].isin(*SECTION_OF_MARKER, PAYSLIP_INFORMATION))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cashweave import functions as fn
+from cashweave.functions import money
 from cashweave.schemas import MONEY
 from .conftest import day, dec, rows
 
@@ -108,3 +109,12 @@ def test_in_months(spark):
     assert df.where(fn.in_months("x", ["2024-01"])).count() == 2
     assert df.where(fn.in_months("x", None)).count() == 4
     assert df.where(fn.in_months("x", [])).count() == 0
+
+
+def test_strip_looks_at_both_ends(spark):
+    """The short way gives what the long one gives, for every kind of white space at either end and none."""
+    ends = ["", *money.WHITE_SPACE, "\x7f", "\u200b", "é", "!", "~", "\x00"]
+    texts = [a + body + b for a in ends for b in ends for body in ("", "x", "x y", "é")] + [None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", money.strip("t").alias("long"), money.strip_ends(F.col("t")).alias("short")).collect()
+    assert all(r["long"] == r["short"] == (r["t"] and r["t"].strip(money.WHITE_SPACE)) for r in got)
