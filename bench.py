@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 The inputs that the queries derive from the given tables (transactions, payslip lines and grids, accounts, snapshots) are
-written once before, and their time is reported apart as ``inputs``, so that the queries time the operators. Each
+written once before, in as many even files as there are cores, and their time is reported apart as ``inputs``, so that the
+queries time the operators (as the derivation leaves them, the grids lie in two files, which two tasks read). Each
 query runs once to warm up and then $BENCH_RUNS times (default 3); the median counts. Every row of the result is
 produced, and none is kept (the noop sink). With BENCH_INPUTS=derived the inputs are derived within every query, as in the
 first two rounds.
@@ -44,7 +45,7 @@ def store_inputs(spark) -> float:
     start = time.perf_counter()
     for name in ("transactions_raw", "payroll_lines", "payslip_grids", "accounts", "snapshots"):
         path = scratch_path(spark, f"bench-{name}")
-        getattr(derive, name)(spark, SF_DIR).write.parquet(path)
+        getattr(derive, name)(spark, SF_DIR).repartition(int(CPUS)).write.parquet(path)
         setattr(derive, name, lambda session, sf_dir, path=path: session.read.parquet(path))
     return time.perf_counter() - start
 
