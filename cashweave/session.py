@@ -25,6 +25,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the time of the block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def local_session(cores: str | int = "*", app: str = "cashweave", **conf) -> SparkSession:
     """A session for tests and benches on one machine; no web page, no fixed ports."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)

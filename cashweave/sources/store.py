@@ -8,6 +8,7 @@ compaction is a job of its own.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
@@ -15,11 +16,15 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..schemas import conform, keyed
+from ..session import setting
 
 LOAD = "load_id"
 MANIFEST = "_files"         # beside the loads: which files each of them holds
 TOMBSTONES = "_deleted"     # inside a version: the keys deleted from it
 PUBLISHED = "_published"    # below a layer: the folder of every table of one refresh
+EVEN = 4                    # a bucket may hold this many times the mean of all buckets,
+SMALL = 1_000_000           # or so many rows whatever the mean
+POINTER = "name string, folder string, buckets int"
 
 
 # --- folders ---------------------------------------------------------------------------------
@@ -52,6 +57,11 @@ def latest_version(spark: SparkSession, path: str) -> str | None:
     return None
 
 
+def _next_version(spark: SparkSession, path: str) -> str:
+    done = _subfolders(spark, path, "v")
+    return f"{path}/v{done[-1] + 1 if done else 0}"
+
+
 # --- writers ---------------------------------------------------------------------------------
 
 
@@ -61,8 +71,7 @@ def write_full(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> st
     Rows are not sorted globally. With partitions, the rebalance hint lets Spark split large and
     merge small ones, so a partition holding a third of the rows is written by many tasks.
     """
-    done = _subfolders(df.sparkSession, path, "v")
-    target = f"{path}/v{done[-1] + 1 if done else 0}"
+    target = _next_version(df.sparkSession, path)
     out = df.hint("rebalance", *partition_by) if partition_by else df
     out.write.mode("errorifexists").partitionBy(*partition_by).parquet(target)
     return target
@@ -87,6 +96,68 @@ def append_rows(rows: DataFrame, path: str) -> None:
         latest_version(spark, path) or f"{path}/v{begun[-1] + 1 if begun else 0}")
 
 
+# --- tables bucketed by entity ---------------------------------------------------------------
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    """The bucket that Spark's writer puts a row into."""
+    return F.pmod(F.hash(*keys), F.lit(buckets))
+
+
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int, partition_by: Sequence[str] = (),
+                   deal: bool = True) -> str:
+    """:func:`write_full` with all rows of an entity (``keys``) in one of ``buckets`` buckets.
+
+    ``deal`` first brings the rows of a partition and bucket together, so that they become few files; those of an entity that
+    holds a third of all rows are still written by many tasks, as several files of one bucket. Rows that are already
+    grouped by entity need no dealing. The files are ordinary Parquet: :func:`write_full`'s readers read them as well.
+    """
+    spark = df.sparkSession
+    target, table = _next_version(spark, path), f"bucketed_{uuid.uuid4().hex}"
+    out = df
+    if deal:
+        out = df.withColumn("__bucket", _bucket(keys, buckets)).hint("rebalance", *partition_by, "__bucket").drop("__bucket")
+    writer = out.write.format("parquet").mode("errorifexists").bucketBy(buckets, *keys).option("path", target)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalog's entry only: the folder is not the catalog's
+    return target
+
+
+def is_even(rows: DataFrame, keys: Sequence[str], buckets: int) -> bool:
+    """Whether no bucket is so large that the one task that would read it holds back a join: at most ``EVEN`` times the
+    mean, or ``SMALL`` rows. Reads the keys only, and brings one row to the driver."""
+    per_bucket = rows.groupBy(_bucket(keys, buckets).alias("b")).agg(F.count("*").alias("n"))
+    r = per_bucket.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
+    return r["most"] <= max(EVEN * r["all"] / buckets, SMALL)
+
+
+def read_bucketed(spark: SparkSession, folder: str, schema: T.StructType, keys: Sequence[str], buckets: int,
+                  partition_by: Sequence[str] = ()) -> DataFrame:
+    """A folder written by :func:`write_bucketed`, so that grouping, windows and joins by entity need no exchange.
+
+    Spark learns of buckets only through a table of its catalog; one is entered and, as the frame needs it no more once it is
+    resolved, taken out again. Nothing but the files has to be shared between sessions. Keys carry a mark in their
+    metadata: it keeps them columns of the frame's own, without the table's name, as a union keeps its inputs' buckets
+    only where the columns agree in all but their number.
+    """
+    def quoted(names: Sequence[str]) -> str:
+        return ", ".join(f"`{n}`" for n in names)
+
+    table = f"bucketed_{uuid.uuid4().hex}"
+    ordered = sorted(schema, key=lambda f: f.name in partition_by)  # folders come last, as without buckets
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered)
+    parts = f"PARTITIONED BY ({quoted(partition_by)})" if partition_by else ""
+    place = folder.replace("\\", "\\\\").replace("'", "\\'")
+    # Partitions are found in the folder, not in the catalog, which forgets the table at once.
+    with setting(spark, "spark.sql.hive.manageFilesourcePartitions", "false"):
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet {parts} CLUSTERED BY ({quoted(keys)}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{place}'")
+        rows = spark.table(table).select(*(
+            F.col(f.name).alias(f.name, metadata={"entity_key": True}) if f.name in keys else F.col(f.name) for f in ordered))
+        spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 # --- replacement by source file --------------------------------------------------------------
 
 
@@ -175,23 +246,31 @@ def vacuum_loads(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> li
 # --- one refresh of several tables -----------------------------------------------------------
 
 
-def publish(spark: SparkSession, root: str, folders: Mapping[str, str]) -> None:
-    """Make one folder per table current, all at once: readers find them in one small file, complete or not there."""
-    done = _subfolders(spark, f"{root}/{PUBLISHED}", "v")
-    rows = spark.createDataFrame([(n, f.removeprefix(f"{root}/")) for n, f in folders.items()], "name string, folder string")
-    rows.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{PUBLISHED}/v{done[-1] + 1 if done else 0}")
+def publish(spark: SparkSession, root: str, folders: Mapping[str, str], buckets: Mapping[str, int] | None = None) -> None:
+    """Make one folder per table current, all at once: readers find them in one small file, complete or not there.
+    ``buckets`` names the number of buckets of the tables to be read by bucket."""
+    rows = spark.createDataFrame([(n, f.removeprefix(f"{root}/"), (buckets or {}).get(n)) for n, f in folders.items()], POINTER)
+    rows.coalesce(1).write.mode("errorifexists").parquet(_next_version(spark, f"{root}/{PUBLISHED}"))
 
 
-def published(spark: SparkSession, root: str) -> dict[str, str]:
-    """The folders of the newest published refresh, one per table; none if there is none."""
+def published(spark: SparkSession, root: str) -> dict[str, tuple[str, int | None]]:
+    """Folder and number of buckets (if any) per table of the newest published refresh; none if there is none."""
     pointer = latest_version(spark, f"{root}/{PUBLISHED}")
-    return {} if pointer is None else {r["name"]: f"{root}/{r['folder']}" for r in spark.read.parquet(pointer).collect()}
+    if pointer is None:
+        return {}
+    return {r["name"]: (f"{root}/{r['folder']}", r["buckets"]) for r in spark.read.schema(POINTER).parquet(pointer).collect()}
 
 
-def read_published(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
-    """A table as the newest published refresh has it; empty before the first."""
-    folder = published(spark, root).get(name)
-    return spark.createDataFrame([], schema) if folder is None else spark.read.schema(schema).parquet(folder)
+def read_published(spark: SparkSession, root: str, name: str, schema: T.StructType, keys: Sequence[str] = (),
+                   partition_by: Sequence[str] = ()) -> DataFrame:
+    """A table as the newest published refresh has it; empty before the first. One published with buckets is read by them,
+    given the ``keys`` and ``partition_by`` it was written with."""
+    folder, buckets = published(spark, root).get(name, (None, None))
+    if folder is None:
+        return spark.createDataFrame([], schema)
+    if buckets and keys:
+        return read_bucketed(spark, folder, schema, keys, buckets, partition_by)
+    return spark.read.schema(schema).parquet(folder)
 
 
 # --- deletion by key -------------------------------------------------------------------------

@@ -294,10 +294,9 @@ def _registry(q: Inputs) -> DataFrame:
             .withColumn("account_id", F.col("account_id").cast("string")))
 
 
-@query("a17_gold_refresh_keyed")
-def _(q):
+def _refreshed(q: Inputs, buckets: int) -> DataFrame:
     """All stored layers of many households, each an employee here: per gold table and household, rows and a total."""
-    tables = refresh.Tables(q.scratch("lake"), ("employee_id",))
+    tables = refresh.Tables(q.scratch("lake"), ("employee_id",), buckets)
     store.replace_by_file(q.raw.withColumnRenamed("entity_id", "employee_id").withColumn("ingest_ts", F.current_timestamp()),
                           tables.bronze("transactions_raw"), TRANSACTIONS_RAW, tables.keys)
     store.replace_by_file(q.lines.withColumn("ingest_ts", F.current_timestamp()), tables.bronze("payroll_lines"),
@@ -312,6 +311,17 @@ def _(q):
         for name, frame in refresh.gold_tables(q.spark, tables).items()))
 
 
+@query("a17_gold_refresh_keyed")
+def _(q):
+    return _refreshed(q, 0)
+
+
+@query("a17_gold_refresh_bucketed")
+def _(q):
+    """Silver and gold bucketed by household."""
+    return _refreshed(q, 4)
+
+
 @query("a18_insert_missing")
 def _(q):
     seeds = q.accounts.select(F.col("account_id").cast("string"), "name", "account_type",

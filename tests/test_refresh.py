@@ -5,11 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from cashweave.operators import health, networth as nw, transactions
+from cashweave.operators import health, networth as nw, reconciliation as rec, transactions
 from cashweave.plans import refresh
 from cashweave.schemas import (ACCOUNT_DEFINITIONS, BALANCE_SNAPSHOTS, LOAD_REPORT, PAYROLL_LINES, REJECTS,
                                TRANSACTIONS_RAW)
-from cashweave.session import shared_dir
+from cashweave.session import setting, shared_dir
 from cashweave.sources import registry, store
 from fixtures.derive import workbook_bytes
 from .conftest import day, dec, plan, rows
@@ -151,6 +151,96 @@ def test_two_households_from_files_to_gold(spark, tmp_path):
     assert sorted(rows(raw.groupBy("household_id").agg(F.count("*")))) == [("h1", 1), ("h2", 2)]
 
 
+def bronze(spark, t, households, days=40):
+    """Two layers of bronze: a check and three transactions per household and every tenth day; one household is NULL."""
+    at = spark.range(days).selectExpr("date_add(date '2024-01-01', cast(id * 10 as int)) day", "id")
+    who = spark.range(households).selectExpr("if(id = 0, null, concat('h', id)) household_id", "id who")
+    every = at.crossJoin(who)
+    kinds = [("Income", "Paycheck 1", "income", 900), ("Food", "Out", "expense", -30), ("Car", "Gas", "expense", -20)]
+    for n, (group, item, kind, amount) in enumerate(kinds):
+        batch = every.select("household_id", F.col("day").alias("transaction_date"), F.lit(group).alias("category_group"),
+                             F.lit(item).alias("category_item"), F.lit(kind).alias("transaction_type"), F.lit("M").alias("merchant"),
+                             (F.col("who") + amount).cast("decimal(12,2)").alias("amount"), F.lit(f"{n}.csv").alias("source_file"))
+        store.replace_by_file(batch, t.bronze("transactions_raw"), TRANSACTIONS_RAW, t.keys)
+    metrics = [("totals", "Gross Pay", 1000), ("totals", "Net Pay", 900), ("pre_tax_deductions", "401k", 50),
+               ("payment_information", "Bank", 900)]
+    lines = every.select("household_id", "who", F.col("day").alias("check_date"), F.col("id").cast("string").alias("check_number"),
+                         F.posexplode(F.array(*(F.struct(F.lit(a).alias("section"), F.lit(b).alias("description"),
+                                                         F.lit(c).cast("decimal(12,2)").alias("amount")) for a, b, c in metrics))))
+    lines = lines.select("household_id", F.lit("e").alias("employee_id"), "check_date", "check_number",
+                         F.col("pos").alias("row_no"), "col.*", F.lit("Checking").alias("account_name"), F.lit("p.xlsx").alias("source_file"))
+    store.replace_by_file(lines, t.bronze("payroll_lines"), PAYROLL_LINES, t.keys)
+
+
+def exchanges(df):
+    return plan(df).count("Exchange hash")
+
+
+def test_bucketed_layers_hold_the_same_rows_and_need_no_exchange(spark, tmp_path):
+    plain = refresh.Tables(f"{tmp_path}/plain", ("household_id",))
+    bucketed = refresh.Tables(f"{tmp_path}/it's", ("household_id",), buckets=4)
+    for t in (plain, bucketed):
+        bronze(spark, t, 6)
+        refresh.refresh_silver(spark, t)
+        refresh.refresh_gold(spark, t)
+    assert {n for _, n in store.published(spark, bucketed.layer("gold")).values()} == {4}
+    assert {n for _, n in store.published(spark, plain.layer("gold")).values()} == {None}
+    for of in (refresh.silver_tables, refresh.gold_tables):
+        ours, theirs = of(spark, bucketed), of(spark, plain)
+        for name in theirs:
+            assert ours[name].columns == theirs[name].columns and ours[name].dtypes == theirs[name].dtypes
+            drop = [c for c in ("ingest_ts",) if c in ours[name].columns]
+            a, b = (sorted(map(str, f.drop(*drop).collect())) for f in (ours[name], theirs[name]))
+            assert a == b and len(a) > 0, name
+    with refresh.by_entity(spark), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):  # as if all were large
+        frames = refresh.gold_frames(*refresh.silver_tables(spark, bucketed).values(), bucketed.keys)
+        joined = ("paycheck_reconciliation", "savings_rate")
+        assert {n for n, f in frames.items() if exchanges(f)} == set(refresh.MOVED)
+        assert all("Join" in plan(frames[n]) and "Bucketed: true" in plan(frames[n]) for n in joined)
+        per_day = rec.sum_within_days(refresh.silver_tables(spark, bucketed)["paycheck_totals"],
+                                      refresh.silver_tables(spark, bucketed)["transactions"], "check_date", "transaction_date",
+                                      "amount", keys=bucketed.keys)
+        assert exchanges(per_day) == 0 and per_day.where("income_near IS NULL AND household_id IS NOT NULL").count() == 0
+        plainly = refresh.gold_frames(*refresh.silver_tables(spark, plain).values(), plain.keys)
+        assert all(exchanges(plainly[n]) > 0 for n in joined)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    # Months are still pruned, and gold is grouped by entity without an exchange.
+    silver = refresh.silver_tables(spark, bucketed)["transactions"].where("year_month = '2024-02'")
+    assert "PartitionFilters: [isnotnull(year_month" in plan(silver) and silver.count() == 6 * 2 * 3
+    assert exchanges(refresh.gold_tables(spark, bucketed)["savings_rate"].groupBy("household_id").count()) == 0
+    # Another session, whose catalog knows nothing of the tables, reads them alike.
+    other = refresh.gold_tables(spark.newSession(), bucketed)["savings_rate"]
+    assert other.count() == 240
+
+
+def test_a_table_with_one_large_entity_is_read_plainly(spark, tmp_path, monkeypatch):
+    """One household of 16 comes to hold more than four times the mean bucket of transactions."""
+    monkeypatch.setattr(store, "SMALL", 10)
+    t = refresh.Tables(f"{tmp_path}/db", ("household_id",), buckets=8)
+    bronze(spark, t, 16, days=10)
+    refresh.refresh_silver(spark, t)
+    refresh.refresh_gold(spark, t)
+    assert [n for layer in ("silver", "gold") for _, n in store.published(spark, t.layer(layer)).values()] == [8] * 9
+    before = {n: f.count() for n, f in refresh.gold_tables(spark, t).items()}
+    raw = store.read_loads(spark, t.bronze("transactions_raw"), TRANSACTIONS_RAW, t.keys).drop(store.LOAD)
+    copies = raw.where("household_id = 'h1'").withColumn("source_file", F.concat(F.lit("x"), "source_file"))
+    store.replace_by_file(copies.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("n"),
+                          t.bronze("transactions_raw"), TRANSACTIONS_RAW, t.keys)
+    refresh.refresh_silver(spark, t)
+    refresh.refresh_gold(spark, t)
+    assert [n for _, n in store.published(spark, t.layer("silver")).values()] == [None, 8, 8]
+    assert {n for _, n in store.published(spark, t.layer("gold")).values()} == {None}
+    assert {n: f.count() for n, f in refresh.gold_tables(spark, t).items()} == before
+    assert refresh.silver_tables(spark, t)["transactions"].count() == 16 * 10 * 3 + 20 * 10 * 3
+
+
+def test_bucketed_tables_without_sources(spark, tmp_path):
+    t = refresh.Tables(f"{tmp_path}/db", ("household_id",), buckets=4)
+    refresh.refresh_silver(spark, t)
+    refresh.refresh_gold(spark, t)
+    assert {n: f.count() for n, f in refresh.gold_tables(spark, t).items()} == dict.fromkeys(refresh.gold_schemas(spark, t.keys), 0)
+
+
 def test_a_broken_refresh_leaves_the_old_tables(spark, tmp_path, monkeypatch):
     (tmp_path / "csv").mkdir()
     (tmp_path / "csv" / "jan.csv").write_text(OLD + "Food,Out,expense,01/02/2024,Ann,-30.00,\n")
