@@ -168,3 +168,15 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     found = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.size(spans) == 0, text).otherwise(run(text, found))
+
+
+def cleaned(model: Model, text: Column, mark: str = "[SECRET]") -> Column:
+    """What :func:`redact` makes of the spans of :func:`spans_of`, in one function; NULL for a text without spans. Spans never
+    leave the Python worker, and a task needs one worker instead of two."""
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        random = lru_cache(CACHED_TOKENS)(model.random)
+        return pa.array([cut(t, [s[1:] for s in spans], mark) if t and (spans := all_spans(t, random)) else None
+                         for t in texts.to_pylist()], pa.string())
+
+    return run(text)

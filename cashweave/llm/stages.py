@@ -29,11 +29,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with ``[SECRET]`` in place of every secret; ``n_chars`` follows where a text changes."""
     model = secrets.train(secrets.labelled_strings(docs))
-    found = docs.withColumn("__spans", secrets.spans_of(model, F.col("text")))
-    clean = found.withColumn("__text", secrets.redact(F.col("text"), F.col("__spans")))
+    clean = docs.withColumn("__text", secrets.cleaned(model, F.col("text")))
+    changed = F.col("__text").isNotNull()
     return clean.withColumns({
-        "n_chars": F.when(F.size("__spans") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars")),
-        "text": F.col("__text")}).select(*docs.columns)
+        "n_chars": F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars")),
+        "text": F.coalesce("__text", "text")}).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

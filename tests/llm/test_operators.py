@@ -155,6 +155,7 @@ def test_secrets(spark, sf_dir, awkward, nothing):
     assert model.random("q7Zt0vXw93LkPa8Bd2Rn") and not model.random("andtheofthingtionand1")
     out = awkward.withColumn("s", secrets.spans_of(model, F.col("text")))
     clean = [r[0] for r in out.select(secrets.redact(F.col("text"), F.col("s"))).collect()]
+    assert clean == [r[0] for r in awkward.select(F.coalesce(secrets.cleaned(model, F.col("text")), "text")).collect()]
     assert clean[0] is None and clean[1] == "" and clean[9].endswith("[SECRET] [SECRET]")
     assert secrets.train(secrets.labelled_strings(nothing)).ratio.shape == (secrets.STATES, secrets.STATES)
 
