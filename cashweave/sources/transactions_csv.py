@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import parse_money
 from ..schemas import CSV_COLUMNS_NEW, CSV_COLUMNS_OLD, MONEY, STR, TRANSACTIONS_RAW
 from ..session import scratch_path, staged
-from .provenance import decode_path, with_provenance
+from .provenance import base_name, decode_path, path_keys
 
 DATE_PATTERN = "MM/dd/yyyy"
 RAW = T.StructType([T.StructField(c, STR) for c in CSV_COLUMNS_NEW]
@@ -85,14 +85,22 @@ def aligned(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     Each file's first line is joined to its other lines as a header: a row is taken apart by position, once, and
     each column finds its own. However many headers there are, this is one plan, and nothing reaches the driver.
+    Headers are staged with what a file's path says, one row per file: paths are taken apart once a file, not once a
+    row, and as Spark knows the size of what is staged, the rows are moved only for a batch of very many files.
     """
-    found = layouts(lines).where("layout <> 'unknown'").select("file", "first", "code")
+    spark = lines.sparkSession
+    found = layouts(lines).where("layout <> 'unknown'").select(
+        "file", "first", "code", base_name("file").alias("source_file"),
+        *(c.alias(f"__key{i}") for i, c in enumerate(path_keys("file", keys))))
+    found = staged(found, scratch_path(spark, "csv-layouts"))
     cells = ", ".join(f"c{i} string" for i in range(len(CSV_COLUMNS_NEW)))
+    of_file = [*(F.col(f"__key{i}").alias(k) for i, k in enumerate(keys)), "source_file"]
     rows = (lines.select("file", "at", "value").join(found, "file").where("at <> first")
-            .select("file", "code", F.from_csv("value", F.lit(cells), {"quote": '"', "escape": '"'}).alias("cells")))
-    rows = rows.select("file", "code", F.array(*[f"cells.c{i}" for i in range(len(CSV_COLUMNS_NEW))]).alias("cells"))
-    named = rows.select("file", *[F.get("cells", _place(i) - 1).alias(n) for i, n in enumerate(CSV_COLUMNS_NEW)])
-    return with_provenance(named, "file", keys).drop("file")
+            .select("code", *of_file, F.from_csv("value", F.lit(cells), {"quote": '"', "escape": '"'}).alias("cells")))
+    rows = rows.select("code", *keys, "source_file",
+                       F.array(*[f"cells.c{i}" for i in range(len(CSV_COLUMNS_NEW))]).alias("cells"))
+    return rows.select(*keys, *[F.get("cells", _place(i) - 1).alias(n) for i, n in enumerate(CSV_COLUMNS_NEW)],
+                       "source_file", F.current_timestamp().alias("ingest_ts"))
 
 
 def read_transactions_csv(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:

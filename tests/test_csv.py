@@ -110,3 +110,14 @@ def test_rejects(spark, tmp_path):
     reasons = sorted(r.reason for r in tc.rejected_transactions(raw).collect())
     assert reasons == ["unreadable amount", "unreadable date", "unreadable date, unreadable amount"]
     assert tc.clean_transactions(raw).count() == 5
+
+
+def test_paths_are_taken_apart_per_file_and_rows_are_not_moved(spark, tmp_path):
+    """Names and keys come with a file's header, so neither text functions on paths nor an exchange is in the rows' plan."""
+    (tmp_path / "who=h1").mkdir()
+    (tmp_path / "who=h1" / "jan.csv").write_text(OLD + "Food,Out,expense,01/02/2024,J,-5.00,\n")
+    raw = tc.read_transactions_csv(spark, str(tmp_path), ["who"])
+    text = plan(raw)
+    assert "BroadcastHashJoin" in text and "Exchange hash" not in text
+    assert "regexp_extract" not in text and "url_decode" not in text
+    assert [(r.who, r.source_file, r.Merchant) for r in raw.collect()] == [("h1", "jan.csv", "J")]
