@@ -7,7 +7,7 @@ import sys
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -223,8 +223,9 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The payslip grids as workbook files ``(source_file, content)``."""
     build = workbook_bytes
 
-    @F.pandas_udf("binary")
-    def pack(grids: pd.Series) -> pd.Series:
-        return grids.map(build)
+    def pack(batches):
+        for batch in batches:
+            made = pa.array([build(grid) for grid in batch.column("grid").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("source_file"), made], ["source_file", "content"])
 
-    return payslip_grids(spark, sf_dir).select("source_file", pack("grid").alias("content"))
+    return payslip_grids(spark, sf_dir).mapInArrow(pack, "source_file string, content binary")

@@ -175,3 +175,11 @@ def test_payments_equal_the_fields_of_the_payload(spark):
     direct = rows(pay.payments(df).select("bank", "account_name", "account_number_masked"))
     assert direct == rows(df.select("description", F.col("raw_payload")["Account Name"],
                                     F.col("raw_payload")["Account Number"]))
+
+
+def test_parts_that_name_the_first_sheet_are_parsed_once_for_files_that_share_them():
+    wb._first_sheet_part.cache_clear()
+    rows = [["Payslip Information"], [], ["a & b", "", " c "]]
+    books = [workbook_bytes(rows + [[str(n)]]) for n in range(5)]
+    assert [wb.sheet_rows(b)[2:] for b in books] == [[["a & b", "", " c "], [str(n), "", ""]] for n in range(5)]
+    assert wb._first_sheet_part.cache_info().misses == 1
