@@ -234,6 +234,21 @@ def test_a_table_with_one_large_entity_is_read_plainly(spark, tmp_path, monkeypa
     assert refresh.silver_tables(spark, t)["transactions"].count() == 16 * 10 * 3 + 20 * 10 * 3
 
 
+def test_buckets_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """640 payroll lines and 480 transactions: 4 buckets would hold 160 lines each, 16 hold 40."""
+    counts = {}
+    for most, expected in ((1_000_000, 4), (50, 16)):
+        monkeypatch.setattr(store, "BUCKET", most)
+        t = refresh.Tables(f"{tmp_path}/{expected}", ("household_id",), buckets=4)
+        bronze(spark, t, 16, days=10)
+        refresh.refresh_silver(spark, t)
+        refresh.refresh_gold(spark, t)
+        assert [n for layer in ("silver", "gold") for _, n in store.published(spark, t.layer(layer)).values()] == [expected] * 9
+        counts[expected] = {n: sorted(map(str, f.collect())) for n, f in refresh.gold_tables(spark, t).items()}
+    assert counts[4] == counts[16]
+    assert [store.enough_buckets(4, n) for n in (0, 200, 201, 400, 401)] == [4, 4, 8, 8, 16] and store.enough_buckets(0, 10**9) == 0
+
+
 def test_bucketed_tables_without_sources(spark, tmp_path):
     t = refresh.Tables(f"{tmp_path}/db", ("household_id",), buckets=4)
     refresh.refresh_silver(spark, t)

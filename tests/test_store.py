@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from cashweave.schemas import (ACCOUNT_DEFINITIONS, BALANCE_SNAPSHOTS, TRANSACTIONS_RAW, conform)
+from cashweave.session import setting
 from cashweave.sources import registry, store
 from .conftest import day, dec, rows
 
@@ -256,3 +257,13 @@ def test_new_snapshots(spark):
     assert len(got[0].snapshot_id) == 36 and isinstance(got[0].entered_at, dt.datetime)
     assert {r.account_id for r in registry.new_snapshots(entered, allow_zero=True).collect()} == {"a", "b"}
     assert registry.new_snapshots(entered).columns == BALANCE_SNAPSHOTS.fieldNames()
+
+
+def test_files_of_a_load_are_counted_by_many_tasks(spark, tmp_path):
+    """The manifest of very many files is no single task's work."""
+    batch = spark.range(2000).select(F.col("id").cast("string").alias("source_file"), F.lit("x").alias("note"))
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        store.replace_by_file(batch, f"{tmp_path}/t", TRANSACTIONS_RAW)
+    assert len(spark.read.parquet(f"{tmp_path}/t/{store.MANIFEST}/{store.LOAD}=0").inputFiles()) > 1
+    loads = store.manifest(spark, f"{tmp_path}/t")
+    assert loads.count() == 2000 and loads.where("rows = 1 AND is_current").count() == 2000
