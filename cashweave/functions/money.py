@@ -24,6 +24,7 @@ def _col(c: Column | str) -> Column:
 
 # Every character that counts as white space; the last one is the ideographic space.
 WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+OTHER_WHITE_SPACE = "[" + "".join(rf"\u{ord(c):04x}" for c in WHITE_SPACE if c != " ") + "]"
 
 
 def strip(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import parse_money, strip_ends
+from ..functions import OTHER_WHITE_SPACE, parse_money, strip_ends
 from ..schemas import (BALANCE, HOURS, MONEY, PAYLOAD, PAYROLL_LINES, PAYSLIP_INFORMATION, RATE,
                        SECTION_OF_MARKER, conform)
 
@@ -38,16 +38,23 @@ def _blocks(grids: DataFrame) -> DataFrame:
     A marker in the first cell opens a block, which ends where the next one opens. An information
     block is one of them, so that it closes the section before it.
     """
-    tidy = F.transform("grid", lambda row: F.transform(
-        row, lambda c: strip_ends(F.coalesce(c, F.lit("")))))
+    text = F.array_join(F.flatten("grid"), "")
+    # Told once for all cells of a grid, so that with blanks alone each cell costs a plain trim.
+    only_blanks = ~(text.rlike("[^ -~]") & text.rlike(OTHER_WHITE_SPACE))
+
+    def stripped(how) -> Column:
+        return F.transform("grid", lambda row: F.transform(row, lambda c: how(F.coalesce(c, F.lit("")))))
+
+    tidy = F.when(only_blanks, stripped(F.trim)).otherwise(stripped(strip_ends))
     marks = F.filter(
         F.transform("grid", lambda row, i: F.struct(F.get(row, F.lit(0)).alias("label"), i.alias("at"))),
         lambda m: m["label"].isin(*SECTION_OF_MARKER, PAYSLIP_INFORMATION))
     blocks = F.transform("marks", lambda m, i: F.struct(
         m["label"].alias("label"), m["at"].alias("start"),
         F.coalesce(F.get("marks", i + 1)["at"], F.size("grid")).alias("end")))
+    info = F.get(F.filter("marks", lambda m: m["label"] == PAYSLIP_INFORMATION), F.lit(0))
     return (grids.select("source_file", tidy.alias("grid")).withColumn("marks", marks)
-            .withColumn("blocks", blocks))
+            .withColumns({"blocks": blocks, "info_at": info["at"]}))
 
 
 DATES = ("pay_period_begin", "pay_period_end", "check_date")
@@ -60,8 +67,7 @@ def _date(text: Column) -> Column:
 
 def _check(typed: bool = True) -> Column:
     """The check, from the header and value rows of the first information block; dates as text if not ``typed``."""
-    info = F.get(F.filter("blocks", lambda b: b["label"] == PAYSLIP_INFORMATION), F.lit(0))
-    headers, values = (F.get("grid", info["start"] + n) for n in (1, 2))
+    headers, values = (F.get("grid", F.col("info_at") + n) for n in (1, 2))
     backwards = F.reverse(headers)
 
     def read(name: str, header: str) -> Column:
@@ -97,84 +103,85 @@ def payslip_sections(grids: DataFrame) -> DataFrame:
             .select("source_file", *META, "s.*"))
 
 
-def _field(name: str) -> Column:
-    """The position worked out for one of ``FIELDS``."""
-    return F.get("at_field", F.lit(FIELDS.index(name)))
-
-
-def _line_items() -> Column:
-    """Each data row of an ordinary section as one line, amounts still as text."""
-    def line(r: Column) -> Column:
-        def cell(name: str) -> Column:
-            return F.get(r["values"], _field(name))
+def _names() -> Column:
+    """The headers that are not blank, each once."""
+    return F.array_distinct(F.filter("headers", lambda h: h != ""))
 
-        def text(*options: str) -> Column:
-            """The first of these cells that is not blank; blank if all of them are."""
-            out = cell(options[-1])
-            for name in reversed(options[:-1]):
-                out = F.when(cell(name) != "", cell(name)).otherwise(out)
-            return out
 
-        first_value = F.get(r["values"], F.get("at", F.lit(0)))
-        description = text("Description", "Bank", "Balance Period")
-        payload = F.map_from_arrays("names", F.transform("at", lambda i: F.get(r["values"], i)))
-        return F.struct(
-            r["row_no"].alias("row_no"),
-            F.when(description != "", description).otherwise(first_value).alias("description"),
-            text("Amount", "Amount in Pay Group Currency").alias("amount"), cell("YTD").alias("ytd"),
-            text("Hours", "Hours Worked").alias("hours"), cell("Rate").alias("rate"),
-            cell("Dates").alias("dates"), cell("Account Name").alias("account_name"),
-            cell("Account Number").alias("account_number"), payload.alias("raw_payload"))
+def _places() -> Column:
+    """The position of each of the :func:`_names`, given the headers in reverse."""
+    return F.transform(_names(), lambda n: _last_at(F.col("backwards"), n))
 
-    return F.when(F.size("names") > 0, F.transform("rows", line))
 
-
-def _totals_items() -> Column:
-    """The totals block turned round: one line per metric, with the same fields.
+def _totals_rows() -> Column:
+    """The totals block turned round, in the shape of data rows: per metric its name, amount and year-to-date value.
 
     The last ``Current`` row gives the amounts and the last ``YTD`` row the year-to-date values.
     A metric's place among the headers serves as its row number.
     """
-    none = F.lit(None).cast("string")
-    metrics = F.filter(F.arrays_zip("names", "at"), lambda m: m["names"] != "Balance Period")
+    pairs = F.zip_with(_names(), _places(), lambda n, at: F.struct(n.alias("name"), at.alias("at")))
+    metrics = F.filter(pairs, lambda m: m["name"] != "Balance Period")
     return F.transform(metrics, lambda m, i: F.struct(
-        i.alias("row_no"), m["names"].alias("description"),
-        F.get("current", m["at"]).alias("amount"), F.get("to_date", m["at"]).alias("ytd"),
-        none.alias("hours"), none.alias("rate"), none.alias("dates"), none.alias("account_name"),
-        none.alias("account_number"), F.lit(None).cast(PAYLOAD).alias("raw_payload")))
+        i.alias("row_no"), F.array(m["name"], F.get("current", m["at"]), F.get("to_date", m["at"])).alias("values")))
 
 
 def _items(sections: DataFrame) -> DataFrame:
     """Every section to its lines, amounts still as text.
 
     Where each field stands is worked out once per section, from its headers; a repeated header
-    counts by its last column and a column without one drops out.
+    counts by its last column and a column without one drops out. The cells of a line are looked up
+    behind the explode, in generated code, which lambdas over arrays do not have.
     """
     backwards, is_totals = F.col("backwards"), F.col("section") == "totals"
+    at, cells = ({name: f"{prefix}_{n}" for n, name in enumerate(FIELDS)} for prefix in ("at", "cell"))
+    of_metric = {"Description": 0, "Amount": 1, "YTD": 2}
+    items = F.when(is_totals, _totals_rows()).otherwise(F.when(F.array_join("headers", "") != "", F.col("rows")))
 
     def last_row(label: str) -> Column:
-        hits = F.filter("rows", lambda r: F.get(r["values"], _field("Balance Period")) == label)
+        hits = F.filter("rows", lambda r: F.get(r["values"], F.col("at_period")) == label)
         return F.when(is_totals, F.try_element_at(hits, F.lit(-1))["values"])
 
+    def place(name: str) -> Column:
+        return F.when(is_totals, F.lit(of_metric.get(name)).cast("int")).otherwise(_last_at(backwards, F.lit(name)))
+
+    def text(*options: str) -> Column:
+        """The first of these cells that is not blank; blank if all of them are."""
+        out = F.col(cells[options[-1]])
+        for name in reversed(options[:-1]):
+            out = F.when(F.col(cells[name]) != "", F.col(cells[name])).otherwise(out)
+        return out
+
+    values = F.col("item.values")
+    payload = F.map_from_arrays("names", F.transform("at", lambda i: F.get("item.values", i)))
     return (sections
-            .withColumns({"names": F.array_distinct(F.filter("headers", lambda h: h != "")),
-                          "backwards": F.reverse("headers")})
-            .withColumn("at", F.transform("names", lambda n: _last_at(backwards, n)))
-            # An array made by transform() is kept as a column; a struct would be taken apart by
-            # the optimizer and every position worked out again for each data row.
-            .withColumn("at_field", F.transform(F.array(*map(F.lit, FIELDS)),
-                                                lambda f: _last_at(backwards, f)))
+            .withColumns({"backwards": F.reverse("headers"),
+                          "first_name": F.get(F.filter("headers", lambda h: h != ""), F.lit(0))})
+            # The names and places of all columns serve the payload of a line: not worked out where that is not wanted.
+            .withColumns({"names": _names(), "at": _places(), "at_first": _last_at(backwards, F.col("first_name")),
+                          "at_period": _last_at(backwards, F.lit("Balance Period")),
+                          **{at[name]: place(name) for name in FIELDS}})
             .withColumns({"current": last_row("Current"), "to_date": last_row("YTD")})
-            .select("source_file", "section", *META,
-                    F.explode(F.when(is_totals, _totals_items()).otherwise(_line_items())).alias("item")))
+            # Not made a column first: Spark would work it out twice more, to filter sections without lines.
+            .select("source_file", "section", *META, "names", "at", "at_first", *at.values(), F.explode(items).alias("item"))
+            # One step for the cells and one for what is read from them: generated code of moderate size.
+            .select("source_file", "section", *META, "item.row_no", F.get(values, F.col("at_first")).alias("first"),
+                    *[F.get(values, F.col(at[name])).alias(cells[name]) for name in FIELDS],
+                    F.when(~is_totals, payload).alias("raw_payload"))
+            .withColumn("described", text("Description", "Bank", "Balance Period"))
+            .select("source_file", "section", *META, "row_no",
+                    F.when(F.col("described") != "", F.col("described")).otherwise(F.col("first")).alias("description"),
+                    text("Amount", "Amount in Pay Group Currency").alias("amount"), text("YTD").alias("ytd"),
+                    text("Hours", "Hours Worked").alias("hours"), text("Rate").alias("rate"), text("Dates").alias("dates"),
+                    text("Account Name").alias("account_name"), text("Account Number").alias("account_number"),
+                    "raw_payload"))
 
 
 def _expand(sections: DataFrame) -> DataFrame:
     """Every section to its payroll lines."""
     return _items(sections).select(
-        "source_file", "section", *META, "item.row_no", "item.description",
-        *[parse_money(F.col(f"item.{c}"), kind).alias(c) for c, kind in AMOUNTS.items()],
-        "item.dates", "item.account_name", "item.account_number", "item.raw_payload")
+        "source_file", "section", *META, "row_no", "description",
+        *[parse_money(c, kind).alias(c) for c, kind in AMOUNTS.items()],
+        "dates", "account_name", "account_number", "raw_payload")
 
 
 def payslip_totals(sections: DataFrame) -> DataFrame:
@@ -205,5 +212,5 @@ def rejected_payslips(grids: DataFrame) -> DataFrame:
 
     checks = _blocks(grids).select("source_file", _check(typed=False).alias("check"))
     dates = [unreadable(F.col(f"check.{c}"), _date(F.col(f"check.{c}")), c) for c in DATES]
-    amounts = [unreadable(F.col(f"item.{c}"), parse_money(F.col(f"item.{c}"), kind), c) for c, kind in AMOUNTS.items()]
+    amounts = [unreadable(F.col(c), parse_money(c, kind), c) for c, kind in AMOUNTS.items()]
     return listed(checks, dates).unionByName(listed(_items(payslip_sections(grids)), amounts))

@@ -33,13 +33,16 @@ LINES = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None, evenly: bool = False) -> DataFrame:
     """One of the given tables.
 
     Each is a single file of one row group here, which one task reads. With ``spread_by`` its
-    rows are dealt out by that column.
+    rows are dealt out by that column; ``evenly`` keeps all partitions, for rows that are small but
+    costly, which AQE would put together by their size to little more tasks than there are cores.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if evenly:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread_by)
     return df.repartition(spread_by) if spread_by else df
 
 
@@ -47,10 +50,10 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def checks(spark: SparkSession, sf_dir: str, evenly: bool = False) -> DataFrame:
     """One pay check per order."""
     gross = F.col("o_totalprice").cast(MONEY)
-    return (table(spark, sf_dir, "orders", "o_orderkey")
+    return (table(spark, sf_dir, "orders", "o_orderkey", evenly)
             .select(_text("o_custkey").alias("employee_id"),
                     F.col("o_orderdate").cast("date").alias("check_date"),
                     _text("o_orderkey").alias("check_number"), F.col("o_orderkey").alias("k"),
@@ -195,7 +198,7 @@ def payslip_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     grid = F.filter(F.array(*rows), lambda r: r.isNotNull())
     name = F.concat(F.lit("payslip_"), F.col("check_number"), F.lit(".xlsx"))
-    return checks(spark, sf_dir).select(name.alias("source_file"), grid.alias("grid"))
+    return checks(spark, sf_dir, evenly=True).select(name.alias("source_file"), grid.alias("grid"))
 
 
 def workbook_bytes(rows: list[list[str]]) -> bytes:

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from cashweave.operators import payroll as pay, payslips as ps
 from cashweave.schemas import PAYROLL_LINES, PAYSLIP_GRIDS
 from cashweave.sources import workbooks as wb
-from fixtures.derive import workbook_bytes
-from .conftest import day, dec, rows
+from fixtures.derive import payslip_grids, workbook_bytes
+from .conftest import day, dec, plan, rows
 
 GRID = [
     ["Payslip Information"],
@@ -183,3 +183,25 @@ def test_parts_that_name_the_first_sheet_are_parsed_once_for_files_that_share_th
     books = [workbook_bytes(rows + [[str(n)]]) for n in range(5)]
     assert [wb.sheet_rows(b)[2:] for b in books] == [[["a & b", "", " c "], [str(n), "", ""]] for n in range(5)]
     assert wb._first_sheet_part.cache_info().misses == 1
+
+
+def test_cells_are_looked_up_behind_the_explode(spark):
+    """Not in a lambda for every line, so that a payload nobody asks for is not made."""
+    found = ps.payroll_lines(grids(spark, GRID))
+    assert "map_from_arrays" in plan(found) and "map_from_arrays" not in plan(found.drop("raw_payload"))
+
+
+def test_grids_keep_their_tasks(spark, sf_dir):
+    """Few bytes, but costly rows: not put together to fewer tasks by their size."""
+    assert payslip_grids(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("others", ["", "\u00e9", "\t\u3000"])
+def test_all_white_space_is_stripped(spark, others):
+    """Each kind of it, in grids with blanks alone, with other letters and with other white space; missing cells are blank."""
+    for space in (" ", "  ", "\t", "\n", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000"):
+        grid = [["Payslip Information", None], [f"{space}Employee ID", None], [f"7{space}", others], [f"{space}Earnings{space}", None],
+                [f"Description{space}", f"{space}Amount", "Dates"], [f"{space}Re gular{space}", f"{space}$5.00{space}", f"a{space}b"]]
+        df = spark.createDataFrame([("f.xlsx", grid)], PAYSLIP_GRIDS)
+        got = [(r.employee_id, r.section, r.description, r.amount, r.dates) for r in ps.payroll_lines(df).collect()]
+        assert got == [("7", "earnings", "Re gular", dec(5), f"a{space}b")], repr(space)
