@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import OTHER_WHITE_SPACE, parse_money, strip_ends
-from ..schemas import (BALANCE, HOURS, MONEY, PAYLOAD, PAYROLL_LINES, PAYSLIP_INFORMATION, RATE,
+from ..schemas import (BALANCE, HOURS, MONEY, PAYROLL_LINES, PAYSLIP_INFORMATION, RATE,
                        SECTION_OF_MARKER, conform)
 
 DATE_PATTERN = "MM/dd/yyyy"
