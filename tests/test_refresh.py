@@ -176,6 +176,27 @@ def exchanges(df):
     return plan(df).count("Exchange hash")
 
 
+def test_silver_is_written_without_moving_rows(spark, tmp_path, monkeypatch):
+    """Without buckets, the tasks that read bronze write the months and sections; files are compressed with zstd."""
+    t = refresh.Tables(f"{tmp_path}/db", ("household_id",))
+    bronze(spark, t, 3)
+    whole, deals = store.write_full, []
+
+    def watched(df, path, *args):
+        if args[0]:
+            deals.append(args[1:])
+        return whole(df, path, *args)
+
+    monkeypatch.setattr(store, "write_full", watched)
+    refresh.refresh_silver(spark, t)
+    assert deals == [(False,)] * 2
+    silver = refresh.silver_tables(spark, t)
+    assert silver["transactions"].count() == 3 * 40 * 3 and silver["payroll_lines"].count() == 4 * 40 * 3
+    assert silver["transactions"].where("year_month <> date_format(transaction_date, 'yyyy-MM') OR year_month IS NULL").count() == 0
+    names = [n for folder, _, found in os.walk(tmp_path) for n in found if n.endswith(".parquet") and "_published" not in folder]
+    assert names and all(n.endswith(".zstd.parquet") for n in names)
+
+
 def test_bucketed_layers_hold_the_same_rows_and_need_no_exchange(spark, tmp_path):
     plain = refresh.Tables(f"{tmp_path}/plain", ("household_id",))
     bucketed = refresh.Tables(f"{tmp_path}/it's", ("household_id",), buckets=4)

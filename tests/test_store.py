@@ -172,6 +172,13 @@ def test_full_refresh_keeps_the_version_being_read(spark, tmp_path):
     assert store.read_table(spark, path).count() == 1
 
 
+def test_partitions_written_by_the_tasks_that_hold_the_rows(spark, tmp_path):
+    table = spark.range(0, 60, 1, 3).selectExpr("id", "id % 2 AS x")
+    store.write_full(table, str(tmp_path / "t"), ["x"], False)
+    assert [len(list((tmp_path / "t" / "v0" / f"x={x}").glob("*.parquet"))) for x in (0, 1)] == [3, 3]
+    assert sorted(store.read_table(spark, str(tmp_path / "t")).toPandas()["id"]) == list(range(60))
+
+
 def test_missing_table(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         store.read_table(spark, str(tmp_path / "no"))
