@@ -234,6 +234,26 @@ def test_bucketed_layers_hold_the_same_rows_and_need_no_exchange(spark, tmp_path
     assert other.count() == 240
 
 
+def test_gold_frames_share_rows_dealt_out_by_entity_once(spark, tmp_path, monkeypatch):
+    """Without buckets, groupings, windows and joins by entity need no exchange of their own, null-safe ones included; with an
+    outsized entity the frames start from the tables as they are. The rows are the same."""
+    monkeypatch.setattr(refresh, "SMALL_PART", 100)
+    t = refresh.Tables(f"{tmp_path}/db", ("household_id",))
+    bronze(spark, t, 16, days=10)
+    refresh.refresh_silver(spark, t)
+    silver = refresh.silver_tables(spark, t).values()
+    found, moved = {}, ("monthly_cashflow", "spending_by_category", "paycheck_reconciliation", "savings_rate")
+    with refresh.by_entity(spark), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        for even in (True, False):
+            monkeypatch.setattr(store, "is_even", lambda *_, even=even: even)
+            with refresh.frames_by_entity(spark, *silver, t.keys) as frames:
+                found[even] = {n: (f.columns, sorted(map(str, f.collect()))) for n, f in frames.items()}
+                again = {n: plan(frames[n].select("*")) for n in moved}  # planned when what is kept is there
+                assert [n for n in moved if "ENSURE_REQUIREMENTS" in again[n]] == ([] if even else list(moved))
+    assert found[True] == found[False] and all(rows_ for _, rows_ in found[True].values())
+    assert any("household_id=None" in r for r in found[True]["spending_by_category"][1])
+
+
 def test_a_table_with_one_large_entity_is_read_plainly(spark, tmp_path, monkeypatch):
     """One household of 16 comes to hold more than four times the mean bucket of transactions."""
     monkeypatch.setattr(store, "SMALL", 10)
