@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import io
+import struct
 import sys
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -201,34 +205,82 @@ def payslip_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks(spark, sf_dir, evenly=True).select(name.alias("source_file"), grid.alias("grid"))
 
 
+MAIN_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+REL_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+SHEET = "xl/worksheets/sheet1.xml"
+SHEET_ENDS = f'<worksheet xmlns="{MAIN_NS}"><sheetData>', "</sheetData></worksheet>"
+CELL_END = "</t></is></c>"
+
+
+def _cell_start(r: int, c: int) -> str:
+    return f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t xml:space="preserve">'
+
+
 def workbook_bytes(rows: list[list[str]]) -> bytes:
     """A minimal .xlsx; blank cells and blank rows are left out, as spreadsheet programs do."""
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     body = []
     for r, row in enumerate(rows, 1):
-        cells = "".join(f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t xml:space="preserve">'
-                        f"{escape(v)}</t></is></c>" for c, v in enumerate(row) if v)
+        cells = "".join(f"{_cell_start(r, c)}{escape(v)}{CELL_END}" for c, v in enumerate(row) if v)
         if cells:
             body.append(f'<row r="{r}">{cells}</row>')
+    return _zipped("".join((SHEET_ENDS[0], *body, SHEET_ENDS[1])).encode())
+
+
+def _zipped(sheet: bytes) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>'
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN_NS}" xmlns:r="{REL_NS}"><sheets>'
                    '<sheet name="Payslip" sheetId="1" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", "<Relationships><Relationship "
                    'Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>'
-                   f'{"".join(body)}</sheetData></worksheet>')
+        z.writestr(SHEET, sheet)
     return out.getvalue()
 
 
+def _sheets(grids: pa.ListArray) -> pa.BinaryArray:
+    """The sheet part of :func:`workbook_bytes` for a whole batch of grids."""
+    rows = grids.flatten()
+    cells = rows.flatten()
+    sizes, widths = (np.asarray(pc.fill_null(pc.list_value_length(a), 0), np.int64) for a in (grids, rows))
+    grid_ends, row_ends = (np.concatenate(([0], np.cumsum(n))).astype(np.int32) for n in (sizes, widths))
+    r = np.arange(len(rows)) - np.repeat(grid_ends[:-1], sizes)
+    c = np.arange(len(cells)) - np.repeat(row_ends[:-1], widths)
+    most, wide = int(sizes.max(initial=0)), int(widths.max(initial=0))
+    starts = pa.array([_cell_start(i + 1, j) for i in range(most) for j in range(wide)], pa.string())
+    opens = pa.array([f'<row r="{i + 1}">' for i in range(most)], pa.string())
+    text = cells
+    for char, entity in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;")):
+        text = pc.replace_substring(text, char, entity)
+    cell = pc.binary_join_element_wise(starts.take(pa.array(np.repeat(r, widths) * wide + c)), text, CELL_END, "")
+    cell = pc.if_else(pc.fill_null(pc.not_equal(cells, ""), False), cell, "")
+    row = pc.binary_join(pa.ListArray.from_arrays(row_ends, cell), "")
+    row = pc.if_else(pc.equal(row, ""), "", pc.binary_join_element_wise(opens.take(pa.array(r)), row, "</row>", ""))
+    body = pc.binary_join(pa.ListArray.from_arrays(grid_ends, row), "")
+    return pc.binary_join_element_wise(SHEET_ENDS[0], body, SHEET_ENDS[1], "").cast(pa.binary())
+
+
 def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payslip grids as workbook files ``(source_file, content)``."""
-    build = workbook_bytes
+    """The payslip grids as workbook files ``(source_file, content)``. They differ in their sheets only, which come last in
+    a file, so that each is the same bytes around its sheet but for the sheet's checksum and size."""
+    empty = _zipped(b"")
+    with zipfile.ZipFile(io.BytesIO(empty)) as book:
+        at, end = book.getinfo(SHEET).header_offset, book.start_dir
+    before, after = empty[:end], empty[end:]
+    entry = after.rindex(b"PK\1\2")
 
     def pack(batches):
+        head, tail = bytearray(before), bytearray(after)
+
+        def file(sheet: bytes) -> bytes:
+            numbers = zlib.crc32(sheet), len(sheet), len(sheet)
+            struct.pack_into("<3I", head, at + 14, *numbers)
+            struct.pack_into("<3I", tail, entry + 16, *numbers)
+            struct.pack_into("<I", tail, len(tail) - 6, end + len(sheet))  # where the directory begins
+            return b"".join((head, sheet, tail))
+
         for batch in batches:
-            made = pa.array([build(grid) for grid in batch.column("grid").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("source_file"), made], ["source_file", "content"])
+            for part in (batch.slice(n, 1000) for n in range(0, len(batch), 1000)):
+                made = pa.array([file(s) for s in _sheets(part.column("grid")).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("source_file"), made], ["source_file", "content"])
 
     return payslip_grids(spark, sf_dir).mapInArrow(pack, "source_file string, content binary")

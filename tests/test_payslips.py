@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from cashweave.operators import payroll as pay, payslips as ps
 from cashweave.schemas import PAYROLL_LINES, PAYSLIP_GRIDS
 from cashweave.sources import workbooks as wb
+from fixtures import derive
 from fixtures.derive import payslip_grids, workbook_bytes
 from .conftest import day, dec, plan, rows
 
@@ -205,3 +206,102 @@ def test_all_white_space_is_stripped(spark, others):
         df = spark.createDataFrame([("f.xlsx", grid)], PAYSLIP_GRIDS)
         got = [(r.employee_id, r.section, r.description, r.amount, r.dates) for r in ps.payroll_lines(df).collect()]
         assert got == [("7", "earnings", "Re gular", dec(5), f"a{space}b")], repr(space)
+
+
+def _book(sheet, method=0, **parts):
+    import io
+    import zipfile
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{wb.MAIN[1:-1]}" xmlns:r="{wb.REL_ID[1:-3]}"><sheets>'
+                   '<sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/></Relationships>')
+        for name, text in parts.items():
+            z.writestr(f"xl/{name}.xml", text)
+        z.writestr("xl/worksheets/a.xml", sheet)
+    return out.getvalue()
+
+
+def _sheet(rows_, head="", tail=""):
+    return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<worksheet xmlns="{wb.MAIN[1:-1]}">{head}<sheetData>{rows_}</sheetData>{tail}</worksheet>'
+
+
+PLAIN_ROWS = ('<row r="2" spans="1:3"><c r="A2" s="1" t="s"><v>1</v></c><c r="C2" t="inlineStr"><is><t>a &lt;&amp;amp; b</t></is></c></row>'
+              '<row><c><v>7</v></c><c t="b"><v>1</v></c><c r="AB3"><v>1.50</v></c><c r="AC3" s="2"/><c t="e"><v>#N/A</v></c></row>'
+              '<row r="5"><c r="A5" t="inlineStr"><is><t xml:space="preserve"> é\n</t></is></c><c r="B5" t="str"><v>x</v></c><c r="A5"></c></row>')
+
+
+@pytest.mark.parametrize("method", [0, 8])
+def test_plain_sheets_are_read_without_building_their_elements(method, monkeypatch):
+    strings = f'<sst xmlns="{wb.MAIN[1:-1]}"><si><t>none</t></si><si><t>one</t></si></sst>'
+    books = [_book(_sheet(PLAIN_ROWS), method, sharedStrings=strings), workbook_bytes(GRID)]
+    elements = wb._element_rows(_sheet(PLAIN_ROWS).encode(), ["none", "one"])
+    monkeypatch.setattr(wb, "_element_rows", lambda *_: pytest.fail("elements were built"))
+    got = wb.sheet_rows(books[0])
+    assert got == [r + [""] * (30 - len(r)) for r in elements]
+    assert got[1][:3] == ["one", "", "a <&amp; b"] and got[2][:2] + got[2][27:] == ["7", "True", "1.5", "", ""]
+    assert got[3] == [""] * 30 and got[4][:3] == [" é\n", "x", ""]
+    assert wb.sheet_rows(books[1]) == [r + [""] * (5 - len(r)) for r in GRID]
+
+
+@pytest.mark.parametrize("change", [
+    ("<v>7</v>", "<f>A1</f><v>7</v>"), ("<t>a ", "<!-- n --><t>a "), ("<is><t>a", "<is><r><t>rich</t></r><t>a"), ("&lt;", "&#955;"),
+    ("&lt;", "<![CDATA[<]]>"), ("<row>", '<row ht="5">'), ("<row>", '<row r="3"/><row>'), ("</row><row>", "</row>\n<row>"),
+    ("<sheetData>", "<x/><!-- <sheetData></sheetData> --><sheetData>"), ("a &lt;", "a\r\n"), ("</v></c></row>", "</v></c>"),
+    ("&lt;", "&none;"), ("&lt;", "\x01"), ("</sheetData>", "</sheetData><sheetData><row><c><v>5</v></c></row></sheetData>"),
+    ('encoding="UTF-8"', 'encoding="latin-1"'), ("</worksheet>", "</worksheets>"), ("<sheetData>", "<y><sheetData/></y><sheetData>"),
+    ("<row>", "<row><row>"), ("<v>7</v>", "<v>seven</v>"), ("<v>7</v>", "<v></v>"), ("<row>", "</row>"), ('s="1" ', 's="1" s="1" ')])
+def test_other_sheets_are_read_as_their_elements_say(change):
+    """Formulas, comments, rich text, references, other layouts, and sheets that are not well formed."""
+    sheet = _sheet(PLAIN_ROWS).replace(*change, 1)
+    assert sheet != _sheet(PLAIN_ROWS)
+
+    def read(how):
+        try:
+            return how()
+        except Exception as err:
+            return type(err), str(err)
+
+    ours = read(lambda: [[c for c in r] for r in wb.sheet_rows(_book(sheet, sharedStrings=f'<sst xmlns="{wb.MAIN[1:-1]}"><si/><si><t>one</t></si></sst>'))])
+    theirs = read(lambda: wb._element_rows(sheet.encode(), ["", "one"]))
+    if isinstance(theirs, list):
+        theirs = [r + [""] * (max(map(len, theirs)) - len(r)) for r in theirs]
+    assert ours == theirs
+
+
+def test_parts_of_a_zip_are_those_that_zipfile_reads():
+    """Every byte of a workbook changed in turn: what is read, or that it cannot be read, is the same."""
+    import io
+    import zipfile
+
+    def read(how):
+        try:
+            return how()
+        except Exception as err:
+            return type(err)
+
+    def by_zipfile(content):
+        with zipfile.ZipFile(io.BytesIO(content)) as book:
+            return wb._sheet_and_strings(book.namelist(), book.read)
+
+    for method in (0, 8):
+        good = _book(_sheet("<row><c><v>1</v></c></row>"), method)
+        assert wb._plain_parts(good).keys() == {"xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/worksheets/a.xml"}
+        assert wb._plain_parts(b"x" + good) is None and wb._plain_parts(good + b"x") is None and wb._plain_parts(b"") is None
+        for at in range(len(good)):
+            for bits in (1, 128, 255):
+                bad = good[:at] + bytes([good[at] ^ bits]) + good[at + 1:]
+                assert read(lambda: wb._unpacked(bad)) == read(lambda: by_zipfile(bad)), (at, bits)
+
+
+def test_batches_of_workbooks_are_packed_as_single_ones(spark, sf_dir):
+    import io
+    import zipfile
+    made = derive.workbooks(spark, sf_dir).join(payslip_grids(spark, sf_dir), "source_file").limit(50).collect()
+    assert made and all(wb.sheet_rows(r["content"]) == wb.sheet_rows(workbook_bytes(r["grid"])) for r in made)
+    odd = [[["a&b<c>", "", None, "x"], [], None], [], [["", ""], [" "]], None]
+    import pyarrow as pa
+    packed = derive._sheets(pa.array(odd, pa.list_(pa.list_(pa.string())))).to_pylist()
+    for grid, sheet in zip(odd, packed):
+        with zipfile.ZipFile(io.BytesIO(workbook_bytes([r or [] for r in grid or []]))) as book:
+            assert sheet == book.read(derive.SHEET)
