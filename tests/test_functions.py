@@ -118,3 +118,32 @@ def test_strip_looks_at_both_ends(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(
         "t", money.strip("t").alias("long"), money.strip_ends(F.col("t")).alias("short")).collect()
     assert all(r["long"] == r["short"] == (r["t"] and r["t"].strip(money.WHITE_SPACE)) for r in got)
+
+
+def test_transactions_are_derived_from_line_items_with_nulls(spark, tmp_path):
+    """What is packed for the way to orders and parts says the same as the columns it was made from."""
+    import datetime as dt
+    from fixtures import derive
+    times = [None, dt.datetime(1969, 12, 31, 23), dt.datetime(1999, 2, 3), dt.datetime(1, 1, 1)]
+    items = [(1, 5, 70 + n, number, price, discount, flag, status, times[n % 4])
+             for n, (number, price, discount, flag, status) in enumerate(
+                 (number, price, discount, flag, status) for number in (None, 0, 1, 2, 3, 4, 5, 6, 7, 8, -1)
+                 for price, discount in ((10.005, 0.0), (None, 0.1), (12345678.9, None))
+                 for flag, status in (("N", "O"), ("N", None), ("R", "O")))]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                                 "l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 9, 100.0, times[2])], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp"
+                          ).where("o_orderkey = 1").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(5, "type", "brand")], "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = derive.transactions_raw(spark, str(tmp_path)).where("category_group = 'type'")
+    ends = {1: "   Tulsa OK", 2: " Norman", 3: " **** X12", 4: "  Main  St"}
+
+    def expected(supplier, number, price, discount, flag, status, at):
+        day, amount = at and at.date(), None if price is None else dec(round(price + 1e-9, 2))
+        return ("9", day, "type", "brand", "fund" if (flag, status) == ("N", "O") else "adjustment" if number == 7 else "expense",
+                f"Supplier#{supplier}{ends.get(number, '')}", f"acct_{supplier % 3}" if day and day.year >= 1999 else None,
+                amount if number == 5 or amount is None else -amount, "n" if discount else None, f"budget_{day.year}.csv" if day else None)
+
+    wanted = [expected(*i[2:]) for i in items]
+    assert sorted(((*r[:9], r.source_file) for r in got.collect()), key=lambda r: r[5]) == sorted(wanted, key=lambda r: r[5])
