@@ -355,3 +355,71 @@ def test_month_reports_read_only_their_partitions(spark, tmp_path):
         out = report(stored, ["2024-02"])
         assert out.count() == 1
         assert "PartitionFilters: [isnotnull(year_month" in plan(out)
+
+
+def test_bucketed_silver_moves_rows_as_they_are_in_bronze(spark, tmp_path, monkeypatch):
+    """Dealt out by bucket before the derived columns are there; check totals and all of gold are written where their rows lie."""
+    t = refresh.Tables(f"{tmp_path}/db", ("household_id",), buckets=4)
+    bronze(spark, t, 6)
+    dealt, written, deal, write = [], {}, store.deal_out, store.write_bucketed
+
+    def watched(df, *args):
+        dealt.append(df.columns)
+        return deal(df, *args)
+
+    def watched_write(df, path, *args):
+        written[os.path.basename(path)] = exchanges(df)
+        return write(df, path, *args)
+
+    monkeypatch.setattr(store, "deal_out", watched)
+    monkeypatch.setattr(store, "write_bucketed", watched_write)
+    refresh.refresh_silver(spark, t)
+    assert [len(c) for c in dealt] == [len(TRANSACTIONS_RAW) + 1, len(PAYROLL_LINES) + 1] and "transaction_key" not in dealt[0]
+    assert written["paycheck_totals"] == 0
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):  # as if all were large
+        refresh.refresh_gold(spark, t)
+    assert len(written) == 9 and not any(written[n] for n in refresh.gold_schemas(spark, t.keys))
+
+
+@pytest.mark.parametrize("buckets", [0, 4])
+def test_rows_of_a_silver_file_lie_in_the_order_of_their_days(spark, tmp_path, buckets):
+    import pyarrow.parquet as pq
+    t = refresh.Tables(f"{tmp_path}/db", ("household_id",), buckets)
+    bronze(spark, t, 30)
+    refresh.refresh_silver(spark, t)
+    for name, column in refresh.ORDER.items():
+        files = [os.path.join(d, f) for d, _, found in os.walk(t.silver(name)) for f in found if f.endswith(".parquet")]
+        days = [pq.ParquetFile(f).read([column])[column].to_pylist() for f in files]
+        assert sum(map(len, days)) and all(d == sorted(d) for d in days), name
+
+
+def test_month_shares_by_window_are_those_by_join(spark):
+    rows_ = [(who, f"2024-0{m}", 2024, m, "expense", group, item, dec(n))
+             for n, (who, m, group, item) in enumerate((w, m, g, i) for w in ("a", None) for m in (1, 2) for g in ("x", None) for i in "pqp")]
+    rows_ += [("z", "2024-01", 2024, 1, "expense", "x", "p", dec(0)), ("n", "2024-01", 2024, 1, "expense", "x", "p", None),
+              ("n", None, None, None, "expense", "x", "p", dec(4)), ("a", "2024-01", 2024, 1, "income", "x", "p", dec(9))]
+    df = spark.createDataFrame(rows_, "who string, year_month string, year int, month int, flow_category string, category_group string, "
+                                      "category_item string, amount_abs decimal(12,2)")
+    by_join, by_window = (transactions.spending_by_category(df, ["who"], by_window=w) for w in (False, True))
+    assert by_join.schema == by_window.schema and exchanges(by_window) < exchanges(by_join)
+    assert sorted(map(str, by_join.collect())) == sorted(map(str, by_window.collect())) and by_join.count() == 19
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def moved():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = moved()
+    rows_ = spark.range(1000).withColumn("source_file", F.lit("f")).withColumn("amount", F.lit(1)).repartition(7, "id")
+    store.write_full(rows_, f"{tmp_path}/t")
+    store.write_bucketed(rows_, f"{tmp_path}/b", ["id"], 2)
+    store.replace_by_file(rows_, f"{tmp_path}/r", TRANSACTIONS_RAW)
+    until = time.time() + 20
+    while moved() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not moved() - before
+    assert store.read_table(spark, f"{tmp_path}/t").count() == 1000
